@@ -92,7 +92,8 @@ def observed_links(links: DataFrame, count: str = "count") -> DataFrame:
 def clear_counts(links: DataFrame, keys: DataFrame, count: str = "count",
                  complement: bool = False, on: Sequence[str] = ("u", "v")) -> DataFrame:
     """Make the counts of listed links missing (``complement``: of all others)."""
-    marked = lookup(links, keys.select(*on).distinct().withColumn("_hit", F.lit(True)), on)
+    marked = links.join(keys.select(*on).distinct().withColumn("_hit", F.lit(True)), list(on),
+                        "left")
     hit = F.coalesce("_hit", F.lit(False))
     gone = ~hit if complement else hit
     return marked.withColumn(count, F.when(~gone, F.col(count))).drop("_hit")

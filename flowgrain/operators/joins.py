@@ -29,7 +29,7 @@ def merge_probe(links: DataFrame, speeds: DataFrame, units: str = "minutes") ->
     dim = speeds.select("segment_id", *[
         (F.col(src).cast("double") * F.lit(factor ** power)).alias(name)
         for name, (src, power) in PROBE_TO_LINK.items()])
-    return lookup(links, dim, "segment_id").na.fill(0.0, list(PROBE_TO_LINK))
+    return salted_join(links, dim, ["segment_id"], "left").na.fill(0.0, list(PROBE_TO_LINK))
 
 
 def remap_nodes(edges: DataFrame, nodes: DataFrame, init: str = "init_id",
@@ -47,7 +47,8 @@ def _stations(links: DataFrame, on: Sequence[str]) -> DataFrame:
 def link_counts(links: DataFrame, counts: DataFrame, flow: str = "flow_total",
                 factor: float = 1.0, on: Sequence[str] = ("u", "v")) -> DataFrame:
     """Mean over the stations of a link; NULL when none reports."""
-    each = lookup(_stations(links, on), counts.select("station_id", flow), "station_id")
+    each = salted_join(_stations(links, on), counts.select("station_id", flow), ["station_id"],
+                       "left")
     mean = each.groupBy(*on).agg((F.avg(flow) * F.lit(float(factor))).alias("count"))
     return links.select(*on).join(mean, list(on), "left")
 
@@ -60,7 +61,7 @@ def link_lane_counts(links: DataFrame, counts: DataFrame, on: Sequence[str] = ("
     """
     cols = [f"flow_total_lane_{i}" for i in range(1, lanes + 1)]
     dim = counts.select("station_id", *cols).withColumn("_seen", F.lit(1))
-    each = lookup(_stations(links, on), dim, "station_id")
+    each = salted_join(_stations(links, on), dim, ["station_id"], "left")
     own = F.element_at(F.array(*cols), F.col("lane").cast("int"))
     total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in cols), F.lit(0.0))
     filled = sum((F.col(c).isNotNull().cast("int") for c in cols), F.lit(0))
@@ -83,7 +84,7 @@ def attach(links: DataFrame, values: DataFrame, on: Sequence[str] = ("u", "v"),
     """
     on = list(on)
     new = [c for c in values.columns if c not in on]
-    out = lookup(links.drop(*new), values.withColumn("_found", F.lit(1)), on)
+    out = links.drop(*new).join(values.withColumn("_found", F.lit(1)), on, "left")
     if strict:
         lost = out.where(F.col("_found").isNull()).limit(1).count()
         if lost:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import average_speed, bpr_time, shown_capacity
-from ..scale import lookup
 from .joins import with_true_values
 
 C = F.col
@@ -47,7 +46,7 @@ def predicted_by_iteration(log: DataFrame, links: DataFrame, iters: Sequence[int
     wide = by_iteration(log, "x", iters)
     true = links.select(*KEY, C("count").isNotNull().cast("int").alias("observed"),
                         C("count").alias("true_count"))
-    out = lookup(wide, true, KEY)
+    out = wide.join(true, KEY, "left")
     if gap:
         for i in iters:
             out = out.withColumn(f"iter_{i}", C(f"iter_{i}") - C("true_count"))
@@ -127,7 +126,7 @@ def test_flags(results: DataFrame, truth: Mapping[str, float], h0: float = 0.0,
                alpha: float = 0.05) -> DataFrame:
     """Bias and false-positive / false-negative flags of each tested parameter."""
     truth = dict(truth)
-    if "c" in truth:
+    if truth.get("c"):
         truth["vot"] = truth["tt"] / truth["c"]
     out = with_true_values(results, truth).withColumn("bias", C("est") - C("theta_true"))
     null_true = F.coalesce(C("theta_true") == F.lit(float(h0)), F.lit(False))

@@ -19,7 +19,7 @@ from ..functions.scalars import interval_label, linear_utility, soft_threshold
 from ..operators.aggregates import lowest_share
 from ..operators.filters import LINK
 from ..operators.network import OD
-from ..scale import lookup, scalar_join
+from ..scale import salted_join, scalar_join
 from ..session import pin
 from .choice import (equal_choice, equilibrium, link_sums, od_join, path_sums, predict,
                      probabilities, salted_groups)
@@ -316,7 +316,7 @@ def adjust_demand(paths: DataFrame, links: DataFrame, od: DataFrame, prior: Data
     gap = F.coalesce(C("x") - C("count"), F.lit(0.0))
     hops = paths.select(*OD, "path_id", "p", F.explode("segs").alias("seg")).select(
         *OD, "path_id", "p", "seg.*")
-    each = lookup(hops, links.select(*LINK, gap.alias("_gap")), LINK, "inner")
+    each = salted_join(hops, links.select(*LINK, gap.alias("_gap")), LINK)
     slope = each.groupBy(*OD).agg(F.sum(C("p") * C("_gap")).alias("_g"))
     out = od.join(slope, OD, "left").join(prior.select(*OD, C("q").alias("_q0")), OD, "left")
     out = scalar_join(out, {"_n": F.count(F.lit(1))}, links)

@@ -51,7 +51,11 @@ def salted_join(big: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "i
 
 def lookup(big: DataFrame, dim: DataFrame, on: Sequence[str] | str, how: str = "left",
            rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Attach ``dim`` columns: broadcast while ``dim`` is provably small, salted beyond."""
+    """Attach ``dim`` columns: broadcast while ``dim`` is provably small, salted beyond.
+
+    ``dim`` is counted first, so it should be a stored table or cheap to recompute; an
+    aggregate of a feed belongs in ``salted_join``, where AQE sees its size at run time.
+    """
     on = [on] if isinstance(on, str) else list(on)
     if fits(dim, rows):
         return big.join(F.broadcast(dim), on, how)
