@@ -185,8 +185,7 @@ def a18(spark, sf):
 SELECT {r("avg(count)", "mean_count")}, {r("sum(pow(count - (SELECT avg(count) FROM links), 2))", "sse", 3)}
 FROM links WHERE count IS NOT NULL""", "links"))
 def a19(spark, sf):
-    out = agg.mean_count_benchmark(network(spark, sf).links)
-    return rounded(out.select("mean_count")).join(rounded(out.select("sse"), 3))
+    return rounded(agg.mean_count_benchmark(network(spark, sf).links), sse=3)
 
 
 @query("A20_scale_min_max", with_views("SELECT event_id, " + ", ".join(
@@ -401,9 +400,7 @@ def convergence(spark, sf):
     + ", ".join(r(c, c) for c in ("theta_tt", "theta_c", "theta_s")) + f", {r('vot', 'vot', 4)} FROM conv",
     log=_LOG, total=_TOTAL, conv=_CONV))
 def r04(spark, sf):
-    out = convergence(spark, sf)
-    vot = rounded(out.select("stage", "iter", "vot"), 4)
-    return rounded(out.drop("vot")).join(vot, ["stage", "iter"])
+    return rounded(convergence(spark, sf), vot=4)
 
 
 @query("R05_estimate_gaps", with_views(
@@ -411,17 +408,14 @@ def r04(spark, sf):
     f"{r('theta_s', 'theta_s')}, {r('vot + 2', 'gap_vot', 4)} FROM conv",
     log=_LOG, total=_TOTAL, conv=_CONV))
 def r05(spark, sf):
-    out = rs.estimate_gaps(convergence(spark, sf), {"tt": -1.0, "c": 0.5})
-    vot = rounded(out.select("stage", "iter", "gap_vot"), 4)
-    return rounded(out.drop("gap_vot")).join(vot, ["stage", "iter"])
+    return rounded(rs.estimate_gaps(convergence(spark, sf), {"tt": -1.0, "c": 0.5}), gap_vot=4)
 
 
 @query("R06_link_summary", with_views(
     f"SELECT u, v, link_type, {r('length', 'length')}, tf, {r('k', 'capacity')}, alpha, beta, "
     f"{r('count', 'count')} FROM links WHERE k <= 10000", "links"))
 def r06(spark, sf):
-    return rounded(rs.link_summary(network(spark, sf).links.where("k <= 10000"))
-                   ).withColumns({"alpha": F.lit(0.15), "beta": F.lit(4.0)})
+    return rounded(rs.link_summary(network(spark, sf).links.where("k <= 10000")), alpha=-1, beta=-1)
 
 
 _TT = "tf * (1 + alpha * pow(load / k, beta))"
@@ -433,8 +427,7 @@ SELECT u, v, {r("k", "capacity")}, {r(_TT, "tt")}, round(60 * length / ({_TT}),
 FROM links WHERE count IS NOT NULL AND k <= 10000""", "links"))
 def r07(spark, sf):
     links = network(spark, sf).links.where("k <= 10000")
-    out = rs.link_report(links, links.withColumn("x", C("load")))
-    return rounded(out.drop("speed")).join(out.select("u", "v", "speed"), ["u", "v"])
+    return rounded(rs.link_report(links, links.withColumn("x", C("load"))), speed=-1)
 
 
 @query("R08_od_matrix", with_views("SELECT o, " + ", ".join(
