@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.network import paths_from_nodes
-from ..session import pin, shared_dir, utc
+from ..session import shared_dir, store, utc
 
 C = F.col
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
@@ -151,23 +151,23 @@ _NETWORKS: dict[tuple[str, str], SimpleNamespace] = {}
 
 
 def network(spark: SparkSession, sf: str) -> SimpleNamespace:
-    """Path, demand and link tables, written once per session to the checkpoint folder."""
+    """Path, demand and link tables, written once per session to the shared folder."""
     key = (spark.sparkContext.applicationId, sf)
     if key in _NETWORKS:
         return _NETWORKS[key]
-    trip = pin(view(spark, sf, "trip"))
+    trip = store(view(spark, sf, "trip"))
     trips = trip.groupBy("path_id", "o", "d").agg(F.count(F.lit(1)).cast("double").alias("trips"))
     nodes = F.transform(F.split("path_id", "/"), lambda n: n.cast("int"))
     paths = paths_from_nodes(trips.select(nodes.alias("nodes")))
-    paths = pin(paths.join(trips.select("path_id", "trips"), "path_id"))
-    od = pin(trip.groupBy("o", "d").agg(F.count(F.lit(1)).cast("double").alias("q")))
+    paths = store(paths.join(trips.select("path_id", "trips"), "path_id"))
+    od = store(trip.groupBy("o", "d").agg(F.count(F.lit(1)).cast("double").alias("q")))
     seg = paths.select(F.explode("segs").alias("g"), "trips").select("g.u", "g.v", "trips")
     load = seg.groupBy("u", "v").agg(F.sum("trips").alias("load"),
                                      F.count(F.lit(1)).alias("n_paths"))
     node = view(spark, sf, "nodes")
     text = SQL["links0"].replace("FROM link_load", "FROM {link_load}").replace(
         "JOIN nodes", "JOIN {nodes}")
-    links = pin(spark.sql(text, link_load=load, nodes=node).withColumn("tt", C("tf")))
+    links = store(spark.sql(text, link_load=load, nodes=node).withColumn("tt", C("tf")))
     _NETWORKS[key] = SimpleNamespace(trip=trip, paths=paths, od=od, links=links, nodes=node)
     return _NETWORKS[key]
 

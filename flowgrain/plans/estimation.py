@@ -190,7 +190,7 @@ def losses_at(paths: DataFrame, links: DataFrame, od: DataFrame, grid: Sequence[
     for start, df in flows:
         size = min(block, len(grid) - start)
         one = df.agg(F.count("count").alias("n"), *[
-            F.sum(F.when(seen, F.pow(C(f"x{i}") - C("count"), 2))).alias(f"s{i}")
+            F.sum(F.when(seen, F.pow(C(f"flow_{i}") - C("count"), 2))).alias(f"s{i}")
             for i in range(size)])
         cells = F.array(*[F.struct(F.lit(start + i).alias("candidate"), C(f"s{i}").alias("sse"))
                           for i in range(size)])
@@ -201,7 +201,7 @@ def losses_at(paths: DataFrame, links: DataFrame, od: DataFrame, grid: Sequence[
 
 def flows_at(paths: DataFrame, links: DataFrame, od: DataFrame, grid: Sequence[Theta],
              block: int = 16) -> list[tuple[int, DataFrame]]:
-    """Links with flows x0, x1, … for each block of candidates."""
+    """Links with flows flow_0, flow_1, … for each block of candidates."""
     names = sorted({k for t in grid for k in t})
     base = path_sums(paths.drop(*names), links, names)
     out = []
@@ -211,10 +211,10 @@ def flows_at(paths: DataFrame, links: DataFrame, od: DataFrame, grid: Sequence[T
         for i, theta in enumerate(part):
             df = df.withColumn(f"_v{i}", linear_utility(theta))
         df = probabilities(df, {f"_p{i}": f"_v{i}" for i in range(len(part))}, od)
-        df = df.select("segs", *[(F.coalesce("q", F.lit(0.0)) * C(f"_p{i}")).alias(f"x{i}")
+        df = df.select("segs", *[(F.coalesce("q", F.lit(0.0)) * C(f"_p{i}")).alias(f"flow_{i}")
                                  for i in range(len(part))])
-        sums = link_sums(df, [f"x{i}" for i in range(len(part))])
-        loaded = links.join(sums, LINK, "left").na.fill(0.0, [f"x{i}" for i in range(len(part))])
+        sums = link_sums(df, [f"flow_{i}" for i in range(len(part))])
+        loaded = links.join(sums, LINK, "left").na.fill(0.0, [f"flow_{i}" for i in range(len(part))])
         out.append((start, loaded))
     return out
 
@@ -225,7 +225,7 @@ def flows_long(paths: DataFrame, links: DataFrame, od: DataFrame, grid: Sequence
     out = None
     for start, df in flows_at(paths, links, od, grid, block):
         size = min(block, len(grid) - start)
-        cells = F.array(*[F.struct(F.lit(start + i).alias("candidate"), C(f"x{i}").alias("x"))
+        cells = F.array(*[F.struct(F.lit(start + i).alias("candidate"), C(f"flow_{i}").alias("x"))
                           for i in range(size)])
         rows = df.select(*LINK, F.explode(cells).alias("c")).select(*LINK, "c.*")
         out = rows if out is None else out.unionByName(rows)
@@ -408,17 +408,17 @@ def grid_scan(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Theta, n
     cols = []
     for i in n:
         f, dev = F.coalesce("q", F.lit(0.0)) * C(f"_p{i}"), C(name) - C(f"_m{i}")
-        cols += [f.alias(f"x{i}"), (f * dev).alias(f"j{i}"),
-                 (f * (dev * dev - C(f"_s{i}"))).alias(f"h{i}")]
-    names_out = [f"{a}{i}" for i in n for a in "xjh"]
+        cols += [f.alias(f"flow_{i}"), (f * dev).alias(f"first_{i}"),
+                 (f * (dev * dev - C(f"_s{i}"))).alias(f"second_{i}")]
+    names_out = [f"{a}_{i}" for i in n for a in ("flow", "first", "second")]
     sums = link_sums(df.select("segs", *cols), names_out)
     at = links.join(sums, LINK, "left").na.fill(0.0, names_out).where(C("count").isNotNull())
     aggs = []
     for i in n:
-        e = C(f"x{i}") - C("count")
-        aggs += [F.sum(e * e).alias(f"l{i}"), (2.0 * F.sum(C(f"j{i}") * e)).alias(f"g{i}"),
-                 (2.0 * F.sum(C(f"j{i}") * C(f"j{i}") + C(f"h{i}") * e)).alias(f"d{i}"),
-                 F.sum(C(f"j{i}") * C(f"j{i}")).alias(f"jj{i}"), F.count("count").alias(f"n{i}")]
+        e = C(f"flow_{i}") - C("count")
+        aggs += [F.sum(e * e).alias(f"l{i}"), (2.0 * F.sum(C(f"first_{i}") * e)).alias(f"g{i}"),
+                 (2.0 * F.sum(C(f"first_{i}") * C(f"first_{i}") + C(f"second_{i}") * e)).alias(f"d{i}"),
+                 F.sum(C(f"first_{i}") * C(f"first_{i}")).alias(f"jj{i}"), F.count("count").alias(f"n{i}")]
     cells = F.array(*[F.struct(
         F.lit(i).alias("candidate"), F.lit(float(values[i])).alias("theta"),
         C(f"l{i}").alias("sse"), C(f"g{i}").alias("gradient"), C(f"d{i}").alias("hessian"),

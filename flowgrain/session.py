@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,17 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back.
+
+    For tables many jobs scan: unlike ``pin`` it keeps column pruning, filter pushdown
+    and a file size the optimizer can trust. ``pin`` keeps the partitioning instead.
+    """
+    folder = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def utc(spark: SparkSession) -> SparkSession:
     """Feed times are local clock readings without a zone; UTC keeps them unshifted."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
