@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("feeds", "linkdata", "geo", "tables", "graph", "model")
+MODULES = ("feeds", "linkdata", "geo", "tables", "graph", "model", "files", "streams")
 
 
 def load():

@@ -23,6 +23,12 @@ def _files(paths: Paths) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
+def _line_order() -> Column:
+    """Sorts like the lines of the files: by file name, then by place in the file."""
+    return F.struct("_metadata.file_path", "_metadata.file_block_start",
+                    F.monotonically_increasing_id().alias("at"))
+
+
 # feeds ---------------------------------------------------------------------------------
 
 def read_counts(spark: SparkSession, paths: Paths, hour: int | None = None,
@@ -79,10 +85,10 @@ def read_tntp_links(spark: SparkSession, paths: Paths) -> DataFrame:
     """Link tables of any number of networks in one job; node ids become 0-based.
 
     Metadata (``<``), header (``~``) and empty lines are dropped; the network is the
-    file name without ``_net.tntp``.
+    name of the folder that holds the file.
     """
     raw = spark.read.text(_files(paths)).select(
-        F.regexp_extract(C("_metadata.file_path"), r"([^/]+?)(?:_net\.tntp|/[^/]*)?$", 1)
+        F.regexp_extract(C("_metadata.file_path"), r"(?:network=)?([^/=]+)/[^/]+$", 1)
         .alias("network"), F.trim(F.regexp_replace("value", r"[\t ;]+$", "")).alias("line"))
     rows = raw.where((C("line") != "") & ~C("line").rlike(r"^\s*[<~]"))
     cells = F.split(F.regexp_replace("line", r"^[\t ]+", ""), r"\t")
@@ -173,7 +179,7 @@ def read_wide_counts(spark: SparkSession, paths: Paths) -> DataFrame:
 def read_od_csv(spark: SparkSession, paths: Paths, nodes: DataFrame) -> DataFrame:
     """Demand by node keys; of repeated pairs the last line counts."""
     df = spark.read.schema(S.OD_CSV).option("header", True).csv(_files(paths))
-    df = df.withColumn("_line", F.monotonically_increasing_id())
+    df = df.withColumn("_line", _line_order())
     last = df.groupBy("origin", "destination").agg(F.max_by("demand", "_line").alias("q"))
     out = remap_nodes(last, nodes, "origin", "destination")
     return out.select(C("u").alias("o"), C("v").alias("d"), "q")
@@ -215,7 +221,7 @@ def read_paths(spark: SparkSession, paths: Paths, sep: str = ",",
 
 def read_dense_matrix(spark: SparkSession, paths: Paths, sep: str = ",") -> DataFrame:
     """Nonzero cells (row, col, value), 0-based, of a dense text matrix."""
-    lines = pin(spark.read.text(_files(paths)).withColumn("_id", F.monotonically_increasing_id()))
+    lines = pin(spark.read.text(_files(paths)).select("value", _line_order().alias("_id")))
     lines = ranked(lines, [], [C("_id")], "row")
     cells = lines.select((C("row") - 1).alias("row"),
                          F.posexplode(F.split("value", sep)).alias("col", "text"))

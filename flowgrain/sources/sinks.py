@@ -92,12 +92,12 @@ def tntp_trip_lines(od: DataFrame) -> DataFrame:
                                      C("d").cast("int"), C("q").cast("string")).alias("value"))
 
 
-def tntp_link_lines(links: DataFrame, columns: Sequence[str]) -> DataFrame:
+def tntp_link_lines(links: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
     """Data lines of a link table, 1-based ids, tab separated with a closing semicolon."""
     cells = [(C("u") + 1).cast("string"), (C("v") + 1).cast("string"),
              *[C(c).cast("string") for c in columns]]
-    return links.select(F.concat(F.lit("\t"), F.concat_ws("\t", *cells), F.lit("\t;"))
-                        .alias("value"))
+    line = F.concat(F.lit("\t"), F.concat_ws("\t", *cells), F.lit("\t;"))
+    return links.select(*keep, line.alias("value"))
 
 
 def feature_layer(links: DataFrame, features: DataFrame, on: Sequence[str] = ("u", "v")
