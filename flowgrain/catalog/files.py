@@ -13,12 +13,12 @@ from .common import r, rounded
 from .registry import query
 
 C = F.col
-NULL = F.lit(None)
 
 
 def _as(df, schema, **values):
     """Columns of a file schema in order; those not given stay empty."""
-    return df.select(*[values.get(f.name, NULL).cast(f.dataType).alias(f.name) for f in schema])
+    return df.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+                       for f in schema])
 
 
 # feeds ---------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans import choice as ch
 from ..plans import estimation as es
+from ..session import pin
 from .bindings import network, table, with_views
 from .common import r, rounded
 from .graph import _PS
@@ -142,7 +143,7 @@ SELECT {r("a", "time_part", 3)}, {r("b", "exogenous_part", 3)}, {r("e", "entropy
          (SELECT sum(f * ln(f + 1e-12)) FROM pf WHERE abs(f) >= 1e-12) AS e FROM xf)"""))
 def c07(spark, sf):
     net = _net(spark, sf)
-    pf = ch.path_flows(ch.path_utility(net.paths, net.links, THETA), net.od)
+    pf = pin(ch.path_flows(ch.path_utility(net.paths, net.links, THETA), net.od))
     return rounded(ch.fisk_objective(pf, net.links, THETA), 3)
 
 
@@ -171,7 +172,7 @@ def _along_sql(slope: bool, lams: list[float], digits: int) -> str:
 
 def _two(net):
     pf = ch.path_flows(ch.path_utility(net.paths, net.links, THETA), net.od)
-    return pf.withColumnRenamed("f", "f1").withColumn("f2", C("trips"))
+    return pin(pf.select("path_id", "o", "d", "segs", C("f").alias("f1"), C("trips").alias("f2")))
 
 
 @query("C08_fisk_slopes", _along_sql(True, [0.25, 0.5, 0.75], 3))
@@ -188,9 +189,8 @@ def c09(spark, sf):
 
 @query("C09_line_search")
 def c09_search(spark, sf):
-    from ..session import pin
     net = _net(spark, sf)
-    two = pin(_two(net).select("path_id", "o", "d", "segs", "f1", "f2"))
+    two = _two(net)
     rows = [(s, float(ch.line_search(two, net.links, THETA, 11, s))) for s in ("grid", "bisection")]
     chosen = spark.createDataFrame(rows, "search string, lambda double")
     scan = ch.fisk_scan(two, net.links, THETA, [v for _, v in rows]).select("lambda", "objective")
@@ -434,20 +434,18 @@ FROM od LEFT JOIN (
   GROUP BY z.o, z.d) g ON g.o = od.o AND g.d = od.d"""))
 def e10(spark, sf):
     net = _net(spark, sf)
-    pf = ch.path_flows(ch.path_utility(net.paths, net.links, THETA), net.od)
+    pf = pin(ch.path_flows(ch.path_utility(net.paths, net.links, THETA), net.od))
     prior = net.od.withColumn("q", C("q") * 0.9)
     return rounded(es.adjust_demand(pf, ch.link_flows(pf, net.links), net.od, prior, step=0.01))
 
 
 @query("E11_t_tests")
 def e11(spark, sf):
-    from ..session import pin
     return es.t_tests(pin(_resp(spark, sf)), THETA)
 
 
 @query("E11_t_tests_lowest_sse")
 def e11_low(spark, sf):
-    from ..session import pin
     return es.t_tests(pin(_resp(spark, sf)), THETA, percent=90.0)
 
 

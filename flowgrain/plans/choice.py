@@ -1,14 +1,13 @@
 """Route choice and assignment: utilities, probabilities, flows, equilibrium.
 
 Feature sums of a path come from one pass over its links; probabilities need the OD's
-maximum and sum, which are partial aggregates joined back over (OD, salt); link flows
-explode the link array of each path and add up. All candidate weights or step sizes of
+log-sum, a partial aggregate joined back over (OD, salt); link flows explode the link array of each path and add up. All candidate weights or step sizes of
 a search are columns of the same job.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +17,7 @@ from ..functions.scalars import (almost_zero, bpr_integral, bpr_time, entropy, l
                                  performance)
 from ..operators.filters import LINK
 from ..operators.network import OD, path_size_factors
-from ..scale import SALTS, _salt, lookup
+from ..scale import lookup, salted_join
 from ..session import pin
 
 C = F.col
@@ -40,11 +39,21 @@ def path_sums(paths: DataFrame, links: DataFrame, features: Sequence[str]) -> Da
     return paths.join(sums, "path_id")
 
 
+def ensure_sums(paths: DataFrame, links: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Feature sums for the features ``paths`` does not carry yet.
+
+    A column named like a feature is taken as its sum, so loops over weights compute the
+    sums once. Drop it first when the link values have changed.
+    """
+    missing = [f for f in features if f not in paths.columns]
+    return path_sums(paths, links, missing) if missing else paths
+
+
 def path_utility(paths: DataFrame, links: DataFrame, theta: Mapping[str, float],
                  path_size: float = 0.0, out: str = "v") -> DataFrame:
     """Add the utility of each path, with the path-size term when its factor is not 0."""
     names = list(theta)
-    df = path_sums(paths.drop(*names), links, names).withColumn(out, linear_utility(theta))
+    df = ensure_sums(paths, links, names).withColumn(out, linear_utility(theta))
     if path_size:
         sizes = path_size_factors(paths).select("path_id", "path_size")
         df = df.join(sizes, "path_id").withColumn(
@@ -57,49 +66,83 @@ def utility_parts(paths: DataFrame, links: DataFrame, theta: Mapping[str, float]
     """Utility of each path split in flow-dependent, exogenous and path-specific parts."""
     y = {k: w for k, w in theta.items() if k in endogenous}
     z = {k: w for k, w in theta.items() if k not in endogenous}
-    df = path_sums(paths.drop(*theta), links, list(theta))
+    df = ensure_sums(paths, links, list(theta))
     df = df.withColumn("v_y", linear_utility(y)).withColumn("v_z", linear_utility(z))
     sizes = path_size_factors(paths).select("path_id", "path_size")
     return df.join(sizes, "path_id").withColumn(
         "v_path", F.lit(float(path_size)) * F.log("path_size"))
 
 
-def salted_groups(df: DataFrame) -> DataFrame:
-    return df.withColumn("_salt", _salt(df, SALTS, OD)) if "_salt" not in df.columns else df
-
-
-def od_join(df: DataFrame, aggs: Mapping[str, Column], extra: DataFrame | None = None
-            ) -> DataFrame:
-    """Add OD aggregates (and ``extra`` OD columns) to a salted path table."""
-    dim = df.groupBy(*OD).agg(*[c.alias(n) for n, c in aggs.items()])
-    if extra is not None:
-        dim = dim.join(extra, OD, "left")
-    dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return df.join(dim, [*OD, "_salt"])
+def od_join(paths: DataFrame, dim: DataFrame, how: str = "inner") -> DataFrame:
+    """Add one-row-per-OD columns; a hot OD's paths spread over salted tasks."""
+    return salted_join(paths, dim, OD, how)
 
 
 def normalize(paths: DataFrame, v: str = "v", out: str = "v_norm") -> DataFrame:
     """Utility minus the maximum of the choice set."""
-    df = od_join(salted_groups(paths), {"_top": F.max(v)})
-    return df.withColumn(out, C(v) - C("_top")).drop("_top", "_salt")
+    top = paths.groupBy(*OD).agg(F.max(v).alias("_top"))
+    return od_join(paths, top).withColumn(out, C(v) - C("_top")).drop("_top")
+
+
+def choice_moments(paths: DataFrame, outs: Mapping[str, str], features: Sequence[str] = (),
+                   second: bool = False) -> DataFrame:
+    """One row per OD: the log-sum of each utility column, and means (and variances) of
+    path features under the probabilities it gives.
+
+    ``outs`` maps a name p to a utility column; results are lse_p, mean_p_k and var_p_k.
+    For one utility the paths are read once: sums are kept per whole-number band of the
+    utility, where no exponential can overflow, and the few bands of an OD are combined.
+    For several, the maxima are found first.
+    """
+    moments = [(k, 1) for k in features] + ([(k, 2) for k in features] if second else [])
+
+    def weighted(e: Column, tag: str) -> list[Column]:
+        return [F.sum(e).alias(f"_e_{tag}"),
+                *[F.sum(e * F.pow(C(k), F.lit(float(n)))).alias(f"_m{n}_{tag}_{k}")
+                  for k, n in moments]]
+
+    if len(outs) == 1:
+        (tag, v), = outs.items()
+        bands = paths.groupBy(*OD, F.floor(v).cast("double").alias("_band")).agg(
+            *weighted(F.exp(C(v) - F.floor(v)), tag))
+        # a path's utility bands number few per OD, however many paths it has
+        tops = bands.groupBy(*OD).agg(F.max("_band").alias(f"_top_{tag}"))
+        bands = bands.join(tops, OD)
+        names = [f"_e_{tag}", *[f"_m{n}_{tag}_{k}" for k, n in moments]]
+        shift = F.exp(C("_band") - C(f"_top_{tag}"))
+        dim = bands.groupBy(*OD).agg(
+            F.first(f"_top_{tag}").alias(f"_top_{tag}"),
+            *[F.sum(C(c) * shift).alias(c) for c in names])
+    else:
+        tops = paths.groupBy(*OD).agg(*[F.max(v).alias(f"_top_{t}") for t, v in outs.items()])
+        shifted = od_join(paths, tops)
+        dim = shifted.groupBy(*OD).agg(
+            *[F.first(f"_top_{t}").alias(f"_top_{t}") for t in outs],
+            *[c for t, v in outs.items() for c in weighted(F.exp(C(v) - C(f"_top_{t}")), t)])
+    cols = []
+    for t in outs:
+        cols.append((C(f"_top_{t}") + F.log(f"_e_{t}")).alias(f"lse_{t}"))
+        for k in features:
+            mean = C(f"_m1_{t}_{k}") / C(f"_e_{t}")
+            cols.append(mean.alias(f"mean_{t}_{k}"))
+            if second:
+                cols.append(F.greatest(C(f"_m2_{t}_{k}") / C(f"_e_{t}") - mean * mean,
+                                       F.lit(0.0)).alias(f"var_{t}_{k}"))
+    return dim.select(*OD, *cols)
 
 
 def probabilities(paths: DataFrame, outs: Mapping[str, str], od: DataFrame | None = None,
-                  keep_salt: bool = False) -> DataFrame:
+                  features: Sequence[str] = (), second: bool = False) -> DataFrame:
     """Logit probabilities inside each choice set: {new column: utility column}.
 
-    All columns share two OD aggregations. ``od`` adds its demand ``q``.
+    ``od`` adds its demand ``q``; ``features`` add the OD moments of those columns.
     """
-    df = salted_groups(paths)
-    extra = od.select(*OD, "q") if od is not None else None
-    df = od_join(df, {f"_top_{p}": F.max(v) for p, v in outs.items()}, extra)
-    for p, v in outs.items():
-        df = df.withColumn(f"_e_{p}", F.exp(C(v) - C(f"_top_{p}")))
-    df = od_join(df, {f"_sum_{p}": F.sum(f"_e_{p}") for p in outs})
-    for p in outs:
-        df = df.withColumn(p, C(f"_e_{p}") / C(f"_sum_{p}")).drop(
-            f"_top_{p}", f"_e_{p}", f"_sum_{p}")
-    return df if keep_salt else df.drop("_salt")
+    dim = choice_moments(paths, outs, features, second)
+    if od is not None:
+        dim = dim.join(od.select(*OD, "q"), OD, "left")
+    df = od_join(paths, dim)
+    return df.withColumns({p: F.exp(C(v) - C(f"lse_{p}")) for p, v in outs.items()}).drop(
+        *[f"lse_{p}" for p in outs])
 
 
 def choice(paths: DataFrame, links: DataFrame, theta: Mapping[str, float],
@@ -136,9 +179,7 @@ def equal_choice(paths: DataFrame, links: DataFrame, od: DataFrame) -> DataFrame
     """Link flows when every path of an OD is as likely as the others."""
     sizes = paths.groupBy(*OD).agg(F.count(F.lit(1)).alias("_n")).join(od, OD)
     share = sizes.select(*OD, (C("q") / C("_n")).alias("f"))
-    share = share.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    each = salted_groups(paths.select("path_id", *OD, "segs")).join(share, [*OD, "_salt"])
-    return link_flows(each, links)
+    return link_flows(od_join(paths.select("path_id", *OD, "segs"), share), links)
 
 
 # equilibrium ---------------------------------------------------------------------------
@@ -227,6 +268,9 @@ def line_search(paths: DataFrame, links: DataFrame, theta: Mapping[str, float],
     return mid
 
 
+StepRule = Callable[[int, DataFrame, DataFrame], float]
+
+
 @dataclass
 class Equilibrium:
     """Final paths (p, f) and links (x, tt), with one log row per iteration."""
@@ -237,36 +281,43 @@ class Equilibrium:
 
 
 def equilibrium(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Mapping[str, float],
-                iters: int = 9, method: str = "fw", accuracy: float = 1e-4, points: int = 11,
-                search: str = "grid", uncongested: bool = False,
+                iters: int = 9, method: str | StepRule = "fw", accuracy: float = 1e-4,
+                points: int = 11, search: str = "grid", uncongested: bool = False,
                 exogenous_times: str | None = None, path_size: float = 0.0,
-                time_fn=None, every: int = 3) -> Equilibrium:
+                time_fn=None) -> Equilibrium:
     """Fixed point of travel times and path choice.
 
     Starts from the assignment at free flow. Each iteration assigns at the current
     times and moves toward the result, by 1 / (n + 1) (``msa``) or a line search
-    (``fw``), until the objective changes by less than ``accuracy``. Uncongested and
-    exogenous-time modes stop after one assignment. State is written to the checkpoint
-    folder every iteration, so lineage stays short and executors can be lost.
+    (``fw``), until the objective changes by less than ``accuracy``. ``method`` may also
+    be a rule ``(iteration, paths, links) -> step``. Uncongested and exogenous-time modes
+    stop after one assignment. State is written to the checkpoint folder every iteration,
+    so lineage stays short and executors can be lost.
     """
     time_fn = performance(time_fn)
-    if method not in ("msa", "fw"):
+    rules: dict[str, StepRule] = {
+        "msa": lambda n, both, now: 1.0 / (n + 1),
+        "fw": lambda n, both, now: line_search(both, now, theta, points, search)}
+    if not callable(method) and method not in rules:
         raise ValueError(f"unknown method: {method}")
-    z = [k for k in theta if k != "tt"]
+    rule = method if callable(method) else rules[method]
+    still = uncongested or exogenous_times is not None
     start = C(exogenous_times) if exogenous_times else time_fn(F.lit(0.0))
-    links = pin(links.withColumn("tt", start.cast("double")))
-    base = paths.select("path_id", *OD, "nodes", "segs")
-    base = path_sums(base, links, z) if z else base
+    links = links.withColumn("tt", start.cast("double"))
+    # sums of features that do not change are kept; times are summed anew each time
+    carried = [k for k in theta if k in paths.columns and (still or k != "tt")]
+    fixed = list(theta) if still else [k for k in theta if k != "tt"]
+    base = ensure_sums(paths.select("path_id", *OD, "nodes", "segs", *carried), links, fixed)
     if path_size:
         base = base.join(path_size_factors(paths).select("path_id", "path_size"), "path_id")
-    base = pin(base)
+    if path_size or set(fixed) - set(carried):
+        base = pin(base)
 
     def assign(state: DataFrame, now: DataFrame, out: str) -> DataFrame:
-        df = path_sums(state.drop("tt", "v", "p", "q"), now, ["tt"])
-        df = df.withColumn("v", linear_utility(theta))
+        df = ensure_sums(state, now, list(theta)).withColumn("v", linear_utility(theta))
         if path_size:
             df = df.withColumn("v", C("v") + F.lit(float(path_size)) * F.log("path_size"))
-        return path_flows(df.drop("f"), od).withColumnRenamed("f", out)
+        return path_flows(df, od).withColumnRenamed("f", out)
 
     state = pin(assign(base, links, "f1"))
     log: list[dict[str, float]] = []
@@ -280,17 +331,15 @@ def equilibrium(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Mappin
         return gap
 
     record(0, 1.0)
-    if not (uncongested or exogenous_times):
+    if not still:
         for n in range(1, iters + 1):
             links = pin(link_flows(state, links, "f1").withColumn("tt", time_fn(C("x"))))
-            both = pin(assign(state.withColumnRenamed("f1", "_keep"), links, "f2")
-                       .withColumnRenamed("_keep", "f1"))
-            step = (1.0 / (n + 1) if method == "msa"
-                    else line_search(both, links, theta, points, search))
+            both = pin(assign(state.drop("tt", "v", "p", "q"), links, "f2"))
+            step = rule(n, both, links)
             state = pin(both.withColumn("f1", _blend(step)).drop("f2"))
             if record(n, step) < accuracy:
                 break
     final = link_flows(state, links, "f1")
-    if not (uncongested or exogenous_times):
+    if not still:
         final = final.withColumn("tt", time_fn(C("x")))
     return Equilibrium(state.withColumnRenamed("f1", "f"), pin(final), log)

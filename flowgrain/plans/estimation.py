@@ -15,14 +15,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import interval_label, linear_utility, soft_threshold
+from ..functions.scalars import bpr_time, interval_label, linear_utility, soft_threshold
 from ..operators.aggregates import lowest_share
 from ..operators.filters import LINK
 from ..operators.network import OD
 from ..scale import salted_join, scalar_join
 from ..session import pin
-from .choice import (equal_choice, equilibrium, link_sums, od_join, path_sums, predict,
-                     probabilities, salted_groups)
+from .choice import (ensure_sums, equal_choice, equilibrium, link_sums, predict,
+                     probabilities)
 from .stats import f_critical, f_upper, pseudo_inverse, t_critical, t_two_sided
 
 C = F.col
@@ -55,27 +55,23 @@ def loss_equal_choice(paths: DataFrame, links: DataFrame, od: DataFrame) -> Data
 # derivatives ---------------------------------------------------------------------------
 
 def response(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Theta,
-             second: bool = False, prepared: bool = False) -> DataFrame:
+             second: bool = False) -> DataFrame:
     """Links with flow ``x``, derivatives ``j_k`` and, if asked, second ones ``h_k``.
 
-    ``prepared`` says that ``paths`` already hold the feature sums.
+    Feature sums that ``paths`` already carry are used as they are.
     """
     names = list(theta)
-    df = paths if prepared else path_sums(paths.drop(*names), links, names)
-    df = df.withColumn("v", linear_utility(theta))
-    df = probabilities(salted_groups(df), {"p": "v"}, od, keep_salt=True)
+    df = ensure_sums(paths, links, names).withColumn("v", linear_utility(theta))
+    df = probabilities(df, {"p": "v"}, od, names, second)
     df = df.withColumn("f", F.coalesce("q", F.lit(0.0)) * C("p"))
-    df = od_join(df, {f"_mean_{k}": F.sum(C("p") * C(k)) for k in names})
+    cols = ["f"]
     for k in names:
-        df = df.withColumn(f"j_{k}", C("f") * (C(k) - C(f"_mean_{k}")))
-    cols = ["f", *[f"j_{k}" for k in names]]
-    if second:
-        df = od_join(df, {f"_var_{k}": F.sum(C("p") * F.pow(C(k) - C(f"_mean_{k}"), 2))
-                          for k in names})
-        for k in names:
-            df = df.withColumn(f"h_{k}", C("f") * (F.pow(C(k) - C(f"_mean_{k}"), 2)
-                                                   - C(f"_var_{k}")))
-        cols += [f"h_{k}" for k in names]
+        away = C(k) - C(f"mean_p_{k}")
+        df = df.withColumn(f"j_{k}", C("f") * away)
+        cols.append(f"j_{k}")
+        if second:
+            df = df.withColumn(f"h_{k}", C("f") * (away * away - C(f"var_p_{k}")))
+            cols.append(f"h_{k}")
     sums = link_sums(df, cols).withColumnRenamed("f", "x")
     out = links.drop("x").join(sums, LINK, "left")
     return out.na.fill(0.0, ["x", *cols[1:]])
@@ -155,8 +151,7 @@ UPDATES: dict[str, Callable[[np.ndarray, np.ndarray, np.ndarray, float, float],
 
 def step_candidates(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Theta,
                     method: str = "gauss-newton", eta: float = 0.1,
-                    damping: Sequence[float] = (0.0,), fixed: Sequence[str] = (),
-                    prepared: bool = False) -> tuple[float, list[dict[str, float]]]:
+                    damping: Sequence[float] = (0.0,), fixed: Sequence[str] = ()) -> tuple[float, list[dict[str, float]]]:
     """Current loss and the next parameters for each damping value.
 
     One aggregation leaves Spark: the loss, J'J and J'r of the free features. ``method``
@@ -164,7 +159,7 @@ def step_candidates(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Th
     """
     free = [k for k in theta if k not in fixed]
     second = method == "newton"
-    resp = response(paths, links, od, theta, second, prepared)
+    resp = response(paths, links, od, theta, second)
     row = normal_sums(resp, free, second).first()
     jj, jr = _matrix(row, free)
     hr = np.array([row[f"hr_{k}"] if second else 0.0 for k in free])
@@ -203,7 +198,7 @@ def flows_at(paths: DataFrame, links: DataFrame, od: DataFrame, grid: Sequence[T
              block: int = 16) -> list[tuple[int, DataFrame]]:
     """Links with flows flow_0, flow_1, … for each block of candidates."""
     names = sorted({k for t in grid for k in t})
-    base = path_sums(paths.drop(*names), links, names)
+    base = ensure_sums(paths, links, names)
     out = []
     for start in range(0, len(grid), block):
         part = list(grid)[start:start + block]
@@ -269,11 +264,18 @@ def estimate(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Theta, it
     ``inner`` are options of the equilibrium (e.g. ``uncongested=True``).
     """
     inner = dict(inner or {"uncongested": True})
+    still = bool(inner.get("uncongested") or inner.get("exogenous_times"))
     theta, lam = {k: float(t) for k, t in theta.items()}, 1e-2
     log: list[dict[str, object]] = []
     best: Fit | None = None
-    state = equilibrium(paths, links, od, theta, **inner)
+    # sums that no iteration changes are written once
+    if still:
+        times = inner.get("exogenous_times")
+        links = links.withColumn("tt", C(times) if times else bpr_time(F.lit(0.0)))
+    fixed_sums = [k for k in theta if still or k != "tt"]
+    base = pin(ensure_sums(paths.select("path_id", *OD, "nodes", "segs"), links, fixed_sums))
     for n in range(1, iters + 1):
+        state = equilibrium(base, links, od, theta, **inner)
         sse = float(loss(state.links).first()["sse"])
         log.append({"stage": stage, "iter": n, "objective": sse,
                     **{f"theta_{k}": t for k, t in theta.items()}})
@@ -281,13 +283,13 @@ def estimate(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Theta, it
             best = Fit(dict(theta), sse, state.links, state.paths)
         if n == iters:
             break
-        at = state.links.select(*[c for c in state.links.columns if c != "x"])
+        at = state.links.drop("x")
+        sums = base if still else pin(ensure_sums(base, at, ["tt"]))
         if method == "lm":
-            theta, lam, _ = damped_step(paths, at, od, theta, lam, fixed=fixed)
+            theta, lam, _ = damped_step(sums, at, od, theta, lam, fixed=fixed)
         else:
-            theta = step_candidates(paths, at, od, theta, method, eta, fixed=fixed)[1][0]
+            theta = step_candidates(sums, at, od, theta, method, eta, fixed=fixed)[1][0]
         theta = _project(theta, signs or {})
-        state = equilibrium(paths, links, od, theta, **inner)
     best.log = log
     return best
 
@@ -295,12 +297,11 @@ def estimate(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Theta, it
 def scale_stage(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Theta,
                 iters: int = 3, eta: float = 0.1) -> tuple[float, list[float]]:
     """One multiplier for all weights, moved against the sign of the gradient."""
-    base = path_sums(paths.drop(*theta), links, list(theta)).withColumn(
-        "scaled", linear_utility(theta))
+    base = ensure_sums(paths, links, list(theta)).withColumn("scaled", linear_utility(theta))
     base = pin(base)
     m, trail = 1.0, []
     for _ in range(iters):
-        resp = response(base, links, od, {"scaled": m}, prepared=True)
+        resp = response(base, links, od, {"scaled": m})
         g = float(gradient(resp, ["scaled"]).first()["g_scaled"])
         m -= eta * float(np.sign(g))
         trail.append(m)
@@ -397,19 +398,17 @@ def grid_scan(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Theta, n
     Rows (candidate, theta, sse, gradient, hessian); all values share one job.
     """
     names = list(theta)
-    df = path_sums(paths.drop(*names), links, names)
+    df = ensure_sums(paths, links, names)
     grid = [{**theta, name: float(x)} for x in values]
     for i, t in enumerate(grid):
         df = df.withColumn(f"_v{i}", linear_utility(t))
     n = range(len(grid))
-    df = probabilities(salted_groups(df), {f"_p{i}": f"_v{i}" for i in n}, od, keep_salt=True)
-    df = od_join(df, {f"_m{i}": F.sum(C(f"_p{i}") * C(name)) for i in n})
-    df = od_join(df, {f"_s{i}": F.sum(C(f"_p{i}") * F.pow(C(name) - C(f"_m{i}"), 2)) for i in n})
+    df = probabilities(df, {f"_p{i}": f"_v{i}" for i in n}, od, [name], second=True)
     cols = []
     for i in n:
-        f, dev = F.coalesce("q", F.lit(0.0)) * C(f"_p{i}"), C(name) - C(f"_m{i}")
-        cols += [f.alias(f"flow_{i}"), (f * dev).alias(f"first_{i}"),
-                 (f * (dev * dev - C(f"_s{i}"))).alias(f"second_{i}")]
+        f, away = F.coalesce("q", F.lit(0.0)) * C(f"_p{i}"), C(name) - C(f"mean__p{i}_{name}")
+        cols += [f.alias(f"flow_{i}"), (f * away).alias(f"first_{i}"),
+                 (f * (away * away - C(f"var__p{i}_{name}"))).alias(f"second_{i}")]
     names_out = [f"{a}_{i}" for i in n for a in ("flow", "first", "second")]
     sums = link_sums(df.select("segs", *cols), names_out)
     at = links.join(sums, LINK, "left").na.fill(0.0, names_out).where(C("count").isNotNull())
