@@ -144,7 +144,7 @@ SELECT {r("a", "time_part", 3)}, {r("b", "exogenous_part", 3)}, {r("e", "entropy
 def c07(spark, sf):
     net = _net(spark, sf)
     pf = pin(ch.path_flows(ch.path_utility(net.paths, net.links, THETA), net.od))
-    return rounded(ch.fisk_objective(pf, net.links, THETA), 3)
+    return rounded(ch.fisk_objective(net.paths, net.links, pf, THETA), 3)
 
 
 _LAMS = [i / 10 for i in range(11)]
@@ -172,28 +172,29 @@ def _along_sql(slope: bool, lams: list[float], digits: int) -> str:
 
 def _two(net):
     pf = ch.path_flows(ch.path_utility(net.paths, net.links, THETA), net.od)
-    return pin(pf.select("path_id", "o", "d", "segs", C("f").alias("f1"), C("trips").alias("f2")))
+    pf = pf.join(net.paths.select("path_id", "trips"), "path_id")
+    return pin(pf.select("path_id", "o", "d", C("f").alias("f1"), C("trips").alias("f2")))
 
 
 @query("C08_fisk_slopes", _along_sql(True, [0.25, 0.5, 0.75], 3))
 def c08(spark, sf):
     net = _net(spark, sf)
-    return rounded(ch.fisk_slopes(_two(net), net.links, THETA, [0.25, 0.5, 0.75]), slope=3)
+    return rounded(ch.fisk_slopes(net.paths, net.links, _two(net), THETA, [0.25, 0.5, 0.75]), slope=3)
 
 
 @query("C09_line_scan", _along_sql(False, _LAMS, 3))
 def c09(spark, sf):
     net = _net(spark, sf)
-    return rounded(ch.fisk_scan(_two(net), net.links, THETA, _LAMS), objective=3)
+    return rounded(ch.fisk_scan(net.paths, net.links, _two(net), THETA, _LAMS), objective=3)
 
 
 @query("C09_line_search")
 def c09_search(spark, sf):
     net = _net(spark, sf)
     two = _two(net)
-    rows = [(s, float(ch.line_search(two, net.links, THETA, 11, s))) for s in ("grid", "bisection")]
+    rows = [(s, float(ch.line_search(net.paths, net.links, two, THETA, 11, s))) for s in ("grid", "bisection")]
     chosen = spark.createDataFrame(rows, "search string, lambda double")
-    scan = ch.fisk_scan(two, net.links, THETA, [v for _, v in rows]).select("lambda", "objective")
+    scan = ch.fisk_scan(net.paths, net.links, two, THETA, [v for _, v in rows]).select("lambda", "objective")
     return chosen.join(scan.distinct(), "lambda")
 
 
@@ -436,7 +437,7 @@ def e10(spark, sf):
     net = _net(spark, sf)
     pf = pin(ch.path_flows(ch.path_utility(net.paths, net.links, THETA), net.od))
     prior = net.od.withColumn("q", C("q") * 0.9)
-    return rounded(es.adjust_demand(pf, ch.link_flows(pf, net.links), net.od, prior, step=0.01))
+    return rounded(es.adjust_demand(net.paths, pf, ch.link_flows(net.paths, net.links, pf), net.od, prior, step=0.01))
 
 
 @query("E11_t_tests")

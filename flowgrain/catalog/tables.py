@@ -96,7 +96,7 @@ def a12(spark, sf):
 def a13(spark, sf):
     from ..plans.choice import link_flows
     net = network(spark, sf)
-    return rounded(link_flows(net.paths, net.links, "trips").select("u", "v", "x"))
+    return rounded(link_flows(net.paths, net.links, flow="trips").select("u", "v", "x"))
 
 
 @query("A14_paths_per_link", with_views(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import (almost_zero, bpr_integral, bpr_time, entropy, linear_utility,
@@ -18,7 +18,7 @@ from ..functions.scalars import (almost_zero, bpr_integral, bpr_time, entropy, l
 from ..operators.filters import LINK
 from ..operators.network import OD, path_size_factors
 from ..scale import lookup, salted_join
-from ..session import pin
+from ..session import pin, store_bucketed
 
 C = F.col
 
@@ -32,30 +32,38 @@ def link_utility(links: DataFrame, theta: Mapping[str, float], out: str = "v_lin
 
 
 def path_sums(paths: DataFrame, links: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Add to each path the sum of each feature over its links."""
-    hops = paths.select("path_id", F.explode("segs").alias("seg")).select("path_id", "seg.*")
-    hops = lookup(hops, links.select(*LINK, *features), LINK, "inner")
-    sums = hops.groupBy("path_id").agg(*[F.sum(f).alias(f) for f in features])
-    return paths.join(sums, "path_id")
+    """Sum of each feature over the links of a path: rows (path_id, o, d, features).
 
+    The rows of a path come from one input row, so map-side sums leave one row per path.
+    """
+    hops = paths.select("path_id", *OD, F.explode("segs").alias("seg")).select(
+        "path_id", *OD, "seg.*")
+    hops = lookup(hops, links.select(*LINK, *features), LINK, "inner")
+    return hops.groupBy("path_id", *OD).agg(*[F.sum(f).alias(f) for f in features])
 
-def ensure_sums(paths: DataFrame, links: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Feature sums for the features ``paths`` does not carry yet.
 
-    A column named like a feature is taken as its sum, so loops over weights compute the
-    sums once. Drop it first when the link values have changed.
-    """
-    missing = [f for f in features if f not in paths.columns]
-    return path_sums(paths, links, missing) if missing else paths
+def feature_sums(paths: DataFrame, links: DataFrame, features: Sequence[str],
+                 known: DataFrame | None = None) -> DataFrame:
+    """``path_sums`` that takes features found in ``known`` from there."""
+    have = [f for f in features if known is not None and f in known.columns]
+    missing = [f for f in features if f not in have]
+    if not missing:
+        return known.select("path_id", *OD, *have)
+    new = path_sums(paths, links, missing)
+    return new.join(known.select("path_id", *have), "path_id") if have else new
 
 
 def path_utility(paths: DataFrame, links: DataFrame, theta: Mapping[str, float],
-                 path_size: float = 0.0, out: str = "v") -> DataFrame:
-    """Add the utility of each path, with the path-size term when its factor is not 0."""
-    names = list(theta)
-    df = ensure_sums(paths, links, names).withColumn(out, linear_utility(theta))
+                 path_size: float = 0.0, known: DataFrame | None = None, out: str = "v"
+                 ) -> DataFrame:
+    """Utility of each path, with the path-size term when its factor is not 0.
+
+    Rows are narrow (path_id, o, d, features, v): the link arrays stay in ``paths``.
+    """
+    df = feature_sums(paths, links, list(theta), known).withColumn(out, linear_utility(theta))
     if path_size:
-        sizes = path_size_factors(paths).select("path_id", "path_size")
+        sizes = (known if known is not None and "path_size" in known.columns
+                 else path_size_factors(paths)).select("path_id", "path_size")
         df = df.join(sizes, "path_id").withColumn(
             out, C(out) + F.lit(float(path_size)) * F.log("path_size"))
     return df
@@ -66,16 +74,16 @@ def utility_parts(paths: DataFrame, links: DataFrame, theta: Mapping[str, float]
     """Utility of each path split in flow-dependent, exogenous and path-specific parts."""
     y = {k: w for k, w in theta.items() if k in endogenous}
     z = {k: w for k, w in theta.items() if k not in endogenous}
-    df = ensure_sums(paths, links, list(theta))
+    df = path_sums(paths, links, list(theta))
     df = df.withColumn("v_y", linear_utility(y)).withColumn("v_z", linear_utility(z))
     sizes = path_size_factors(paths).select("path_id", "path_size")
     return df.join(sizes, "path_id").withColumn(
         "v_path", F.lit(float(path_size)) * F.log("path_size"))
 
 
-def od_join(paths: DataFrame, dim: DataFrame, how: str = "inner") -> DataFrame:
+def od_join(paths: DataFrame, dim: DataFrame) -> DataFrame:
     """Add one-row-per-OD columns; a hot OD's paths spread over salted tasks."""
-    return salted_join(paths, dim, OD, how)
+    return salted_join(paths, dim, OD)
 
 
 def normalize(paths: DataFrame, v: str = "v", out: str = "v_norm") -> DataFrame:
@@ -105,9 +113,8 @@ def choice_moments(paths: DataFrame, outs: Mapping[str, str], features: Sequence
         (tag, v), = outs.items()
         bands = paths.groupBy(*OD, F.floor(v).cast("double").alias("_band")).agg(
             *weighted(F.exp(C(v) - F.floor(v)), tag))
-        # a path's utility bands number few per OD, however many paths it has
-        tops = bands.groupBy(*OD).agg(F.max("_band").alias(f"_top_{tag}"))
-        bands = bands.join(tops, OD)
+        # an OD has few bands, however many paths it has
+        bands = bands.withColumn(f"_top_{tag}", F.max("_band").over(Window.partitionBy(*OD)))
         names = [f"_e_{tag}", *[f"_m{n}_{tag}_{k}" for k, n in moments]]
         shift = F.exp(C("_band") - C(f"_top_{tag}"))
         dim = bands.groupBy(*OD).agg(
@@ -147,7 +154,7 @@ def probabilities(paths: DataFrame, outs: Mapping[str, str], od: DataFrame | Non
 
 def choice(paths: DataFrame, links: DataFrame, theta: Mapping[str, float],
            path_size: float = 0.0) -> DataFrame:
-    """Paths with feature sums, utility v and probability p."""
+    """Feature sums, utility v and probability p of each path."""
     return probabilities(path_utility(paths, links, theta, path_size), {"p": "v"})
 
 
@@ -157,22 +164,30 @@ def path_flows(paths: DataFrame, od: DataFrame, v: str = "v") -> DataFrame:
     return df.withColumn("q", F.coalesce("q", F.lit(0.0))).withColumn("f", C("q") * C("p"))
 
 
-def link_sums(paths: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Sum of path columns over each link that some path uses."""
-    seg = paths.select(F.explode("segs").alias("seg"), *columns).select("seg.*", *columns)
+def link_sums(paths: DataFrame, columns: Sequence[str], values: DataFrame | None = None
+              ) -> DataFrame:
+    """Sum of path columns over each link that some path uses.
+
+    ``columns`` come from ``values`` by path_id, or from ``paths`` themselves.
+    """
+    df = paths.select("segs", *columns) if values is None else (
+        paths.select("path_id", "segs").join(values.select("path_id", *columns), "path_id"))
+    seg = df.select(F.explode("segs").alias("seg"), *columns).select("seg.*", *columns)
     return seg.groupBy(*LINK).agg(*[F.sum(c).alias(c) for c in columns])
 
 
-def link_flows(paths: DataFrame, links: DataFrame, flow: str = "f", out: str = "x") -> DataFrame:
+def link_flows(paths: DataFrame, links: DataFrame, values: DataFrame | None = None,
+               flow: str = "f", out: str = "x") -> DataFrame:
     """Links with their flow; 0 on links without a path."""
-    sums = link_sums(paths, [flow]).withColumnRenamed(flow, out)
+    sums = link_sums(paths, [flow], values).withColumnRenamed(flow, out)
     return links.drop(out).join(sums, LINK, "left").na.fill(0.0, [out])
 
 
 def predict(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Mapping[str, float],
             path_size: float = 0.0) -> DataFrame:
     """Link flows at fixed link features."""
-    return link_flows(path_flows(path_utility(paths, links, theta, path_size), od), links)
+    flows = path_flows(path_utility(paths, links, theta, path_size), od)
+    return link_flows(paths, links, flows)
 
 
 def equal_choice(paths: DataFrame, links: DataFrame, od: DataFrame) -> DataFrame:
@@ -184,15 +199,15 @@ def equal_choice(paths: DataFrame, links: DataFrame, od: DataFrame) -> DataFrame
 
 # equilibrium ---------------------------------------------------------------------------
 
-def fisk_objective(paths: DataFrame, links: DataFrame, theta: Mapping[str, float],
-                   flow: str = "f") -> DataFrame:
+def fisk_objective(paths: DataFrame, links: DataFrame, flows: DataFrame,
+                   theta: Mapping[str, float], flow: str = "f") -> DataFrame:
     """One row: travel-time integral, exogenous utility, entropy and their total."""
-    loaded = link_flows(paths, links, flow)
+    loaded = link_flows(paths, links, flows, flow)
     z = {k: w for k, w in theta.items() if k != "tt"}
     on_links = loaded.agg(
         (F.lit(float(theta["tt"])) * F.sum(bpr_integral("x"))).alias("time_part"),
         F.sum(linear_utility(z) * C("x")).alias("exogenous_part")).withColumn("_one", F.lit(1))
-    on_paths = paths.agg(F.sum(entropy(flow)).alias("entropy")).withColumn("_one", F.lit(1))
+    on_paths = flows.agg(F.sum(entropy(flow)).alias("entropy")).withColumn("_one", F.lit(1))
     return on_links.join(on_paths, "_one").select(
         "time_part", "exogenous_part", "entropy",
         (C("time_part") + C("exogenous_part") - C("entropy")).alias("objective"))
@@ -202,24 +217,24 @@ def _blend(lam: float, a: str = "f1", b: str = "f2") -> Column:
     return C(a) + F.lit(float(lam)) * (C(b) - C(a))
 
 
-def fisk_slopes(paths: DataFrame, links: DataFrame, theta: Mapping[str, float],
-                lambdas: Sequence[float]) -> DataFrame:
+def fisk_slopes(paths: DataFrame, links: DataFrame, flows: DataFrame,
+                theta: Mapping[str, float], lambdas: Sequence[float]) -> DataFrame:
     """Derivative of the objective along f1 -> f2 at each step size, one row per step."""
-    return _along(paths, links, theta, lambdas, slope=True)
+    return _along(paths, links, flows, theta, lambdas, slope=True)
 
 
-def fisk_scan(paths: DataFrame, links: DataFrame, theta: Mapping[str, float],
-              lambdas: Sequence[float]) -> DataFrame:
+def fisk_scan(paths: DataFrame, links: DataFrame, flows: DataFrame,
+              theta: Mapping[str, float], lambdas: Sequence[float]) -> DataFrame:
     """Objective along f1 -> f2 at each step size, one row per step, in one job.
 
     Link flows are linear in the step, so the paths are exploded once for all steps.
     """
-    return _along(paths, links, theta, lambdas, slope=False)
+    return _along(paths, links, flows, theta, lambdas, slope=False)
 
 
-def _along(paths: DataFrame, links: DataFrame, theta: Mapping[str, float],
+def _along(paths: DataFrame, links: DataFrame, flows: DataFrame, theta: Mapping[str, float],
            lambdas: Sequence[float], slope: bool) -> DataFrame:
-    ends = link_sums(paths, ["f1", "f2"])
+    ends = link_sums(paths, ["f1", "f2"], flows)
     loaded = links.drop("f1", "f2").join(ends, LINK, "left").na.fill(0.0, ["f1", "f2"])
     z = linear_utility({k: w for k, w in theta.items() if k != "tt"})
     tt = F.lit(float(theta["tt"]))
@@ -235,7 +250,7 @@ def _along(paths: DataFrame, links: DataFrame, theta: Mapping[str, float],
             path_aggs.append(F.sum(entropy(x)).alias(f"b{i}"))
     one = F.lit(1)
     both = loaded.agg(*link_aggs).withColumn("_one", one).join(
-        paths.agg(*path_aggs).withColumn("_one", one), "_one")
+        flows.agg(*path_aggs).withColumn("_one", one), "_one")
     name = "slope" if slope else "objective"
     cells = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(float(lam)).alias("lambda"),
                                (C(f"a{i}") - C(f"b{i}")).alias(name))
@@ -243,8 +258,8 @@ def _along(paths: DataFrame, links: DataFrame, theta: Mapping[str, float],
     return both.select(F.explode(cells).alias("c")).select("c.*")
 
 
-def line_search(paths: DataFrame, links: DataFrame, theta: Mapping[str, float], points: int = 11,
-                search: str = "grid") -> float:
+def line_search(paths: DataFrame, links: DataFrame, flows: DataFrame,
+                theta: Mapping[str, float], points: int = 11, search: str = "grid") -> float:
     """Step size toward f2 with the best objective.
 
     The grid search stops before the first step that does not improve; bisection halves
@@ -253,7 +268,8 @@ def line_search(paths: DataFrame, links: DataFrame, theta: Mapping[str, float],
     if search == "grid":
         grid = [i / (points - 1) for i in range(points)]
         best = None
-        for row in sorted(fisk_scan(paths, links, theta, grid).collect(), key=lambda r: r["step"]):
+        scan = fisk_scan(paths, links, flows, theta, grid).collect()
+        for row in sorted(scan, key=lambda r: r["step"]):
             if best is not None and not row["objective"] > best["objective"]:
                 break
             best = row
@@ -261,21 +277,22 @@ def line_search(paths: DataFrame, links: DataFrame, theta: Mapping[str, float],
     left, right, mid = 0.0, 1.0, 0.5
     for _ in range(points):
         mid = 0.5 * (left + right)
-        if fisk_slopes(paths, links, theta, [mid]).first()["slope"] < 0:
+        if fisk_slopes(paths, links, flows, theta, [mid]).first()["slope"] < 0:
             right = mid
         else:
             left = mid
     return mid
 
 
-StepRule = Callable[[int, DataFrame, DataFrame], float]
+# (iteration, paths, links, flows with f1 and f2) -> step toward f2
+StepRule = Callable[[int, DataFrame, DataFrame, DataFrame], float]
 
 
 @dataclass
 class Equilibrium:
-    """Final paths (p, f) and links (x, tt), with one log row per iteration."""
+    """Final path flows (path_id, o, d, p, q, f) and links (x, tt), one log row per iteration."""
 
-    paths: DataFrame
+    flows: DataFrame
     links: DataFrame
     log: list[dict[str, float]]
 
@@ -284,62 +301,79 @@ def equilibrium(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Mappin
                 iters: int = 9, method: str | StepRule = "fw", accuracy: float = 1e-4,
                 points: int = 11, search: str = "grid", uncongested: bool = False,
                 exogenous_times: str | None = None, path_size: float = 0.0,
-                time_fn=None) -> Equilibrium:
+                known: DataFrame | None = None, time_fn=None) -> Equilibrium:
     """Fixed point of travel times and path choice.
 
     Starts from the assignment at free flow. Each iteration assigns at the current
     times and moves toward the result, by 1 / (n + 1) (``msa``) or a line search
-    (``fw``), until the objective changes by less than ``accuracy``. ``method`` may also
-    be a rule ``(iteration, paths, links) -> step``. Uncongested and exogenous-time modes
-    stop after one assignment. State is written to the checkpoint folder every iteration,
-    so lineage stays short and executors can be lost.
+    (``fw``), until the objective changes by less than ``accuracy``; ``method`` may also
+    be a step rule. Uncongested and exogenous-time modes stop after one assignment.
+
+    The paths are written once, bucketed by path, and only read after that; what moves
+    between iterations are narrow path flows, written to the checkpoint folder so that
+    lineage stays short and executors can be lost. ``known`` holds feature sums that do
+    not change; with it, ``paths`` should already be stored.
     """
     time_fn = performance(time_fn)
     rules: dict[str, StepRule] = {
-        "msa": lambda n, both, now: 1.0 / (n + 1),
-        "fw": lambda n, both, now: line_search(both, now, theta, points, search)}
+        "msa": lambda n, paths_, links_, both: 1.0 / (n + 1),
+        "fw": lambda n, paths_, links_, both: line_search(paths_, links_, both, theta, points,
+                                                          search)}
     if not callable(method) and method not in rules:
         raise ValueError(f"unknown method: {method}")
     rule = method if callable(method) else rules[method]
     still = uncongested or exogenous_times is not None
     start = C(exogenous_times) if exogenous_times else time_fn(F.lit(0.0))
     links = links.withColumn("tt", start.cast("double"))
-    # sums of features that do not change are kept; times are summed anew each time
-    carried = [k for k in theta if k in paths.columns and (still or k != "tt")]
-    fixed = list(theta) if still else [k for k in theta if k != "tt"]
-    base = ensure_sums(paths.select("path_id", *OD, "nodes", "segs", *carried), links, fixed)
-    if path_size:
-        base = base.join(path_size_factors(paths).select("path_id", "path_size"), "path_id")
-    if path_size or set(fixed) - set(carried):
-        base = pin(base)
+    if known is None:
+        paths = prepare_paths(paths, still)
+        known = fixed_sums(paths, links, theta, still, path_size)
+    elif not still:
+        known = known.drop("tt")
 
-    def assign(state: DataFrame, now: DataFrame, out: str) -> DataFrame:
-        df = ensure_sums(state, now, list(theta)).withColumn("v", linear_utility(theta))
-        if path_size:
-            df = df.withColumn("v", C("v") + F.lit(float(path_size)) * F.log("path_size"))
-        return path_flows(df, od).withColumnRenamed("f", out)
+    def assign(now: DataFrame, out: str) -> DataFrame:
+        v = path_utility(paths, now, theta, path_size, known)
+        return path_flows(v, od).select("path_id", *OD, "p", "q", C("f").alias(out))
 
-    state = pin(assign(base, links, "f1"))
+    state = pin(assign(links, "f1"))
     log: list[dict[str, float]] = []
 
     def record(n: int, step: float) -> float:
-        f = state.withColumnRenamed("f1", "f")
-        value = float(fisk_objective(f, links, theta).first()["objective"])
+        value = float(fisk_objective(paths, links, state, theta, "f1").first()["objective"])
         prev = log[-1]["objective"] if log else None
         gap = abs((value - prev) / value) if prev is not None and value else float("nan")
         log.append({"iter": n, "step": step, "objective": value, "gap": gap})
         return gap
 
-    record(0, 1.0)
     if not still:
+        record(0, 1.0)
         for n in range(1, iters + 1):
-            links = pin(link_flows(state, links, "f1").withColumn("tt", time_fn(C("x"))))
-            both = pin(assign(state.drop("tt", "v", "p", "q"), links, "f2"))
-            step = rule(n, both, links)
+            links = pin(link_flows(paths, links, state, "f1").withColumn("tt", time_fn(C("x"))))
+            both = pin(assign(links, "f2").join(state.select("path_id", "f1"), "path_id"))
+            step = rule(n, paths, links, both)
             state = pin(both.withColumn("f1", _blend(step)).drop("f2"))
             if record(n, step) < accuracy:
                 break
-    final = link_flows(state, links, "f1")
+    final = link_flows(paths, links, state, "f1")
     if not still:
         final = final.withColumn("tt", time_fn(C("x")))
     return Equilibrium(state.withColumnRenamed("f1", "f"), pin(final), log)
+
+
+def prepare_paths(paths: DataFrame, still: bool = False) -> DataFrame:
+    """Path table for repeated reads; a single pass needs no bucketing."""
+    narrow = paths.select("path_id", *OD, "segs")
+    return narrow if still else store_bucketed(narrow, "path_id")
+
+
+def fixed_sums(paths: DataFrame, links: DataFrame, theta: Mapping[str, float], still: bool,
+               path_size: float = 0.0) -> DataFrame | None:
+    """Sums of features that no iteration changes, written once; times only when still."""
+    names = [k for k in theta if still or k != "tt"]
+    if not names and not path_size:
+        return None
+    df = path_sums(paths, links, names) if names else None
+    if path_size:
+        sizes = path_size_factors(paths)
+        df = sizes if df is None else df.join(sizes.select("path_id", "path_size"), "path_id")
+    return pin(df)

@@ -21,8 +21,8 @@ from ..operators.filters import LINK
 from ..operators.network import OD
 from ..scale import salted_join, scalar_join
 from ..session import pin
-from .choice import (ensure_sums, equal_choice, equilibrium, link_sums, predict,
-                     probabilities)
+from .choice import (equal_choice, equilibrium, feature_sums, fixed_sums, link_sums, path_sums,
+                     predict, prepare_paths, probabilities)
 from .stats import f_critical, f_upper, pseudo_inverse, t_critical, t_two_sided
 
 C = F.col
@@ -55,13 +55,13 @@ def loss_equal_choice(paths: DataFrame, links: DataFrame, od: DataFrame) -> Data
 # derivatives ---------------------------------------------------------------------------
 
 def response(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Theta,
-             second: bool = False) -> DataFrame:
+             second: bool = False, known: DataFrame | None = None) -> DataFrame:
     """Links with flow ``x``, derivatives ``j_k`` and, if asked, second ones ``h_k``.
 
-    Feature sums that ``paths`` already carry are used as they are.
+    ``known`` may hold feature sums of the paths, written earlier.
     """
     names = list(theta)
-    df = ensure_sums(paths, links, names).withColumn("v", linear_utility(theta))
+    df = feature_sums(paths, links, names, known).withColumn("v", linear_utility(theta))
     df = probabilities(df, {"p": "v"}, od, names, second)
     df = df.withColumn("f", F.coalesce("q", F.lit(0.0)) * C("p"))
     cols = ["f"]
@@ -72,7 +72,7 @@ def response(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Theta,
         if second:
             df = df.withColumn(f"h_{k}", C("f") * (away * away - C(f"var_p_{k}")))
             cols.append(f"h_{k}")
-    sums = link_sums(df, cols).withColumnRenamed("f", "x")
+    sums = link_sums(paths, cols, df).withColumnRenamed("f", "x")
     out = links.drop("x").join(sums, LINK, "left")
     return out.na.fill(0.0, ["x", *cols[1:]])
 
@@ -151,7 +151,8 @@ UPDATES: dict[str, Callable[[np.ndarray, np.ndarray, np.ndarray, float, float],
 
 def step_candidates(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Theta,
                     method: str = "gauss-newton", eta: float = 0.1,
-                    damping: Sequence[float] = (0.0,), fixed: Sequence[str] = ()) -> tuple[float, list[dict[str, float]]]:
+                    damping: Sequence[float] = (0.0,), fixed: Sequence[str] = (),
+                    known: DataFrame | None = None) -> tuple[float, list[dict[str, float]]]:
     """Current loss and the next parameters for each damping value.
 
     One aggregation leaves Spark: the loss, J'J and J'r of the free features. ``method``
@@ -159,7 +160,7 @@ def step_candidates(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Th
     """
     free = [k for k in theta if k not in fixed]
     second = method == "newton"
-    resp = response(paths, links, od, theta, second)
+    resp = response(paths, links, od, theta, second, known)
     row = normal_sums(resp, free, second).first()
     jj, jr = _matrix(row, free)
     hr = np.array([row[f"hr_{k}"] if second else 0.0 for k in free])
@@ -173,13 +174,13 @@ def step_candidates(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Th
 
 
 def losses_at(paths: DataFrame, links: DataFrame, od: DataFrame, grid: Sequence[Theta],
-              block: int = 16) -> DataFrame:
+              block: int = 16, known: DataFrame | None = None) -> DataFrame:
     """Loss at each candidate of ``grid`` as rows (candidate, n, sse).
 
     Candidates are columns: probabilities of all of them share two OD aggregations and
     one explode of the paths. ``block`` candidates go in one job.
     """
-    flows = flows_at(paths, links, od, grid, block)
+    flows = flows_at(paths, links, od, grid, block, known)
     seen = C("count").isNotNull()
     out = None
     for start, df in flows:
@@ -195,10 +196,10 @@ def losses_at(paths: DataFrame, links: DataFrame, od: DataFrame, grid: Sequence[
 
 
 def flows_at(paths: DataFrame, links: DataFrame, od: DataFrame, grid: Sequence[Theta],
-             block: int = 16) -> list[tuple[int, DataFrame]]:
+             block: int = 16, known: DataFrame | None = None) -> list[tuple[int, DataFrame]]:
     """Links with flows flow_0, flow_1, … for each block of candidates."""
     names = sorted({k for t in grid for k in t})
-    base = ensure_sums(paths, links, names)
+    base = feature_sums(paths, links, names, known)
     out = []
     for start in range(0, len(grid), block):
         part = list(grid)[start:start + block]
@@ -206,9 +207,9 @@ def flows_at(paths: DataFrame, links: DataFrame, od: DataFrame, grid: Sequence[T
         for i, theta in enumerate(part):
             df = df.withColumn(f"_v{i}", linear_utility(theta))
         df = probabilities(df, {f"_p{i}": f"_v{i}" for i in range(len(part))}, od)
-        df = df.select("segs", *[(F.coalesce("q", F.lit(0.0)) * C(f"_p{i}")).alias(f"flow_{i}")
+        df = df.select("path_id", *[(F.coalesce("q", F.lit(0.0)) * C(f"_p{i}")).alias(f"flow_{i}")
                                  for i in range(len(part))])
-        sums = link_sums(df, [f"flow_{i}" for i in range(len(part))])
+        sums = link_sums(paths, [f"flow_{i}" for i in range(len(part))], df)
         loaded = links.join(sums, LINK, "left").na.fill(0.0, [f"flow_{i}" for i in range(len(part))])
         out.append((start, loaded))
     return out
@@ -229,13 +230,16 @@ def flows_long(paths: DataFrame, links: DataFrame, od: DataFrame, grid: Sequence
 
 def damped_step(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Theta,
                 damping: float = 1e-2, down: float = 2.0, up: float = 3.0,
-                fixed: Sequence[str] = ()) -> tuple[dict[str, float], float, float]:
+                fixed: Sequence[str] = (), known: DataFrame | None = None
+                ) -> tuple[dict[str, float], float, float]:
     """Levenberg-Marquardt step: damping, damping / down and damping * up are tried in one
     job; the best is taken if it lowers the loss, otherwise the weights stay and the
     damping grows. Returns (weights, next damping, loss)."""
     tries = [damping, damping / down, damping * up]
-    now, steps = step_candidates(paths, links, od, theta, "lm", damping=tries, fixed=fixed)
-    rows = {r["candidate"]: r["sse"] for r in losses_at(paths, links, od, steps).collect()}
+    now, steps = step_candidates(paths, links, od, theta, "lm", damping=tries, fixed=fixed,
+                                 known=known)
+    found = losses_at(paths, links, od, steps, known=known).collect()
+    rows = {r["candidate"]: r["sse"] for r in found}
     best = min(rows, key=lambda i: (rows[i], i))
     if rows[best] < now:
         return steps[best], tries[best], rows[best]
@@ -251,7 +255,7 @@ class Fit:
     theta: dict[str, float]
     objective: float
     links: DataFrame
-    paths: DataFrame
+    flows: DataFrame
     log: list[dict[str, object]] = field(default_factory=list)
 
 
@@ -272,23 +276,24 @@ def estimate(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Theta, it
     if still:
         times = inner.get("exogenous_times")
         links = links.withColumn("tt", C(times) if times else bpr_time(F.lit(0.0)))
-    fixed_sums = [k for k in theta if still or k != "tt"]
-    base = pin(ensure_sums(paths.select("path_id", *OD, "nodes", "segs"), links, fixed_sums))
+    paths = prepare_paths(paths)
+    base = fixed_sums(paths, links, theta, still, float(inner.get("path_size", 0.0)))
     for n in range(1, iters + 1):
-        state = equilibrium(base, links, od, theta, **inner)
+        state = equilibrium(paths, links, od, theta, known=base, **inner)
         sse = float(loss(state.links).first()["sse"])
         log.append({"stage": stage, "iter": n, "objective": sse,
                     **{f"theta_{k}": t for k, t in theta.items()}})
         if best is None or sse < best.objective:
-            best = Fit(dict(theta), sse, state.links, state.paths)
+            best = Fit(dict(theta), sse, state.links, state.flows)
         if n == iters:
             break
         at = state.links.drop("x")
-        sums = base if still else pin(ensure_sums(base, at, ["tt"]))
+        sums = base if still else pin(feature_sums(paths, at, list(theta), base))
         if method == "lm":
-            theta, lam, _ = damped_step(sums, at, od, theta, lam, fixed=fixed)
+            theta, lam, _ = damped_step(paths, at, od, theta, lam, fixed=fixed, known=sums)
         else:
-            theta = step_candidates(sums, at, od, theta, method, eta, fixed=fixed)[1][0]
+            theta = step_candidates(paths, at, od, theta, method, eta, fixed=fixed,
+                                    known=sums)[1][0]
         theta = _project(theta, signs or {})
     best.log = log
     return best
@@ -297,25 +302,26 @@ def estimate(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Theta, it
 def scale_stage(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Theta,
                 iters: int = 3, eta: float = 0.1) -> tuple[float, list[float]]:
     """One multiplier for all weights, moved against the sign of the gradient."""
-    base = ensure_sums(paths, links, list(theta)).withColumn("scaled", linear_utility(theta))
+    base = path_sums(paths, links, list(theta)).withColumn("scaled", linear_utility(theta))
     base = pin(base)
     m, trail = 1.0, []
     for _ in range(iters):
-        resp = response(base, links, od, {"scaled": m})
+        resp = response(paths, links, od, {"scaled": m}, known=base)
         g = float(gradient(resp, ["scaled"]).first()["g_scaled"])
         m -= eta * float(np.sign(g))
         trail.append(m)
     return m, trail
 
 
-def adjust_demand(paths: DataFrame, links: DataFrame, od: DataFrame, prior: DataFrame,
-                  weight: float = 1e2, step: float = 1e-4) -> DataFrame:
+def adjust_demand(paths: DataFrame, flows: DataFrame, links: DataFrame, od: DataFrame,
+                  prior: DataFrame, weight: float = 1e2, step: float = 1e-4) -> DataFrame:
     """Projected gradient step on demand with a pull toward the prior.
 
-    ``paths`` hold probabilities p; ``links`` flows x and counts.
+    ``flows`` hold path probabilities p; ``links`` flows x and counts.
     """
     gap = F.coalesce(C("x") - C("count"), F.lit(0.0))
-    hops = paths.select(*OD, "path_id", "p", F.explode("segs").alias("seg")).select(
+    hops = paths.select("path_id", *OD, "segs").join(flows.select("path_id", "p"), "path_id")
+    hops = hops.select(*OD, "path_id", "p", F.explode("segs").alias("seg")).select(
         *OD, "path_id", "p", "seg.*")
     each = salted_join(hops, links.select(*LINK, gap.alias("_gap")), LINK)
     slope = each.groupBy(*OD).agg(F.sum(C("p") * C("_gap")).alias("_g"))
@@ -398,7 +404,7 @@ def grid_scan(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Theta, n
     Rows (candidate, theta, sse, gradient, hessian); all values share one job.
     """
     names = list(theta)
-    df = ensure_sums(paths, links, names)
+    df = path_sums(paths, links, names)
     grid = [{**theta, name: float(x)} for x in values]
     for i, t in enumerate(grid):
         df = df.withColumn(f"_v{i}", linear_utility(t))
@@ -410,7 +416,7 @@ def grid_scan(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Theta, n
         cols += [f.alias(f"flow_{i}"), (f * away).alias(f"first_{i}"),
                  (f * (away * away - C(f"var__p{i}_{name}"))).alias(f"second_{i}")]
     names_out = [f"{a}_{i}" for i in n for a in ("flow", "first", "second")]
-    sums = link_sums(df.select("segs", *cols), names_out)
+    sums = link_sums(paths, names_out, df.select("path_id", *cols))
     at = links.join(sums, LINK, "left").na.fill(0.0, names_out).where(C("count").isNotNull())
     aggs = []
     for i in n:

@@ -25,16 +25,22 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def _salt(df: DataFrame, salts: int, keys: Sequence[str] = ()) -> Column:
+def salt_of(df: DataFrame, salts: int = SALTS, keys: Sequence[str] = ()) -> Column:
     """Salt from the row's exact columns: a retried task must repeat it, and the last
-    digits of a recomputed floating-point sum may not."""
-    def has(kind: str, f) -> bool:
-        return kind in f.dataType.simpleString()
-    hashable = [f for f in df.schema.fields if not has("map<", f)]
-    exact = [f.name for f in hashable if not (has("double", f) or has("float", f))]
-    if not set(exact) - set(keys):
-        exact = [f.name for f in hashable]
-    return F.pmod(F.xxhash64(*exact), F.lit(salts)).cast("int")
+    digits of a recomputed floating-point sum may not. Plain columns are preferred, so
+    wide arrays are neither read nor hashed for it."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    usable = [n for n, k in kinds.items() if "map<" not in k]
+    exact = [n for n in usable if "double" not in kinds[n] and "float" not in kinds[n]]
+    plain = [n for n in exact if "<" not in kinds[n]]
+    for names in (plain, exact):
+        if set(names) - set(keys):
+            return F.pmod(F.xxhash64(*names), F.lit(salts)).cast("int")
+    return F.pmod(F.xxhash64(*usable), F.lit(salts)).cast("int")
+
+
+def per_salt(dim: DataFrame, salts: int = SALTS) -> DataFrame:
+    return dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
 def salted_join(big: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "inner",
@@ -44,9 +50,8 @@ def salted_join(big: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "i
     Rows should carry an id so that copies of one row spread too. ``dim`` is replicated
     per salt and must hold few rows per key.
     """
-    left = big.withColumn("_salt", _salt(big, salts, on))
-    right = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    left = big.withColumn("_salt", salt_of(big, salts, on))
+    return left.join(per_salt(dim, salts), [*on, "_salt"], how).drop("_salt")
 
 
 def lookup(big: DataFrame, dim: DataFrame, on: Sequence[str] | str, how: str = "left",
