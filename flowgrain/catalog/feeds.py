@@ -272,3 +272,12 @@ def m30(spark, sf):
 def m30_overall(spark, sf):
     from ..functions.metrics import evaluate
     return rounded(evaluate(_pairs(spark, sf), ["rmse", "mdae", "rae", "maape"]), 4)
+
+
+@query("V04_own_metric", with_views(
+    f"SELECT series, {r('max(abs(e))', 'max_ae', 4)}, {r('avg(e * e)', 'mse', 4)} FROM seen GROUP BY series",
+    pairs=PAIRS, seen=_SEEN))
+def v04(spark, sf):
+    from ..functions.metrics import evaluate, register_metric
+    register_metric("max_ae", lambda: F.max(F.abs(C("actual") - C("predicted"))))
+    return rounded(evaluate(_pairs(spark, sf), ["max_ae", "mse"], ["series"]), 4)

@@ -522,6 +522,16 @@ def v01(spark, sf):
     return rounded(network(spark, sf).links.select("u", "v", time("load").alias("tt")))
 
 
+@query("V05_row_functions", """
+SELECT c_custkey, c_acctbal / 1000 AS balance_k, substr(c_name, 10) AS tail FROM customer""")
+def v05(spark, sf):
+    # per-row lambdas of a data frame are column expressions, never Python calls
+    from .bindings import table
+    return table(spark, sf, "customer").select(
+        "c_custkey", (C("c_acctbal") / 1000).alias("balance_k"),
+        F.substring("c_name", 10, 100).alias("tail"))
+
+
 # imputation and sampling ---------------------------------------------------------------
 
 _CUT = (f"SELECT quantile_cont(length, 0.05) AS lo, quantile_cont(length, 0.9) AS hi FROM links "
@@ -622,9 +632,10 @@ def i11(spark, sf):
     return sm.random_share(seen, ["u", "v"], 0.25, 5, [31, 17]).select("u", "v")
 
 
-@query("T04_random_links")
+@query("T04_random_links", with_views("SELECT u, v FROM ranks ORDER BY pos LIMIT 20", "links",
+                                      ranks=_rank_sql("links", "u", "v")))
 def t04(spark, sf):
-    return agg.random_links(network(spark, sf).links, 20, 7)
+    return agg.random_links(network(spark, sf).links, 20, 5, ["u", "v"], [31, 17])
 
 
 @query("U02_difference", with_views("""

@@ -188,14 +188,25 @@ def c09(spark, sf):
     return rounded(ch.fisk_scan(net.paths, net.links, _two(net), THETA, _LAMS), objective=3)
 
 
-@query("C09_line_search")
-def c09_search(spark, sf):
+_STEPS = _along_sql(False, _LAMS, 9)
+
+
+@query("C09_line_search_grid", f"""
+WITH scan AS ({_STEPS})
+SELECT "lambda" FROM scan WHERE step = (SELECT coalesce(min(step) - 1, 10) FROM (
+  SELECT step, objective, lag(objective) OVER (ORDER BY step) AS prev FROM scan) WHERE objective <= prev)""")
+def c09_grid(spark, sf):
+    net = _net(spark, sf)
+    step = ch.line_search(net.paths, net.links, _two(net), THETA, 11, "grid")
+    return spark.createDataFrame([(float(step),)], "lambda double")
+
+
+@query("C09_line_search_bisection")
+def c09_bisection(spark, sf):
     net = _net(spark, sf)
     two = _two(net)
-    rows = [(s, float(ch.line_search(net.paths, net.links, two, THETA, 11, s))) for s in ("grid", "bisection")]
-    chosen = spark.createDataFrame(rows, "search string, lambda double")
-    scan = ch.fisk_scan(net.paths, net.links, two, THETA, [v for _, v in rows]).select("lambda", "objective")
-    return chosen.join(scan.distinct(), "lambda")
+    step = float(ch.line_search(net.paths, net.links, two, THETA, 11, "bisection"))
+    return ch.fisk_slopes(net.paths, net.links, two, THETA, [step]).select("lambda", "slope")
 
 
 def _msa_parts(iters: int) -> dict[str, str]:
@@ -231,6 +242,15 @@ def c10_fw(spark, sf):
     return eq.links.select("u", "v", "x", "tt")
 
 
+@query("V03_own_step_rule", sql(f"SELECT u, v, {r('x', 'x', 4)} FROM xf", {
+    k: t.replace("/ 2 AS f", "* 0.25::DOUBLE AS f") for k, t in _msa_parts(1).items()}))
+def v03(spark, sf):
+    net = _net(spark, sf)
+    eq = ch.equilibrium(net.paths, net.links, net.od, THETA, iters=1, accuracy=0.0,
+                        method=lambda n, paths, links, both: 0.25)
+    return rounded(eq.links.select("u", "v", "x"), 4)
+
+
 @query("C11_exogenous_times", sql(f"SELECT u, v, {r('x', 'x')} FROM xf", {
     "sums": _SUM.replace("sum(l.tt) AS tt", "sum(l.tf * 1.2::DOUBLE + l.s) AS tt"),
     "pf": prob(util(THETA), "sums"), "xf": spread("pf", {"x": "f"})}))
@@ -440,6 +460,23 @@ def e10(spark, sf):
     return rounded(es.adjust_demand(net.paths, pf, ch.link_flows(net.paths, net.links, pf), net.od, prior, step=0.01))
 
 
+_DET = ("(jj_tt_tt * (jj_c_c * jj_s_s - jj_c_s * jj_c_s) - jj_tt_c * (jj_tt_c * jj_s_s - jj_c_s * jj_tt_s)"
+        " + jj_tt_s * (jj_tt_c * jj_c_s - jj_c_c * jj_tt_s))")
+_COF = {"tt": "(jj_c_c * jj_s_s - jj_c_s * jj_c_s)", "c": "(jj_tt_tt * jj_s_s - jj_tt_s * jj_tt_s)",
+        "s": "(jj_tt_tt * jj_c_c - jj_tt_c * jj_tt_c)"}
+_RAW = ", ".join(["count(count) AS n", f"sum({_E} * {_E}) AS sse"] + [
+    f"sum(j_{a} * j_{b}) AS jj_{a}_{b}" for i, a in enumerate(NAMES) for b in NAMES[i:]])
+
+
+@query("E11_t_values", sql(" UNION ALL ".join(
+    f"SELECT '{k}' AS parameter, {THETA[k]!r}::DOUBLE AS est, "
+    + r(f"{THETA[k]!r}::DOUBLE / sqrt(sse / (n - 3) * {_COF[k]} / {_DET})", "t_test", 5)
+    + " FROM ns" for k in NAMES), {**RS, "ns": f"SELECT {_RAW} FROM rs WHERE count IS NOT NULL"}))
+def e11_values(spark, sf):
+    tests = es.t_tests(pin(_resp(spark, sf)), THETA)
+    return rounded(tests.select("parameter", "est", "t_test"), 5, est=-1)
+
+
 @query("E11_t_tests")
 def e11(spark, sf):
     return es.t_tests(pin(_resp(spark, sf)), THETA)
@@ -554,14 +591,15 @@ def r09(spark, sf):
     return rounded(monotonicity(long.withColumn("theta", theta), _GRID))
 
 
-@query("E16_random_search")
+_DRAWS = es.random_grid({"tt": (-1, 0), "c": (-1, 0), "s": (-1, 0)}, 8, 5)
+
+
+@query("E16_random_search", sql(" UNION ALL ".join(
+    f"SELECT {i} AS candidate, count(count) AS n, {r('sum(pow(x - count, 2))', 'sse', 2)} "
+    f"FROM xf{i} WHERE count IS NOT NULL" for i in range(len(_DRAWS))), _flow_parts(_DRAWS)))
 def e16(spark, sf):
     net = _net(spark, sf)
-    grid = es.random_grid({"tt": (-1, 0), "c": (-1, 0), "s": (-1, 0)}, 8, 5)
-    out = es.losses_at(net.paths, net.links, net.od, grid)
-    drawn = spark.createDataFrame([(i, g["tt"], g["c"], g["s"]) for i, g in enumerate(grid)],
-                                  "candidate int, tt double, c double, s double")
-    return out.join(drawn, "candidate")
+    return rounded(es.losses_at(net.paths, net.links, net.od, _DRAWS), 2)
 
 
 @query("E17_demand_scale", sql(" UNION ALL ".join(

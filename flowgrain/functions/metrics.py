@@ -106,7 +106,15 @@ MEDIAN: dict[str, tuple[Callable[[], Column], Callable[[Column], Column]]] = {
     "rmdspe": (lambda: _pe() * _pe(), F.sqrt),
     "mdrae": (lambda: F.abs(_re()), lambda m: m),
 }
-METRICS: tuple[str, ...] = (*SIMPLE, *CENTERED, *ORDERED, *MEDIAN)
+
+
+def metric_names() -> tuple[str, ...]:
+    return (*SIMPLE, *CENTERED, *ORDERED, *MEDIAN)
+
+
+def register_metric(name: str, aggregate: Callable[[], Column]) -> None:
+    """Add a metric: a builder of an aggregate over ``actual`` and ``predicted``."""
+    SIMPLE[name] = aggregate
 
 
 def evaluate(df: DataFrame, metrics: Sequence[str] = ("mse", "rmse", "nrmse", "mae"),
@@ -118,7 +126,7 @@ def evaluate(df: DataFrame, metrics: Sequence[str] = ("mse", "rmse", "nrmse", "m
     Metrics against earlier rows need ``order``. All plain metrics come from one
     aggregation; a metric that cannot be computed is NULL.
     """
-    unknown = [m for m in metrics if m not in METRICS]
+    unknown = [m for m in metrics if m not in metric_names()]
     if unknown:
         raise ValueError(f"unknown metrics: {unknown}")
     by = list(by)

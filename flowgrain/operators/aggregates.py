@@ -266,7 +266,9 @@ def first_decrease(scan: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return best.select(*by, "_b.*")
 
 
-def random_links(links: DataFrame, n: int, seed: int = 0, key: Sequence[str] = LINK) -> DataFrame:
+def random_links(links: DataFrame, n: int, seed: int = 0, key: Sequence[str] = LINK,
+                 weights: Sequence[int] | None = None) -> DataFrame:
     """``n`` links in a repeatable random order of their keys."""
-    pick = links.select(*key).distinct().withColumn("_h", F.xxhash64(*key, F.lit(seed)))
+    from .sampling import pick_order
+    pick = links.select(*key).distinct().withColumn("_h", pick_order(key, seed, weights))
     return pick.orderBy("_h", *key).limit(n).drop("_h")

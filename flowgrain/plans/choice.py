@@ -220,7 +220,7 @@ def _blend(lam: float, a: str = "f1", b: str = "f2") -> Column:
 def fisk_slopes(paths: DataFrame, links: DataFrame, flows: DataFrame,
                 theta: Mapping[str, float], lambdas: Sequence[float]) -> DataFrame:
     """Derivative of the objective along f1 -> f2 at each step size, one row per step."""
-    return _along(paths, links, flows, theta, lambdas, slope=True)
+    return _along(step_ends(paths, links, flows), flows, theta, lambdas, slope=True)
 
 
 def fisk_scan(paths: DataFrame, links: DataFrame, flows: DataFrame,
@@ -229,13 +229,17 @@ def fisk_scan(paths: DataFrame, links: DataFrame, flows: DataFrame,
 
     Link flows are linear in the step, so the paths are exploded once for all steps.
     """
-    return _along(paths, links, flows, theta, lambdas, slope=False)
+    return _along(step_ends(paths, links, flows), flows, theta, lambdas, slope=False)
 
 
-def _along(paths: DataFrame, links: DataFrame, flows: DataFrame, theta: Mapping[str, float],
-           lambdas: Sequence[float], slope: bool) -> DataFrame:
+def step_ends(paths: DataFrame, links: DataFrame, flows: DataFrame) -> DataFrame:
+    """Links with their flows f1 and f2 at the two ends of a step."""
     ends = link_sums(paths, ["f1", "f2"], flows)
-    loaded = links.drop("f1", "f2").join(ends, LINK, "left").na.fill(0.0, ["f1", "f2"])
+    return links.drop("f1", "f2").join(ends, LINK, "left").na.fill(0.0, ["f1", "f2"])
+
+
+def _along(loaded: DataFrame, flows: DataFrame, theta: Mapping[str, float],
+           lambdas: Sequence[float], slope: bool) -> DataFrame:
     z = linear_utility({k: w for k, w in theta.items() if k != "tt"})
     tt = F.lit(float(theta["tt"]))
     link_aggs, path_aggs = [], []
@@ -274,10 +278,11 @@ def line_search(paths: DataFrame, links: DataFrame, flows: DataFrame,
                 break
             best = row
         return float(best["lambda"])
+    loaded = pin(step_ends(paths, links, flows))
     left, right, mid = 0.0, 1.0, 0.5
     for _ in range(points):
         mid = 0.5 * (left + right)
-        if fisk_slopes(paths, links, flows, theta, [mid]).first()["slope"] < 0:
+        if _along(loaded, flows, theta, [mid], slope=True).first()["slope"] < 0:
             right = mid
         else:
             left = mid
