@@ -70,9 +70,9 @@ def s03(spark, sf):
     e.select(C("event_id").alias("ID"), C("event_id").alias("Severity"), start.alias("Start_Time"),
              start.alias("End_Time"), F.lit(36.7).alias("Start_Lat"), F.lit(-119.8).alias("Start_Lng"),
              F.lit(36.7).alias("End_Lat"), F.lit(-119.8).alias("End_Lng"), C("props").alias("Description"),
-             F.when(C("event_type") == "error", "Fresno").otherwise(C("event_type")).alias("County")
+             F.when(C("event_type") == "error", "Kern").otherwise(C("event_type")).alias("County")
              ).write.option("header", True).option("escape", '"').csv(folder)
-    df = src.read_incidents(spark, folder, "Fresno", {"hour": [7, 8, 16, 17]})
+    df = src.read_incidents(spark, folder, "Kern", {"hour": [7, 8, 16, 17]})
     return df.select("Severity", "hour", "start_ts")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import lagged, percentiles, salted_join, scalar_join
+from ..scale import group_join, lagged, percentiles, scalar_join
 
 # Fixed value: keeps denominators away from zero.
 EPS = 1e-10
@@ -142,8 +142,7 @@ def evaluate(df: DataFrame, metrics: Sequence[str] = ("mse", "rmse", "nrmse", "m
     if any(m in CENTERED for m in metrics):
         means = {"_abar": F.avg(_a()), "_mae": F.avg(F.abs(_e())), "_mape": F.avg(F.abs(_pe()))}
         if by:
-            dim = rows.groupBy(*by).agg(*[c.alias(n) for n, c in means.items()])
-            rows = salted_join(rows, dim, by)
+            rows = group_join(rows, by, means)
         else:
             rows = scalar_join(rows, means)
     exprs = []

@@ -174,21 +174,21 @@ def match_segments(links: DataFrame, segments: DataFrame, reach: float,
 
 
 def nearest_link(stations: DataFrame, links: DataFrame, first_reach: float,
-                 station: str = "station_id", link: Sequence[str] = ("u", "v"),
-                 rounds: int = 64) -> DataFrame:
+                 station: str = "station_id", link: Sequence[str] = ("u", "v")) -> DataFrame:
     """Link with the smallest Hausdorff distance to each station, without all pairs.
 
     A link's middle is never farther than its Hausdorff distance, so a station whose
     best candidate within the reach lies within the reach is settled; the rest search
-    again at twice the reach.
+    again at twice the reach. Stations without coordinates are left out.
     """
     mids = links.select(*link, "x1", "y1", "x2", "y2",
                         ((C("x1") + C("x2")) / 2).alias("_mx"),
                         ((C("y1") + C("y2")) / 2).alias("_my"))
-    todo, reach, found = stations.select(station, "x", "y"), float(first_reach), None
+    placed = stations.select(station, "x", "y").where("x IS NOT NULL AND y IS NOT NULL")
+    todo, reach, found = placed, float(first_reach), None
     if links.limit(1).count() == 0:
         raise ValueError("no links to match")
-    for _ in range(rounds):
+    while True:
         tiles = (todo.withColumn("_cx", F.explode(F.sequence(_cell(C("x"), reach) - 1,
                                                              _cell(C("x"), reach) + 1)))
                  .withColumn("_cy", F.explode(F.sequence(_cell(C("y"), reach) - 1,

@@ -18,7 +18,7 @@ from ..functions.scalars import (almost_zero, bpr_integral, bpr_time, entropy, l
 from ..operators.filters import LINK
 from ..operators.network import OD, path_size_factors
 from ..scale import lookup, salted_join
-from ..session import pin, store_bucketed
+from ..session import bucketed, pin
 
 C = F.col
 
@@ -330,12 +330,22 @@ def equilibrium(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Mappin
     still = uncongested or exogenous_times is not None
     start = C(exogenous_times) if exogenous_times else time_fn(F.lit(0.0))
     links = links.withColumn("tt", start.cast("double"))
-    if known is None:
-        paths = prepare_paths(paths, still)
-        known = fixed_sums(paths, links, theta, still, path_size)
-    elif not still:
-        known = known.drop("tt")
 
+    def run(stored: DataFrame, sums: DataFrame | None) -> Equilibrium:
+        return _iterate(stored, links, od, theta, iters, rule, accuracy, still, path_size, sums,
+                        time_fn)
+
+    if known is not None:
+        return run(paths, known if still else known.drop("tt"))
+    narrow = paths.select("path_id", *OD, "segs")
+    if still:
+        return run(narrow, fixed_sums(narrow, links, theta, still, path_size))
+    with bucketed(narrow, "path_id") as stored:
+        return run(stored, fixed_sums(stored, links, theta, still, path_size))
+
+
+def _iterate(paths, links, od, theta, iters, rule, accuracy, still, path_size, known, time_fn
+             ) -> Equilibrium:
     def assign(now: DataFrame, out: str) -> DataFrame:
         v = path_utility(paths, now, theta, path_size, known)
         return path_flows(v, od).select("path_id", *OD, "p", "q", C("f").alias(out))
@@ -365,12 +375,6 @@ def equilibrium(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Mappin
     return Equilibrium(state.withColumnRenamed("f1", "f"), pin(final), log)
 
 
-def prepare_paths(paths: DataFrame, still: bool = False) -> DataFrame:
-    """Path table for repeated reads; a single pass needs no bucketing."""
-    narrow = paths.select("path_id", *OD, "segs")
-    return narrow if still else store_bucketed(narrow, "path_id")
-
-
 def fixed_sums(paths: DataFrame, links: DataFrame, theta: Mapping[str, float], still: bool,
                path_size: float = 0.0) -> DataFrame | None:
     """Sums of features that no iteration changes, written once; times only when still."""

@@ -20,9 +20,9 @@ from ..operators.aggregates import lowest_share
 from ..operators.filters import LINK
 from ..operators.network import OD
 from ..scale import salted_join, scalar_join
-from ..session import pin
+from ..session import bucketed, pin
 from .choice import (equal_choice, equilibrium, feature_sums, fixed_sums, link_sums, path_sums,
-                     predict, prepare_paths, probabilities)
+                     predict, probabilities)
 from .stats import f_critical, f_upper, pseudo_inverse, t_critical, t_two_sided
 
 C = F.col
@@ -269,15 +269,22 @@ def estimate(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Theta, it
     """
     inner = dict(inner or {"uncongested": True})
     still = bool(inner.get("uncongested") or inner.get("exogenous_times"))
-    theta, lam = {k: float(t) for k, t in theta.items()}, 1e-2
-    log: list[dict[str, object]] = []
-    best: Fit | None = None
+    theta = {k: float(t) for k, t in theta.items()}
     # sums that no iteration changes are written once
     if still:
         times = inner.get("exogenous_times")
         links = links.withColumn("tt", C(times) if times else bpr_time(F.lit(0.0)))
-    paths = prepare_paths(paths)
-    base = fixed_sums(paths, links, theta, still, float(inner.get("path_size", 0.0)))
+    with bucketed(paths.select("path_id", *OD, "segs"), "path_id") as stored:
+        base = fixed_sums(stored, links, theta, still, float(inner.get("path_size", 0.0)))
+        return _alternate(stored, links, od, theta, iters, method, eta, signs or {}, fixed, inner,
+                          still, base, stage)
+
+
+def _alternate(paths, links, od, theta, iters, method, eta, signs, fixed, inner, still, base, stage
+               ) -> Fit:
+    log: list[dict[str, object]] = []
+    best: Fit | None = None
+    lam = 1e-2
     for n in range(1, iters + 1):
         state = equilibrium(paths, links, od, theta, known=base, **inner)
         sse = float(loss(state.links).first()["sse"])
@@ -294,7 +301,7 @@ def estimate(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Theta, it
         else:
             theta = step_candidates(paths, at, od, theta, method, eta, fixed=fixed,
                                     known=sums)[1][0]
-        theta = _project(theta, signs or {})
+        theta = _project(theta, signs)
     best.log = log
     return best
 

@@ -16,13 +16,34 @@ from pyspark.sql import functions as F
 from .session import pin
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 GROUP_ROWS = 1_000_000
 SALTS = 16
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``rows`` rows; reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
+def _row_bytes(df: DataFrame) -> Column:
+    """Upper estimate of a row's size; variable-width columns are measured."""
+    total = F.lit(16)
+    for f in df.schema.fields:
+        kind = f.dataType.simpleString()
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(f.name), F.lit(0)) + F.lit(8)
+        elif "<" in kind:
+            text = F.to_json(F.struct(f.name))
+            total = total + F.lit(2) * F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(16)
+        else:
+            total = total + F.lit(16)
+    return total
+
+
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """True when ``df`` has at most ``rows`` rows of at most ``size`` bytes together.
+
+    No more than ``rows`` rows are read; they are counted and measured, not estimated.
+    """
+    n, width = df.limit(rows + 1).agg(F.count(F.lit(1)),
+                                      F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first()
+    return n <= rows and width <= size
 
 
 def salt_of(df: DataFrame, salts: int = SALTS, keys: Sequence[str] = ()) -> Column:
@@ -187,13 +208,3 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[s
                               F.col("_v")))
         out.append((lo_col + (hi_col - lo_col) * F.max(at - low)).alias(name))
     return run.groupBy(*keys).agg(*out)
-
-
-def first_n(df: DataFrame, order: Sequence[Column], n: Column | int,
-            stats: Mapping[str, Column] | None = None) -> DataFrame:
-    """Rows at global positions 1..n; ``n`` may use whole-table ``stats``."""
-    out = ranked(df, [], order, "_pos")
-    if stats:
-        out = scalar_join(out, stats, df)
-    keep = n if isinstance(n, Column) else F.lit(n)
-    return out.where(F.col("_pos") <= keep).drop("_pos", *(stats or {}))

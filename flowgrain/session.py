@@ -4,24 +4,29 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
     A temporary folder is used only when the setting is absent and the session is
     local; on a cluster a missing setting is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(context.applicationId)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="flowgrain-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
+        named = _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="flowgrain-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
     return named
 
 
@@ -42,15 +47,22 @@ def store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def store_bucketed(df: DataFrame, key: str) -> DataFrame:
-    """Write ``df`` once as a table bucketed by ``key``; later joins and groupings on it
-    read the buckets in place instead of shuffling the table again."""
+@contextmanager
+def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
+    """Write ``df`` once as a table bucketed by ``key``; joins and groupings on it inside
+    the block read the buckets in place instead of shuffling the table again.
+
+    The catalog entry goes away at the end, so results must be written by then.
+    """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"flowgrain_{uuid.uuid4().hex}"
     (df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key)
      .option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name))
-    return spark.table(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def utc(spark: SparkSession) -> SparkSession:

@@ -12,17 +12,14 @@ from ..operators.reshape import stages
 C = F.col
 
 
-def write_days(df: DataFrame, folder: str, day: str = "dt", files: int = 4) -> None:
-    """One folder per day. A busy day spreads over up to ``files`` files."""
-    spread = df.withColumn("_f", F.pmod(F.xxhash64(*df.columns), F.lit(files)))
-    (spread.repartition(day, "_f").drop("_f")
-     .write.mode("overwrite").partitionBy(day).parquet(folder))
+def write_days(df: DataFrame, folder: str, day: str = "dt") -> None:
+    """One folder per day. Rebalancing splits a busy day and merges quiet ones by size."""
+    df.hint("rebalance", day).write.mode("overwrite").partitionBy(day).parquet(folder)
 
 
-def write_years(df: DataFrame, folder: str, day: str = "dt", files: int = 16) -> None:
-    spread = df.withColumn("year", F.year(day)).withColumn(
-        "_f", F.pmod(F.xxhash64(*df.columns), F.lit(files)))
-    (spread.repartition("year", "_f").drop("_f")
+def write_years(df: DataFrame, folder: str, day: str = "dt") -> None:
+    """One folder per year."""
+    (df.withColumn("year", F.year(day)).hint("rebalance", "year")
      .write.mode("overwrite").partitionBy("year").parquet(folder))
 
 

@@ -82,6 +82,7 @@ def run_changes(stream: DataFrame, key: str = "station_id", value: str = "flow_t
 
     def each(batch: DataFrame, n: int) -> None:
         session = batch.sparkSession
+        batch = batch.persist()
         last = (session.read.schema(last_schema).parquet(f"{base}/last/batch={n - 1}")
                 if n > 0 else None)
         _changes_of_batch(batch, last, key, value).write.mode("overwrite").parquet(
@@ -92,6 +93,7 @@ def run_changes(stream: DataFrame, key: str = "station_id", value: str = "flow_t
         both.groupBy(key).agg(F.max_by(F.struct("_last", "_at", "_id"),
                                        F.struct("_at", "_id")).alias("_m")).select(
             key, "_m.*").write.mode("overwrite").parquet(f"{base}/last/batch={n}")
+        batch.unpersist()
 
     query = (stream.writeStream.foreachBatch(each)
              .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())

@@ -88,7 +88,8 @@ def test_group_join(skewed):
     assert (got["m"].to_numpy() == pdf.groupby("key")["x"].transform("max").to_numpy()).all()
 
 
-def test_first_n(skewed):
-    pdf, df = skewed
-    got = scale.first_n(df, [F.col("t")], 17).toPandas()
-    assert sorted(got["t"]) == list(range(17))
+def test_fits_measures_wide_rows(spark):
+    df = spark.range(10).withColumn("s", F.repeat(F.lit("x"), 1000))
+    assert scale.fits(df, 10) and not scale.fits(df, 9)
+    assert not scale.fits(df, 10, 5000) and scale.fits(df, 10, 20000)
+    assert not scale.fits(df.withColumn("a", F.array_repeat("s", 50)), 10, 200000)
