@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from ..functions.scalars import bpr_time, interval_label, linear_utility, soft_threshold
 from ..operators.aggregates import lowest_share
 from ..operators.filters import LINK
-from ..operators.network import OD
+from ..operators.network import OD, path_size_factors
 from ..scale import salted_join, scalar_join
 from ..session import bucketed, pin
 from .choice import (equal_choice, equilibrium, feature_sums, fixed_sums, link_sums, path_sums,
-                     predict, probabilities)
+                     path_utility, predict, probabilities)
 from .stats import f_critical, f_upper, pseudo_inverse, t_critical, t_two_sided
 
 C = F.col
@@ -55,13 +55,14 @@ def loss_equal_choice(paths: DataFrame, links: DataFrame, od: DataFrame) -> Data
 # derivatives ---------------------------------------------------------------------------
 
 def response(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Theta,
-             second: bool = False, known: DataFrame | None = None) -> DataFrame:
+             second: bool = False, known: DataFrame | None = None,
+             path_size: float = 0.0) -> DataFrame:
     """Links with flow ``x``, derivatives ``j_k`` and, if asked, second ones ``h_k``.
 
     ``known`` may hold feature sums of the paths, written earlier.
     """
     names = list(theta)
-    df = feature_sums(paths, links, names, known).withColumn("v", linear_utility(theta))
+    df = path_utility(paths, links, theta, path_size, known)
     df = probabilities(df, {"p": "v"}, od, names, second)
     df = df.withColumn("f", F.coalesce("q", F.lit(0.0)) * C("p"))
     cols = ["f"]
@@ -152,7 +153,7 @@ UPDATES: dict[str, Callable[[np.ndarray, np.ndarray, np.ndarray, float, float],
 def step_candidates(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Theta,
                     method: str = "gauss-newton", eta: float = 0.1,
                     damping: Sequence[float] = (0.0,), fixed: Sequence[str] = (),
-                    known: DataFrame | None = None) -> tuple[float, list[dict[str, float]]]:
+                    known: DataFrame | None = None, path_size: float = 0.0) -> tuple[float, list[dict[str, float]]]:
     """Current loss and the next parameters for each damping value.
 
     One aggregation leaves Spark: the loss, J'J and J'r of the free features. ``method``
@@ -160,7 +161,7 @@ def step_candidates(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Th
     """
     free = [k for k in theta if k not in fixed]
     second = method == "newton"
-    resp = response(paths, links, od, theta, second, known)
+    resp = response(paths, links, od, theta, second, known, path_size)
     row = normal_sums(resp, free, second).first()
     jj, jr = _matrix(row, free)
     hr = np.array([row[f"hr_{k}"] if second else 0.0 for k in free])
@@ -174,13 +175,14 @@ def step_candidates(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Th
 
 
 def losses_at(paths: DataFrame, links: DataFrame, od: DataFrame, grid: Sequence[Theta],
-              block: int = 16, known: DataFrame | None = None) -> DataFrame:
+              block: int = 16, known: DataFrame | None = None, path_size: float = 0.0
+              ) -> DataFrame:
     """Loss at each candidate of ``grid`` as rows (candidate, n, sse).
 
     Candidates are columns: probabilities of all of them share two OD aggregations and
     one explode of the paths. ``block`` candidates go in one job.
     """
-    flows = flows_at(paths, links, od, grid, block, known)
+    flows = flows_at(paths, links, od, grid, block, known, path_size)
     seen = C("count").isNotNull()
     out = None
     for start, df in flows:
@@ -196,16 +198,22 @@ def losses_at(paths: DataFrame, links: DataFrame, od: DataFrame, grid: Sequence[
 
 
 def flows_at(paths: DataFrame, links: DataFrame, od: DataFrame, grid: Sequence[Theta],
-             block: int = 16, known: DataFrame | None = None) -> list[tuple[int, DataFrame]]:
+             block: int = 16, known: DataFrame | None = None, path_size: float = 0.0
+             ) -> list[tuple[int, DataFrame]]:
     """Links with flows flow_0, flow_1, … for each block of candidates."""
     names = sorted({k for t in grid for k in t})
     base = feature_sums(paths, links, names, known)
+    own = F.lit(0.0)
+    if path_size:
+        sizes = path_size_factors(paths).select("path_id", "path_size")
+        base = base.join(sizes, "path_id")
+        own = F.lit(float(path_size)) * F.log("path_size")
     out = []
     for start in range(0, len(grid), block):
         part = list(grid)[start:start + block]
         df = base
         for i, theta in enumerate(part):
-            df = df.withColumn(f"_v{i}", linear_utility(theta))
+            df = df.withColumn(f"_v{i}", linear_utility(theta) + own)
         df = probabilities(df, {f"_p{i}": f"_v{i}" for i in range(len(part))}, od)
         df = df.select("path_id", *[(F.coalesce("q", F.lit(0.0)) * C(f"_p{i}")).alias(f"flow_{i}")
                                  for i in range(len(part))])
@@ -230,15 +238,15 @@ def flows_long(paths: DataFrame, links: DataFrame, od: DataFrame, grid: Sequence
 
 def damped_step(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Theta,
                 damping: float = 1e-2, down: float = 2.0, up: float = 3.0,
-                fixed: Sequence[str] = (), known: DataFrame | None = None
-                ) -> tuple[dict[str, float], float, float]:
+                fixed: Sequence[str] = (), known: DataFrame | None = None,
+                path_size: float = 0.0) -> tuple[dict[str, float], float, float]:
     """Levenberg-Marquardt step: damping, damping / down and damping * up are tried in one
     job; the best is taken if it lowers the loss, otherwise the weights stay and the
     damping grows. Returns (weights, next damping, loss)."""
     tries = [damping, damping / down, damping * up]
     now, steps = step_candidates(paths, links, od, theta, "lm", damping=tries, fixed=fixed,
-                                 known=known)
-    found = losses_at(paths, links, od, steps, known=known).collect()
+                                 known=known, path_size=path_size)
+    found = losses_at(paths, links, od, steps, known=known, path_size=path_size).collect()
     rows = {r["candidate"]: r["sse"] for r in found}
     best = min(rows, key=lambda i: (rows[i], i))
     if rows[best] < now:
@@ -295,12 +303,14 @@ def _alternate(paths, links, od, theta, iters, method, eta, signs, fixed, inner,
         if n == iters:
             break
         at = state.links.drop("x")
+        size = float(inner.get("path_size", 0.0))
         sums = base if still else pin(feature_sums(paths, at, list(theta), base))
         if method == "lm":
-            theta, lam, _ = damped_step(paths, at, od, theta, lam, fixed=fixed, known=sums)
+            theta, lam, _ = damped_step(paths, at, od, theta, lam, fixed=fixed, known=sums,
+                                        path_size=size)
         else:
-            theta = step_candidates(paths, at, od, theta, method, eta, fixed=fixed,
-                                    known=sums)[1][0]
+            theta = step_candidates(paths, at, od, theta, method, eta, fixed=fixed, known=sums,
+                                    path_size=size)[1][0]
         theta = _project(theta, signs)
     best.log = log
     return best
@@ -395,9 +405,10 @@ def infer(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Theta, iters
     """Estimate, then test each parameter and the model against no preferences."""
     fit = estimate(paths, links, od, theta, iters, method, **options)
     at = fit.links.drop("x")
-    resp = pin(response(paths, at, od, fit.theta))
+    size = float((options.get("inner") or {}).get("path_size", 0.0))
+    resp = pin(response(paths, at, od, fit.theta, path_size=size))
     tests = t_tests(resp, fit.theta, alpha=alpha)
-    none = predict(paths, at, od, {k: 0.0 for k in theta})
+    none = predict(paths, at, od, {k: 0.0 for k in theta}, size)
     row = f_test(resp, none, len(theta)).first()
     return fit, tests, {**row.asDict(), **f_test_tails(row, alpha)}
 

@@ -56,6 +56,16 @@ def test_many_utilities_agree_with_one(yang):
         assert r["r"] == pytest.approx(two[r["path_id"]], rel=1e-9)
 
 
+def test_path_size_enters_response_and_candidates(yang):
+    links, od, paths = yang
+    want = {(r["u"], r["v"]): r["x"] for r in ch.predict(paths, links, od, THETA, 1.5).collect()}
+    resp = es.response(paths, links, od, THETA, path_size=1.5)
+    (_, cand), = es.flows_at(paths, links, od, [THETA], path_size=1.5)
+    for df, col in ((resp, "x"), (cand, "flow_0")):
+        got = {(r["u"], r["v"]): r[col] for r in df.collect()}
+        assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def _loss(yang, theta):
     links, od, paths = yang
     return es.loss(ch.predict(paths, links, od, theta)).first()["sse"]
