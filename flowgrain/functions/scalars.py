@@ -182,12 +182,13 @@ def engineer_features(links: DataFrame, regular: str = "LWRLK",
         out = out.withColumn(name, F.when(is_regular & (F.col(name) == 0), F.col(mean))
                              .otherwise(F.col(name)))
     out = out.drop("_m_sd", "_m_avg")
-    cuts = None
-    for name in quartile_of:
-        cut = percentiles(out.where(is_regular), [], name, {f"_q_{name}": 0.25})
-        cut = cut.withColumn("_one", F.lit(1))
-        cuts = cut if cuts is None else cuts.join(cut, "_one")
-    out = out.withColumn("_one", F.lit(1)).join(F.broadcast(cuts), "_one").drop("_one")
+    # the quartiles of all features come from one pass over their values
+    values = F.array(*[F.struct(F.lit(n).alias("_f"), F.col(n).cast("double").alias("_x"))
+                       for n in quartile_of])
+    long = out.where(is_regular).select(F.explode(values).alias("_p")).select("_p.*")
+    cuts = percentiles(long, ["_f"], "_x", {"_q": 0.25})
+    out = scalar_join(out, {f"_q_{n}": F.max(F.when(F.col("_f") == n, F.col("_q")))
+                            for n in quartile_of}, cuts)
     names = {"median_inc": ("low_inc", "high_inc"), "tt_cv": ("reliable_tt", "unreliable_tt"),
              "speed_sd": ("reliable_speed", "unreliable_speed")}
     for source in quartile_of:
