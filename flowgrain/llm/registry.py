@@ -1,0 +1,21 @@
+"""Names of the corpus queries, what runs them and their SQL twins."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under ``name``; ``sql`` is its DuckDB twin."""
+    def add(fn: Query) -> Query:
+        QUERIES[name] = fn
+        if sql:
+            ORACLES[name] = sql
+        return fn
+    return add
