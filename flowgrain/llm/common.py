@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgrain.session import store
+from flowgrain import session
 
 __all__ = ["batches_of", "parts", "store", "table", "text_of", "texts"]
 
@@ -34,6 +35,21 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back, so that lost executors
+    cost no earlier step, and let go of the shuffle files behind it.
+
+    Spark deletes shuffle files once the driver's garbage collector finds their plans
+    unused, which can be long after; a large job would pile up all its shuffles until then.
+    """
+    spark = df.sparkSession
+    kept = session.store(df)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return kept
+
+
 def text_of(column: Column) -> Column:
     """The text, with null as empty."""
     return F.coalesce(column.cast("string"), F.lit(""))
