@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from flowgrain import session
 
-__all__ = ["batches_of", "parts", "store", "table", "text_of", "texts"]
+__all__ = ["batches_of", "parts", "shielded", "store", "table", "text_of", "texts"]
 
 #: Rows of one Arrow batch sent to a Python worker; whole texts can be long.
 BATCH_ROWS = 256
@@ -50,6 +50,12 @@ def store(df: DataFrame) -> DataFrame:
     return kept
 
 
+def shielded(df: DataFrame, *keep: str) -> DataFrame:
+    """``df`` with all columns but ``keep`` under names that no operator uses; give the old
+    names back with ``toDF``."""
+    return df.toDF(*[c if c in keep else f"c{i}" for i, c in enumerate(df.columns)])
+
+
 def text_of(column: Column) -> Column:
     """The text, with null as empty."""
     return F.coalesce(column.cast("string"), F.lit(""))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store, text_of
+from .common import shielded, store, text_of
 
 #: Kinds and their patterns. They match what the plain patterns match:
 #: repeats are possessive where nothing that follows could use a given-back character, and a
@@ -194,7 +194,8 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     Of overlapping spans the first stays, the longer one on equal starts; what sticks out of
     it is covered as well. A null text stays null, since nothing in it can be replaced.
     """
-    known = detect(docs, **options)
+    inner = shielded(docs, "doc_id", "text")
+    known = detect(inner, **options)
     spans = F.array_sort(F.concat("base_spans", "term_spans"), lambda a, b: F.when(
         a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
     text, removed = F.col("text"), F.col("removed_terms")
@@ -207,4 +208,5 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     known = known.withColumn("__step", step)
     whole = F.concat(F.col("__step")["out"], text.substr(F.col("__step")["at"] + 1, F.length(text)))
     changed = F.size("base_spans") + F.size("term_spans") > 0
-    return known.withColumn("text", F.when(changed, whole).otherwise(text)).select(*docs.columns)
+    return known.withColumn("text", F.when(changed, whole).otherwise(text)).select(*inner.columns).toDF(
+        *docs.columns)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import mark
 from .pii import KINDS, detect
 from .registry import query
 
@@ -25,3 +26,11 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *[_number(k) for k in KINDS],
                         F.sha2(_joined(F.col("base_spans")), 256).alias("base_sha256"),
                         _joined(F.concat("base_spans", "term_spans")).alias("spans"))
+
+
+@query("op5_decontaminate")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = mark(docs, table(spark, sf, "benchmark"))
+    return found.select("doc_id", F.explode("matches").alias("m")).select(
+        "doc_id", "m.item_id", "m.start", "m.length", "m.edits")

@@ -104,7 +104,8 @@ def test_awkward_rows_and_terms(spark, tmp_path):
 
 def test_sanitised_text(spark):
     texts = [*story(8), "call +1 (017) 555-7713 now", "none", None, "card 4111 1111 1111 1111."]
-    docs = frame(spark, texts).selectExpr("*", "1 as removed_terms")
+    docs = frame(spark, texts).selectExpr("*", "1 as removed_terms", "2 as `a.b`")
+    assert sanitise(docs).columns == docs.columns
     got = {r.doc_id: r.text for r in sanitise(docs, remove=2.0).collect()}
     assert got[0] == "filler text number 0 ask [NAME] [NAME] at [EMAIL] or wait 0 days"
     assert got[1].startswith("filler text number 1 ask [NAME] [CODE] at [EMAIL]")
