@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from flowgrain import session
 
-__all__ = ["batches_of", "parts", "shielded", "store", "table", "text_of", "texts"]
+__all__ = ["batches_of", "parts", "release", "shielded", "store", "table", "text_of", "texts"]
 
 #: Rows of one Arrow batch sent to a Python worker; whole texts can be long.
 BATCH_ROWS = 256
@@ -43,13 +44,24 @@ def store(df: DataFrame) -> DataFrame:
     unused, which can be long after; a large job would pile up all its shuffles until then.
     """
     spark = df.sparkSession
-    kept = session.store(df)
+    folder = f"{session.shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    kept = spark.read.schema(df.schema).parquet(folder)
+    kept.stored_at = folder
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return kept
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by ``store`` that no later step reads."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shielded(df: DataFrame, *keep: str) -> DataFrame:
     """``df`` with all columns but ``keep`` under names that no operator uses; give the old
     names back with ``toDF``."""

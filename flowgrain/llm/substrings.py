@@ -8,39 +8,39 @@ their ends. So
 1. paths whose anchor stands in one document only cannot repeat and leave at once;
 2. the rest compact by content: equal paths become one, with the first place that has it;
 3. an anchor with one path does not branch: all its edges have that first place. Where paths
-   branch, they are opened into edges, and each edge takes the least first place of all
-   paths through it;
-4. joined back to where they occur, edges with a first place in a smaller document are
-   repeats; neighbours on one diagonal of source coordinates join to long spans, each
-   checked to be at least one window long and to move on in step with its source.
-
-Equality of edges is that of 120 hash bits (an anchor and 56 bits of the window).
-
-Size. Two shuffles of about a fifth of all word positions, then only what may repeat; the
-state between them is Parquet in the shared folder and used shuffle files are dropped as a
-table is written. Groupings combine before the shuffle, so a passage in a third of all
-documents is one row for each task; joins back are equi-joins with one row for each key on
-the other side, which adaptive execution splits where a key is hot.
+   branch, the compacted ones are opened into edges, and each edge takes the least first
+   place of all paths through it; edges in step with one source are one segment again;
+4. joined back to where the paths occur, segments with a source in a smaller document are
+   the repeated spans; source coordinates join neighbours on one diagonal to long spans.
+
+Equality of paths and edges is that of 120 hash bits and more (an anchor and the windows).
+
+Size. Two narrow shuffles of about a fifth of all word positions, then only what may repeat,
+and twice the texts to meet their own places. The state between steps is Parquet in the
+shared folder, deleted when it is no longer read. Groupings combine before the shuffle, so a
+passage in a third of all documents is one row for each task; joins back are equi-joins with
+one row for each key on the other side, which adaptive execution splits where a key is hot.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, store, text_of, texts
+from .common import batches_of, release, store, text_of, texts
 
 #: Words of a window and of an anchor.
 WINDOW, ANCHOR = 13, 4
 #: Bytes kept of a window's hash.
 EDGE = 7
-#: Word hashes that a task remembers.
-REMEMBER = 200_000
 _FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _LAST = (1 << 63) - 1
 
@@ -51,140 +51,201 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class _Words(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBER:
-            self.clear()
-        found = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return found
-
-
 def _grams(h: np.ndarray, n: int, factor: np.uint64) -> np.ndarray:
     """Hash of every run of ``n`` words."""
     out = h[:len(h) - n + 1].copy()
     for j in range(1, n):
-        out = out * factor + h[j:len(h) - n + 1 + j]
+        out *= factor
+        out += h[j:len(h) - n + 1 + j]
     return _mix(out)
 
 
-def _anchors(h: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    """For word hashes of a document: first window of each path, and the path's anchor."""
-    grams = _grams(h, anchor, _FACTORS[0])
-    width = window - anchor + 1
-    n = len(h) - window + 1
+@dataclass
+class _Paths:
+    """Paths of a batch of texts: arrays with one entry for each path."""
+    doc: np.ndarray  # number of the text in the batch
+    pos: np.ndarray  # first window, in words of the text
+    size: np.ndarray  # windows
+    anchor: np.ndarray
+    flat: np.ndarray  # first window in the batch
+    words: np.ndarray  # hashes of all words of the batch
+
+
+def _paths_of(raw: list[bytes], window: int, anchor: int) -> _Paths | None:
+    """Paths of all texts that hold a window; None if none does."""
+    split = [t.split() for t in raw]
+    lengths = np.fromiter(map(len, split), np.int64, len(split))
+    total = int(lengths.sum())
+    words = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(split)), np.uint64, total)
+    begin = np.cumsum(lengths) - lengths
+    whole = np.maximum(lengths - window + 1, 0)  # windows of each text
+    n = total - window + 1
+    if not whole.any():
+        return None
+    grams = _grams(words, anchor, _FACTORS[0])
     least, at = grams[:n].copy(), np.zeros(n, np.int64)
-    for j in range(1, width):
-        lower = grams[j:n + j] < least
-        least[lower] = grams[j:n + j][lower]
-        at[lower] = j
-    at += np.arange(n)
+    for j in range(1, window - anchor + 1):
+        other = grams[j:n + j]
+        np.copyto(at, j, where=other < least)
+        np.minimum(least, other, out=least)
+    doc = np.repeat(np.arange(len(split)), whole)
+    inside = np.repeat(begin - (np.cumsum(whole) - whole), whole) + np.arange(int(whole.sum()))
+    at = at[inside] + inside  # places of anchors never repeat across texts
     starts = np.flatnonzero(np.diff(at, prepend=-1))
-    return starts, least[starts]
+    flat = inside[starts]
+    return _Paths(doc[starts], flat - begin[doc[starts]], np.diff(starts, append=len(inside)), least[flat].view(np.int64),
+                  flat, words)
 
 
-def _paths(docs: DataFrame, window: int, anchor: int, edges: bool) -> DataFrame:
-    """(anchor, doc, mark[, pos, path]): paths of all documents; without edges, the distinct
-    anchors of each. doc is the id with null last, mark a checksum of the text."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc, mark, text): the id with null last, a checksum of the text, and the text."""
+    text = text_of(F.col("text"))
+    return docs.select(F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("doc"),
+                       F.crc32(text.cast("binary")).cast("long").alias("mark"), text.alias("text"))
+
+
+def _anchors(docs: DataFrame, window: int, anchor: int, places: bool) -> DataFrame:
+    """(anchor, doc) of each path, or with content and place (anchor, content, doc, mark,
+    pos, size). A path is shorter than a window, so its first and last window are all of it."""
     batches_of(docs.sparkSession)
-    keyed = docs.select(F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("doc"),
-                        F.crc32(text_of(F.col("text")).cast("binary")).cast("long").alias("mark"),
-                        text_of(F.col("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
         for batch in batches:
-            ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            found: list[list[np.ndarray]] = [[] for _ in range(4)]
-            sizes, kept = [], []
-            for i, text in enumerate(texts(batch, "text")):
-                split = text.split()
-                if len(split) < window:
-                    continue
-                h = np.fromiter(map(words.__getitem__, split), np.uint64, len(split))
-                starts, least = _anchors(h, window, anchor)
-                if not edges:
-                    least = np.unique(least)
-                found[0].append(least)
-                found[1].append(np.full(len(least), ids[i]))
-                if edges:
-                    found[2].append(np.full(len(least), marks[i]))
-                    found[3].append(starts)
-                    edge = _grams(h, window, _FACTORS[1])
-                    kept.append(np.ascontiguousarray(edge.view(np.uint8).reshape(-1, 8)[:, :EDGE]))
-                    sizes.append(np.diff(starts, append=len(edge)))
-            if not found[0]:
+            p = _paths_of(texts(batch, "text"), window, anchor)
+            if p is None:
                 continue
-            columns = [np.concatenate(c) for c in found if c]
-            columns[0] = columns[0].view(np.int64)
-            arrays = [pa.array(c) for c in columns]
-            if edges:
-                offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)) * EDGE)).astype(np.int32)
-                data = np.concatenate(kept).tobytes()
-                arrays.append(pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [
-                    None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)]))
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    names = ["anchor", "doc", "mark", "pos", "path"] if edges else ["anchor", "doc"]
-    schema = "anchor long, doc long, mark long, pos long, path binary" if edges else "anchor long, doc long"
-    return keyed.mapInArrow(run, schema)
-
-
-def _edge_rows(paths: DataFrame) -> DataFrame:
-    """One row for each edge of a path: number in the path, and edge key."""
-    count = F.octet_length("path") / EDGE
-    return paths.withColumn("n", F.explode(F.sequence(F.lit(0), (count - 1).cast("int")))).withColumn(
-        "edge", F.expr(f"substring(path, n * {EDGE} + 1, {EDGE})"))
-
-
-def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc, mark, pos, source_doc, source_pos): each window of a document that also starts in
-    a smaller doc_id, with the first place that has it."""
-    repeated = store(_paths(docs, window, anchor, False).groupBy("anchor").agg(
-        F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("anchor"))
-    may = store(_paths(docs, window, anchor, True).join(repeated.hint("shuffle_hash"), "anchor"))
-    compact = store(may.groupBy("anchor", "path").agg(F.min(F.struct("doc", "pos")).alias("first")))
+            doc = pa.array(p.doc)
+            if places:
+                edge = _grams(p.words, window, _FACTORS[1])
+                ends = edge[p.flat] * _FACTORS[0] + edge[p.flat + p.size - 1]
+                content = _mix(ends * _FACTORS[1] + p.size.astype(np.uint64)).view(np.int64)
+                columns = [pa.array(p.anchor), pa.array(content), batch.column(0).take(doc), batch.column(1).take(doc),
+                           pa.array(p.pos.astype(np.int32)), pa.array(p.size.astype(np.int32))]
+            else:
+                columns = [pa.array(p.anchor), batch.column(0).take(doc)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["anchor", "content", "doc", "mark", "pos", "size"] if places else ["anchor", "doc"]
+    return _keyed(docs).mapInArrow(run, "anchor long, content long, doc long, mark long, pos int, size int"
+                                   if places else "anchor long, doc long")
+
+
+def _edges(docs: DataFrame, wanted: DataFrame, window: int, anchor: int) -> DataFrame:
+    """(anchor, doc, mark, pos, path) of the paths of ``docs`` at the places ``wanted``
+    (doc, mark, starts); path is the hashes of its windows, one after another."""
+    batches_of(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = _paths_of(texts(batch, "text"), window, anchor)
+            if p is None:
+                continue
+            starts = batch.column(3)
+            owner = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(starts).to_numpy())
+            asked = owner << 40 | starts.flatten().to_numpy().astype(np.int64)
+            keep = np.isin(p.doc << 40 | p.pos, asked)
+            size, flat = p.size[keep], p.flat[keep]
+            if not len(size):
+                continue
+            ends = np.cumsum(size)
+            window_at = np.repeat(flat - (ends - size), size) + np.arange(int(ends[-1]))
+            hashes = _grams(p.words, window, _FACTORS[1])[window_at]
+            data = np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :EDGE]).tobytes()
+            offsets = np.concatenate(([0], ends * EDGE)).astype(np.int32)
+            path = pa.BinaryArray.from_buffers(pa.binary(), len(size), [
+                None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
+            doc = pa.array(p.doc[keep])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(p.anchor[keep]), batch.column(0).take(doc), batch.column(1).take(doc), pa.array(p.pos[keep]),
+                 path], ["anchor", "doc", "mark", "pos", "path"])
+
+    return _keyed(docs).join(wanted, ["doc", "mark"]).select("doc", "mark", "text", "starts").mapInArrow(
+        run, "anchor long, doc long, mark long, pos long, path binary")
+
+
+_SEGMENTS = "array<struct<n:int,size:int,source_doc:bigint,source_pos:bigint>>"
+
+
+def _segments(edges) -> object:
+    """Runs of edges (n, source_doc, source_pos), in order, that move on with their source."""
+    def step(acc, e):
+        last = F.element_at(acc, -1)
+        ahead = e["n"] - last["n"]
+        same = (F.size(acc) > 0) & (last["size"] == ahead) & (last["source_doc"] == e["source_doc"]) & (
+            e["source_pos"] - last["source_pos"] == ahead)
+        longer = F.struct(last["n"].alias("n"), (last["size"] + 1).alias("size"), last["source_doc"].alias("source_doc"),
+                          last["source_pos"].alias("source_pos"))
+        one = F.struct(e["n"].alias("n"), F.lit(1).alias("size"), e["source_doc"].alias("source_doc"),
+                       e["source_pos"].alias("source_pos"))
+        return F.when(same, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(
+            F.concat(acc, F.array(one)))
+    return F.aggregate(edges, F.array().cast(_SEGMENTS), step)
+
+
+def _opened(docs: DataFrame, compact: DataFrame, window: int, anchor: int) -> DataFrame:
+    """(doc, mark, pos, segments): of the first place of each branching path, its segments of
+    edges with the least place of every edge."""
     branching = compact.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    edges = _edge_rows(compact.join(branching, "anchor", "left_semi")).select(
-        "anchor", "path", "n", "edge", F.struct(F.col("first.doc").alias("doc"), (F.col("first.pos") + F.col("n")).alias(
-            "pos")).alias("first"))
-    edges = store(edges)
-    least = edges.groupBy("anchor", "edge").agg(F.min("first").alias("least"))
-    opened = edges.join(least, ["anchor", "edge"]).groupBy("anchor", "path").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("n", "least"))), lambda x: x["least"]).alias("opened"))
-    whole = F.transform(F.sequence(F.lit(0), (F.octet_length("path") / EDGE - 1).cast("int")), lambda n: F.struct(
-        F.col("first.doc").alias("doc"), (F.col("first.pos") + n).alias("pos")))
-    places = compact.join(opened, ["anchor", "path"], "left").select(
-        "anchor", "path", F.coalesce("opened", whole).alias("places"))
-    places = store(places)
-    return (may.join(places, ["anchor", "path"])
-            .select("doc", "mark", "pos", F.posexplode("places").alias("n", "place"))
-            .where("place.doc < doc")
-            .select("doc", "mark", (F.col("pos") + F.col("n")).alias("pos"), F.col("place.doc").alias("source_doc"),
-                    F.col("place.pos").alias("source_pos")))
+    wanted = store(compact.join(branching, "anchor", "left_semi")
+                   .groupBy(F.col("first.doc").alias("doc"), F.col("first.mark").alias("mark"))
+                   .agg(F.collect_list("first.pos").alias("starts")))
+    paths = _edges(docs, wanted, window, anchor)
+    edges = store(paths.withColumn("n", F.explode(F.sequence(F.lit(0), (F.octet_length("path") / EDGE - 1).cast("int"))))
+                  .select("anchor", F.expr(f"substring(path, n * {EDGE} + 1, {EDGE})").alias("edge"), "doc", "mark",
+                          F.col("pos").cast("int").alias("pos"), "n"))
+    least = edges.groupBy("anchor", "edge").agg(F.min(F.struct("doc", (F.col("pos") + F.col("n")).alias("pos"))).alias(
+        "least"))
+    opened = store(edges.join(least, ["anchor", "edge"]).groupBy("doc", "mark", "pos").agg(
+        _segments(F.array_sort(F.collect_list(F.struct("n", F.col("least.doc").alias("source_doc"), F.col(
+            "least.pos").cast("long").alias("source_pos"))))).alias("segments")))
+    release(wanted, edges)
+    return opened
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc, mark, spans): for each document with repeats, its word spans (start, length,
-    source_doc, source_start) in order, longest on each diagonal. Spans may overlap."""
-    found = repeated_windows(docs, window, anchor)
-    schema = "array<struct<start:bigint,length:bigint,source_doc:bigint,source_start:bigint>>"
-    windows = F.array_sort(F.collect_list(F.struct("pos", "source_doc", "source_pos")))
-
-    def step(acc, w):
+    """(doc, mark, spans): for each document with repeats its word spans (start, length,
+    source_doc, source_start) in order. Each span is one window or longer, its words stand
+    from source_start on in the smallest document that has them; spans may overlap."""
+    repeated = store(_anchors(docs, window, anchor, False).groupBy("anchor").agg(
+        F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("anchor"))
+    places = store(_anchors(docs, window, anchor, True).join(repeated.hint("shuffle_hash"), "anchor"))
+    compact = store(places.groupBy("anchor", "content").agg(
+        F.min(F.struct("doc", "pos", "mark")).alias("first"), F.max("doc").alias("high"), F.max("size").alias("size")))
+    opened = _opened(docs, compact, window, anchor)
+    whole = F.array(F.struct(F.lit(0).alias("n"), "size", F.col("first.doc").alias("source_doc"),
+                             F.col("first.pos").cast("long").alias("source_pos"))).cast(_SEGMENTS)
+    sources = (compact.select("*", "first.doc", "first.mark", "first.pos").join(opened, ["doc", "mark", "pos"], "left")
+               .select("anchor", "content", "high", F.coalesce("segments", whole).alias("segments"))
+               .withColumn("segments", F.filter("segments", lambda s: s["source_doc"] < F.col("high")))
+               .where(F.size("segments") > 0).drop("high"))
+    found = (places.join(store(sources), ["anchor", "content"])
+             .select("doc", "mark", "pos", F.explode("segments").alias("s")).where("s.source_doc < doc")
+             .select("doc", "mark", F.struct(
+                 (F.col("pos") + F.col("s.n")).alias("n"), F.col("s.size").alias("size"),
+                 F.col("s.source_doc").alias("source_doc"), F.col("s.source_pos").alias("source_pos")).alias("s")))
+    spans = store(found.groupBy("doc", "mark").agg(F.array_sort(F.collect_list("s")).alias("s")).select(
+        "doc", "mark", _joined("s", window).alias("spans")))
+    release(repeated, places, compact, opened)
+    return spans
+
+
+_SPANS = "array<struct<start:bigint,length:bigint,source_doc:bigint,source_start:bigint>>"
+
+
+def _joined(segments: str, window: int) -> object:
+    """Spans in words of segments in order, neighbours in step with one source as one."""
+    def step(acc, s):
         last = F.element_at(acc, -1)
-        ahead = w["pos"] - last["start"]
-        same = (F.size(acc) > 0) & (last["length"] - window + 1 == ahead) & (last["source_doc"] == w["source_doc"]) & (
-            w["source_pos"] - last["source_start"] == ahead)
-        one = F.struct(w["pos"].alias("start"), F.lit(window).cast("long").alias("length"),
-                       w["source_doc"].alias("source_doc"), w["source_pos"].alias("source_start"))
-        longer = F.struct(last["start"].alias("start"), (last["length"] + 1).alias("length"),
+        ahead = s["n"] - last["start"]
+        same = (F.size(acc) > 0) & (last["length"] - window + 1 == ahead) & (last["source_doc"] == s["source_doc"]) & (
+            s["source_pos"] - last["source_start"] == ahead)
+        longer = F.struct(last["start"].alias("start"), (last["length"] + s["size"]).alias("length"),
                           last["source_doc"].alias("source_doc"), last["source_start"].alias("source_start"))
+        one = F.struct(s["n"].cast("long").alias("start"), (s["size"] + window - 1).cast("long").alias("length"),
+                       s["source_doc"].alias("source_doc"), s["source_pos"].alias("source_start"))
         return F.when(same, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(
             F.concat(acc, F.array(one)))
-    return found.groupBy("doc", "mark").agg(windows.alias("w")).select(
-        "doc", "mark", F.aggregate("w", F.array().cast(schema), step).alias("spans"))
+    return F.aggregate(segments, F.array().cast(_SPANS), step)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -195,13 +256,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     window no repeats. A null doc_id counts as larger than all; rows with equal doc_id are
     no repeats of each other. An empty table gives an empty one.
     """
-    spans = store(repeated_spans(docs, window, anchor))
+    spans = repeated_spans(docs, window, anchor)
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = text_of(F.col("text"))
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("doc"),
                         F.crc32(text.cast("binary")).cast("long").alias("mark"), text.alias("text"))
     joined = keyed.join(spans, ["doc", "mark"], "left").select("doc_id", "text", "spans")
-    span_type = "array<struct<start:bigint,length:bigint,source_doc:bigint,source_start:bigint>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,4 +280,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                 [batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()),
                  batch.column(2)], ["doc_id", "n_words", "n_removed", "kept", "spans"])
 
-    return joined.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string, spans {span_type}")
+    return joined.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string, spans {_SPANS}")
