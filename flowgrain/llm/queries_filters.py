@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import toxicity
 from .common import table
 from .decontaminate import mark
 from .pii import KINDS, detect
@@ -34,3 +35,21 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     found = mark(docs, table(spark, sf, "benchmark"))
     return found.select("doc_id", F.explode("matches").alias("m")).select(
         "doc_id", "m.item_id", "m.start", "m.length", "m.edits")
+
+
+def remainder(divisor: int) -> Column:
+    """crc32 of the doc_id as text, modulo ``divisor``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+def judged(scored: DataFrame, held_out: Column) -> DataFrame:
+    """A score as the contract of the two classifiers has it."""
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = remainder(3) == 1
+    labels = table(spark, sf, "labels").where(~held_out).select("doc_id", F.col("toxic").alias("label"))
+    return judged(toxicity.fit_and_score(table(spark, sf, "documents"), labels), held_out)
