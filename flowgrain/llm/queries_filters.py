@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import quality, toxicity
 from .common import table
 from .decontaminate import mark
 from .pii import KINDS, detect
@@ -53,3 +53,10 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     held_out = remainder(3) == 1
     labels = table(spark, sf, "labels").where(~held_out).select("doc_id", F.col("toxic").alias("label"))
     return judged(toxicity.fit_and_score(table(spark, sf, "documents"), labels), held_out)
+
+
+@query("op1_quality")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = remainder(4) == 2
+    labels = table(spark, sf, "labels").where(~held_out).select("doc_id", F.col("quality").alias("label"))
+    return judged(quality.score(table(spark, sf, "documents"), labels), held_out)
