@@ -122,9 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RA
     known = (labels.select("doc_id", "label").where("label in (0, 1)").groupBy("doc_id")
              .agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low = high")
              .select("doc_id", F.col("low").cast("int").alias("label")))
-    chosen = (docs.select("doc_id", text_of(F.col("text")).alias("text")).join(known, "doc_id")
-              .withColumn("h", F.xxhash64("doc_id", "text")))
-    bag = chosen.select("h", "label", "text")
+    hashed = docs.select("doc_id", F.xxhash64("doc_id").alias("h"), text_of(F.col("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,10 +131,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RA
                 [batch.column(0), batch.column(1), pa.array([t.astype("<i4").tobytes() for t, _ in found], pa.binary()),
                  pa.array([w.astype("<f4").tobytes() for _, w in found], pa.binary())], ["h", "label", "terms", "weights"])
 
-    # the lowest hashes are picked before any text is made into terms
-    last = bag.select("h").orderBy("h").limit(sample).agg(F.max("h").alias("h")).first()["h"]
-    got = [] if last is None else bag.where(F.col("h") <= last).mapInArrow(
-        run, "h long, label int, terms binary, weights binary").orderBy("h").limit(sample).collect()
+    # the lowest hashes are found among ids alone; only the texts below them are joined
+    last = (hashed.select("doc_id", "h").join(known, "doc_id").select("h").orderBy("h").limit(sample)
+            .agg(F.max("h").alias("h")).first()["h"])
+    got = [] if last is None else hashed.where(F.col("h") <= last).join(known, "doc_id").select("h", "label", "text").mapInArrow(
+        run, "h long, label int, terms binary, weights binary").orderBy("h", "terms").limit(sample).collect()
     bags = [(np.frombuffer(r.terms, "<i4").astype(np.int64), np.frombuffer(r.weights, "<f4").astype(float)) for r in got]
     truth = np.array([r.label for r in got], float)
     space = Space(idf, np.zeros((TERMS, rank), np.float32), np.zeros((0, rank), np.float32), truth)
