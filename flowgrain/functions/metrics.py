@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import group_join, lagged, percentiles, scalar_join
+from ..scale import group_join, lagged, percentiles, same_keys, scalar_join
 
 # Fixed value: keeps denominators away from zero.
 EPS = 1e-10
@@ -164,5 +164,5 @@ def evaluate(df: DataFrame, metrics: Sequence[str] = ("mse", "rmse", "nrmse", "m
                                       .alias(m) for m in wanted])
         if not by:
             wide = wide.withColumn("_one", F.lit(1))
-        out = out.join(wide, key, "left")
+        out = same_keys(out, wide, [key] if isinstance(key, str) else list(key), "left")
     return out.select(*by, *metrics)

@@ -196,10 +196,6 @@ def engineer_features(links: DataFrame, regular: str = "LWRLK",
         hit = F.when(F.col(source) <= F.col(f"_q_{source}"), 1).otherwise(0)
         out = out.withColumn(low, hit).withColumn(high, 1 - hit).drop(f"_q_{source}")
     if regular_only:
-        made = ["no_incidents", "incident", "no_bus_stops", "bus_stop", "no_intersections",
-                "intersection", "low_inc", "high_inc", "median_inc_length", "tt_sd_adj",
-                "speed_reliability", "unreliable_tt", "reliable_tt", "tt_avg_adj",
-                "speed_sd_length", "reliable_speed", "unreliable_speed"]
-        for name in [m for m in made if m in out.columns]:
+        for name in [n for n in out.columns if n not in links.columns]:
             out = out.withColumn(name, F.when(is_regular, F.col(name)).otherwise(0))
     return out

@@ -61,13 +61,16 @@ def points_near_links(points: DataFrame, links: DataFrame, reach: float,
 
     A reach of 0 matches nothing. ``points`` keep their columns; ``dist`` is added.
     """
-    size = float(size or max(4.0 * reach, 1e-6))
+    if reach <= 0:  # before any cell is made: their number grows as the reach shrinks
+        nothing = links.select(*link).where(F.lit(False)).crossJoin(points.where(F.lit(False)))
+        return nothing.withColumn("dist", F.lit(0.0)).select(*points.columns, *link, "dist")
+    size = float(size or 4.0 * reach)
     seg = segment_cells(links.select(*link, "x1", "y1", "x2", "y2"), float(reach), size)
     placed = (points.withColumn("_cx", _cell(C("x"), size))
               .withColumn("_cy", _cell(C("y"), size)))
     near = lookup(placed, seg, ["_cx", "_cy"], "inner")
     near = near.withColumn("dist", segment_distance(C("x"), C("y")))
-    return (near.where((C("dist") <= float(reach)) & F.lit(reach > 0))
+    return (near.where(C("dist") <= float(reach))
             .drop("_cx", "_cy", "x1", "y1", "x2", "y2"))
 
 
@@ -173,18 +176,28 @@ def match_segments(links: DataFrame, segments: DataFrame, reach: float,
     return links.select(*link).join(best, list(link), "left")
 
 
+def _finite(*names: str) -> Column:
+    """All of the columns are numbers: not NULL, NaN or infinite."""
+    good = F.lit(True)
+    for n in names:
+        good = good & C(n).isNotNull() & ~F.isnan(C(n).cast("double")) & (F.abs(n) < float("inf"))
+    return good
+
+
 def nearest_link(stations: DataFrame, links: DataFrame, first_reach: float,
                  station: str = "station_id", link: Sequence[str] = ("u", "v")) -> DataFrame:
     """Link with the smallest Hausdorff distance to each station, without all pairs.
 
     A link's middle is never farther than its Hausdorff distance, so a station whose
     best candidate within the reach lies within the reach is settled; the rest search
-    again at twice the reach. Stations without coordinates are left out.
+    again at twice the reach. Stations and links without finite coordinates are left out,
+    so a reach beyond all of the others ends the search.
     """
+    links = links.where(_finite("x1", "y1", "x2", "y2"))
     mids = links.select(*link, "x1", "y1", "x2", "y2",
                         ((C("x1") + C("x2")) / 2).alias("_mx"),
                         ((C("y1") + C("y2")) / 2).alias("_my"))
-    placed = stations.select(station, "x", "y").where("x IS NOT NULL AND y IS NOT NULL")
+    placed = stations.select(station, "x", "y").where(_finite("x", "y"))
     todo, reach, found = placed, float(first_reach), None
     if links.limit(1).count() == 0:
         raise ValueError("no links to match")

@@ -64,15 +64,28 @@ def per_salt(dim: DataFrame, salts: int = SALTS) -> DataFrame:
     return dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
+def same_keys(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal ``on`` columns where NULL equals NULL, as in grouping."""
+    other = right.withColumnsRenamed({k: f"_same_{k}" for k in on})
+    match = F.lit(True)
+    for k in on:
+        match = match & F.col(k).eqNullSafe(F.col(f"_same_{k}"))
+    return left.join(other, match, how).drop(*[f"_same_{k}" for k in on])
+
+
 def salted_join(big: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "inner",
-                salts: int = SALTS) -> DataFrame:
+                salts: int = SALTS, nulls_match: bool = False) -> DataFrame:
     """Equi-join whose big side spreads every key over ``salts`` tasks.
 
     Rows should carry an id so that copies of one row spread too. ``dim`` is replicated
-    per salt and must hold few rows per key.
+    per salt and must hold few rows per key. ``nulls_match`` is for a ``dim`` grouped by
+    the same keys, whose NULL group belongs to the NULL rows.
     """
     left = big.withColumn("_salt", salt_of(big, salts, on))
-    return left.join(per_salt(dim, salts), [*on, "_salt"], how).drop("_salt")
+    right = per_salt(dim, salts)
+    out = (same_keys(left, right, [*on, "_salt"], how) if nulls_match
+           else left.join(right, [*on, "_salt"], how))
+    return out.drop("_salt")
 
 
 def lookup(big: DataFrame, dim: DataFrame, on: Sequence[str] | str, how: str = "left",
@@ -91,7 +104,7 @@ def lookup(big: DataFrame, dim: DataFrame, on: Sequence[str] | str, how: str = "
 def group_join(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
     """Add group aggregates to every row without gathering the group in one task."""
     dim = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
-    return salted_join(df, dim, keys)
+    return salted_join(df, dim, keys, nulls_match=True)
 
 
 def scalar_join(df: DataFrame, aggs: Mapping[str, Column], source: DataFrame | None = None
@@ -145,7 +158,7 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], pos: str
     out = ranged.withColumn("_local", F.row_number().over(local))
     for name, src in sums.items():
         out = out.withColumn(name, F.coalesce(F.sum(src).over(run), F.lit(0)))
-    out = out.join(offsets, [*keys, "_part"])
+    out = same_keys(out, offsets, [*keys, "_part"])
     for name in sums:
         out = out.withColumn(name, F.col(name) + F.col(f"_b_{name}"))
     return (out.withColumn(pos, (F.col("_local") + F.col("_before")).cast("long"))
@@ -196,7 +209,7 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[s
     tally = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     run = ranked(tally, keys, [F.col("_v")], "_pos", sums={"_hi": "_c"}, group_rows=group_rows)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    run = (salted_join(run, sizes, keys) if keys
+    run = (salted_join(run, sizes, keys, nulls_match=True) if keys
            else scalar_join(run, {"_n": F.count(F.lit(1))}, rows))
     out = []
     for name, p in probs.items():

@@ -239,7 +239,7 @@ def read_network(spark: SparkSession, folder: str, tables: Sequence[str]) -> dic
 
 def census_blocks(geometry: DataFrame, income: DataFrame, age: DataFrame, fips: str) -> DataFrame:
     """Blocks of a county with income and age; tables join on the tail of the block id."""
-    key = F.substring("GEOID", 8, 100)
+    key = F.substr(C("GEOID"), F.lit(8))
     geo = geometry.where(F.substring("GEOID", 1, 5) == fips).withColumn("_k", key)
     inc = income.select(key.alias("_k"), "median_inc")
     old = age.select(key.alias("_k"), "median_age")

@@ -59,11 +59,11 @@ def incidents_near_links(incidents: DataFrame, links: DataFrame, reach: float,
 
 def _changes_of_batch(batch: DataFrame, last: DataFrame | None, key: str, value: str
                       ) -> DataFrame:
-    out = lagged(batch.select(key, "ts", "event_id", value), [key], [C("ts"), C("event_id")],
-                 {"_prev": (value, 1)})
-    if last is not None:
+    out = lagged(batch.select(key, "ts", "event_id", value, F.lit(1).alias("_row")), [key],
+                 [C("ts"), C("event_id")], {"_prev": (value, 1), "_follows": ("_row", 1)})
+    if last is not None:  # only a first row looks back; a NULL reading before it stays NULL
         out = lookup(out, last.select(key, "_last"), key)
-        out = out.withColumn("_prev", F.coalesce("_prev", "_last")).drop("_last")
+        out = out.withColumn("_prev", F.when(C("_follows").isNull(), C("_last")).otherwise(C("_prev")))
     return out.select(key, "event_id", (C(value) - C("_prev")).alias("change"))
 
 

@@ -22,16 +22,19 @@ def toy(spark):
     return net, od
 
 
-YANG = ["12", "14", "15", "23", "25", "36", "45", "47", "56", "58", "59", "69", "78", "89"]
+# The published nine-node example, its links with free-flow times and
+# capacities, and its demand.
+YANG = [(1, 2), (1, 4), (1, 5), (2, 3), (2, 5), (3, 6), (4, 5), (4, 7), (5, 6), (5, 8), (5, 9),
+        (6, 9), (7, 8), (8, 9)]
 YANG_TF = [2, 1.5, 3, 1, 1, 2, 2, 1, 1.5, 1, 2, 1, 1, 1]
 YANG_K = [280, 290, 280, 280, 600, 300, 500, 400, 500, 700, 250, 300, 350, 220]
-YANG_Q = {"16": 120, "18": 150, "19": 100, "26": 130, "28": 200, "29": 90, "46": 80, "48": 180,
-          "49": 110}
+YANG_Q = {(1, 6): 120, (1, 8): 150, (1, 9): 100, (2, 6): 130, (2, 8): 200, (2, 9): 90,
+          (4, 6): 80, (4, 8): 180, (4, 9): 110}
 
 
 def yang(spark):
-    rows = [(int(e[0]), int(e[1]), "0", 1.5 * t) for e, t in zip(YANG, YANG_TF)]
-    od = spark.createDataFrame([(int(e[0]), int(e[1]), float(q)) for e, q in YANG_Q.items()],
+    rows = [(u, v, "0", 1.5 * t) for (u, v), t in zip(YANG, YANG_TF)]
+    od = spark.createDataFrame([(o, d, float(q)) for (o, d), q in YANG_Q.items()],
                                "o int, d int, q double")
     net = links(spark, rows, YANG_K).withColumn("c", (F.col("u") * 3 + F.col("v") * 5) % 7 / 10.0)
     return net, od
@@ -57,6 +60,5 @@ def simple_paths(edges, o, d, cutoff):
 
 
 def yang_paths(spark):
-    edges = [(int(e[0]), int(e[1])) for e in YANG]
-    nodes = [p for e in YANG_Q for p in simple_paths(edges, int(e[0]), int(e[1]), 8)]
+    nodes = [p for o, d in YANG_Q for p in simple_paths(YANG, o, d, 8)]
     return paths_from_nodes(spark.createDataFrame([(n,) for n in nodes], "nodes array<int>"))

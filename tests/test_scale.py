@@ -93,3 +93,21 @@ def test_fits_measures_wide_rows(spark):
     assert scale.fits(df, 10) and not scale.fits(df, 9)
     assert not scale.fits(df, 10, 5000) and scale.fits(df, 10, 20000)
     assert not scale.fits(df.withColumn("a", F.array_repeat("s", 50)), 10, 200000)
+
+
+@pytest.mark.parametrize("bound", [3, 1_000_000])
+def test_rows_without_a_key_are_a_group(spark, bound):
+    rows = [(i, None if i % 4 == 0 else i % 3, float(i % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, key int, x double")
+    pdf = df.toPandas()
+    pdf["key"] = pdf["key"].astype("float")
+    by = pdf.sort_values("id").groupby("key", dropna=False)["x"]
+    ranked = scale.ranked(df, ["key"], [F.col("id")], "pos", {"run": "x"}, group_rows=bound).toPandas()
+    ranked = ranked.sort_values("id")
+    assert len(ranked) == 60 and np.allclose(ranked["run"], by.cumsum().sort_index())
+    lagged = scale.lagged(df, ["key"], [F.col("id")], {"p": ("x", 2)}, group_rows=bound).toPandas()
+    assert np.allclose(lagged.sort_values("id")["p"], by.shift(2).sort_index(), equal_nan=True)
+    cuts = scale.percentiles(df, ["key"], "x", {"m": 0.5}, group_rows=bound).toPandas()
+    assert sorted(cuts["m"]) == sorted(by.median())
+    joined = scale.group_join(df, ["key"], {"top": F.max("x")}).toPandas()
+    assert len(joined) == 60 and joined["top"].notna().all()

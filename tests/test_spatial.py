@@ -45,6 +45,14 @@ def test_nearest_link_by_largest_distance(plane):
         assert got[p[0]][1] == pytest.approx(min(far.values()))
 
 
+def test_nearest_link_ends_with_unusable_coordinates(spark):
+    links = spark.createDataFrame([(1, 2, 0.0, 0.0, 1.0, 0.0), (3, 4, float("nan"), 0.0, 1.0, 1.0), (5, 6, None, 0.0, 1.0, 1.0)],
+                                  "u int, v int, x1 double, y1 double, x2 double, y2 double")
+    stations = spark.createDataFrame([(1, 0.5, 9.0), (2, float("nan"), 0.0), (3, None, 0.0), (4, float("inf"), 1.0)],
+                                     "station_id int, x double, y double")
+    assert [(r.station_id, r.u) for r in sp.match_stations(stations, links, 0.5).collect()] == [(1, 1)]
+
+
 def test_polygons_against_sampling(spark, plane):
     segs, _, links, _ = plane
     ring = [(10.0, 10.0), (30.0, 12.0), (34.0, 30.0), (20.0, 22.0), (8.0, 35.0)]
