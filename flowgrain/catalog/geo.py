@@ -139,11 +139,7 @@ SELECT station_id, u, v, {r("dist", "dist")} FROM (
       SELECT p.station_id, l.u, l.v, round({_H}, 9) AS dist FROM stations p, links l)) WHERE k1 = 1)
 WHERE k2 = 1""", "links", "stations"))
 def g06(spark, sf):
-    near = sp.nearest_link(view(spark, sf, "stations"), network(spark, sf).links, 10.0)
-    near = near.withColumn("dist", F.round("dist", 9))
-    best = near.groupBy("u", "v").agg(F.min(F.struct("dist", "station_id")).alias("b"))
-    return rounded(best.select(C("b.station_id").alias("station_id"), "u", "v",
-                               C("b.dist").alias("dist")))
+    return rounded(sp.match_stations(view(spark, sf, "stations"), network(spark, sf).links, 10.0))
 
 
 @query("G07_inside_extent", with_views("""

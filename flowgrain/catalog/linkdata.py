@@ -22,9 +22,13 @@ STATION_COUNTS = ("SELECT station_id, sum(flow_total) AS flow_total, "
                   + ", ".join(f"sum(flow_total_lane_{i}) AS flow_total_lane_{i}"
                               for i in range(1, 9))
                   + " FROM counts WHERE flow_total IS NOT NULL GROUP BY station_id")
-LINK_STATIONS = """
-SELECT u, v, lane, unnest(CASE (u + v) % 3 WHEN 0 THEN [] WHEN 1 THEN [(u * 25 + v) % 180]
-       ELSE [(u * 25 + v) % 180, (u * 25 + v + 17) % 180] END) AS station_id FROM links"""
+# links are dealt over all stations and segments of the feeds, however many there are
+_STATIONS = "(SELECT max(station_id) + 1 FROM counts)"
+_SEGMENTS = "(SELECT max(segment_id) + 1 FROM probe)"
+LINK_STATIONS = f"""
+SELECT u, v, lane, unnest(CASE (u + v) % 3 WHEN 0 THEN [] WHEN 1 THEN [(u * 25 + v) % n]
+       ELSE [(u * 25 + v) % n, (u * 25 + v + 17) % n] END) AS station_id
+FROM links, (SELECT {_STATIONS} AS n)"""
 SPEEDS = """
 SELECT segment_id, max(speed) AS speed_max, avg(speed) AS speed_avg, stddev_samp(speed) AS speed_sd,
        avg(speed_ref) AS speed_ref_avg, stddev_samp(speed_ref) AS speed_ref_sd,
@@ -33,13 +37,13 @@ SELECT segment_id, max(speed) AS speed_max, avg(speed) AS speed_avg, stddev_samp
        stddev_samp(travel_time) AS traveltime_sd, var_samp(travel_time) AS traveltime_var,
        max(road_closure_num) AS closed FROM probe GROUP BY segment_id"""
 INCOME = "SELECT s_nationkey AS u, avg(s_acctbal) AS median_inc FROM supplier GROUP BY s_nationkey"
-FX = """
+FX = f"""
 SELECT l.*, coalesce(speed_avg, 0) AS speed_avg, coalesce(speed_sd, 0) AS speed_sd,
        coalesce(speed_ref_avg, 0) AS speed_ref_avg, coalesce(speed_hist_avg, 0) AS speed_hist_avg,
        coalesce(cv, 0) AS tt_cv, coalesce(traveltime_avg, 0) AS tt_avg, i.median_inc,
        (l.u * l.v) % 3 AS incidents, (l.u + 2 * l.v) % 4 AS bus_stops,
        (2 * l.u + l.v) % 3 AS intersections
-FROM links l LEFT JOIN speeds ON segment_id = (l.u * 25 + l.v) % 180
+FROM links l LEFT JOIN speeds ON segment_id = (l.u * 25 + l.v) % {_SEGMENTS}
 JOIN income i ON i.u = l.u"""
 
 
@@ -47,11 +51,21 @@ def fx_sql(text: str, **extra: str) -> str:
     return with_views(text, "links", "probe", speeds=SPEEDS, income=INCOME, fx=FX, **extra)
 
 
-def station_links(net):
-    a = (C("u") * 25 + C("v")) % 180
-    b = (C("u") * 25 + C("v") + 17) % 180
+def keys_of(spark, sf, feed, key):
+    """One more than the largest key of a feed."""
+    return view(spark, sf, feed).agg(F.max(key)).first()[0] + 1
+
+
+def segment_of(spark, sf):
+    return ((C("u") * 25 + C("v")) % keys_of(spark, sf, "probe", "segment_id")).cast("bigint")
+
+
+def station_links(spark, sf):
+    net, n = network(spark, sf), keys_of(spark, sf, "counts0", "station_id")
+    a = (C("u") * 25 + C("v")) % n
+    b = (C("u") * 25 + C("v") + 17) % n
     kind = (C("u") + C("v")) % 3
-    none = F.array().cast("array<int>")
+    none = F.array().cast("array<bigint>")
     return net.links.withColumn("station_ids", F.when(kind == 0, none).when(kind == 1, F.array(a))
                                 .otherwise(F.array(a, b)))
 
@@ -63,7 +77,7 @@ def speeds(spark, sf):
 def fx(spark, sf):
     from .bindings import table
     net = network(spark, sf)
-    links = net.links.withColumn("segment_id", ((C("u") * 25 + C("v")) % 180).cast("bigint"))
+    links = net.links.withColumn("segment_id", segment_of(spark, sf))
     out = jn.merge_probe(links, speeds(spark, sf))
     inc = table(spark, sf, "supplier").groupBy(C("s_nationkey").alias("u")).agg(
         F.avg("s_acctbal").alias("median_inc"))
@@ -83,11 +97,11 @@ def fx(spark, sf):
             ("speed_hist_sd", "speed_hist_sd", 1), ("tt_cv", "cv", 1), ("speed_cv", "cv", 1),
             ("tt_avg", "traveltime_avg", 60), ("tt_sd", "traveltime_sd", 60),
             ("tt_var", "traveltime_var", 3600), ("road_closures", "CAST(closed AS DOUBLE)", 1))])
-    + " FROM links l LEFT JOIN speeds ON segment_id = (l.u * 25 + l.v) % 180",
+    + f" FROM links l LEFT JOIN speeds ON segment_id = (l.u * 25 + l.v) % {_SEGMENTS}",
     "links", "probe", speeds=SPEEDS))
 def j01(spark, sf):
     links = network(spark, sf).links.withColumn(
-        "segment_id", ((C("u") * 25 + C("v")) % 180).cast("bigint"))
+        "segment_id", segment_of(spark, sf))
     out = jn.merge_probe(links, speeds(spark, sf), "seconds")
     return rounded(out.select("u", "v", *jn.PROBE_TO_LINK))
 
@@ -112,7 +126,7 @@ LEFT JOIN sc c ON c.station_id = ls.station_id GROUP BY l.u, l.v""", "links", "c
     ls=LINK_STATIONS, sc=STATION_COUNTS))
 def j03(spark, sf):
     counts = agg.station_counts(view(spark, sf, "counts"))
-    return rounded(jn.link_counts(station_links(network(spark, sf)), counts, factor=0.5))
+    return rounded(jn.link_counts(station_links(spark, sf), counts, factor=0.5))
 
 
 _OWN = "CASE 1 + (u + v) % 8 " + " ".join(f"WHEN {i} THEN flow_total_lane_{i}" for i in range(1, 9)) + " END"
@@ -132,7 +146,7 @@ FROM (SELECT l.u, l.v, avg({_OWN.replace("(u + v)", "(l.u + l.v)")}) AS own, cou
     ls=LINK_STATIONS, sc=STATION_COUNTS))
 def j04(spark, sf):
     # five of eight lanes report, so some links have no value for their own lane
-    links = station_links(network(spark, sf)).withColumn("lane", 1 + (C("u") + C("v")) % 8)
+    links = station_links(spark, sf).withColumn("lane", 1 + (C("u") + C("v")) % 8)
     counts = agg.station_counts(view(spark, sf, "counts"))
     return rounded(jn.link_lane_counts(links, counts))
 
@@ -529,7 +543,7 @@ def v05(spark, sf):
     from .bindings import table
     return table(spark, sf, "customer").select(
         "c_custkey", (C("c_acctbal") / 1000).alias("balance_k"),
-        F.substring("c_name", 10, 100).alias("tail"))
+        F.substr(C("c_name"), F.lit(10)).alias("tail"))
 
 
 # imputation and sampling ---------------------------------------------------------------

@@ -411,23 +411,32 @@ def r05(spark, sf):
     return rounded(rs.estimate_gaps(convergence(spark, sf), {"tt": -1.0, "c": 0.5}), gap_vot=4)
 
 
+#: An infinite capacity is compared as a flag and no number.
+_SHOWN = "CASE WHEN k <= 10000 THEN k END"
+
+
+def _bounded(shown):
+    infinite = C("capacity") == float("inf")
+    return shown.withColumn("unbounded", infinite).withColumn("capacity", F.when(~infinite, C("capacity")))
+
+
 @query("R06_link_summary", with_views(
-    f"SELECT u, v, link_type, {r('length', 'length')}, tf, {r('k', 'capacity')}, alpha, beta, "
-    f"{r('count', 'count')} FROM links WHERE k <= 10000", "links"))
+    f"SELECT u, v, link_type, {r('length', 'length')}, tf, {r(_SHOWN, 'capacity')}, k > 10000 AS unbounded, "
+    f"alpha, beta, {r('count', 'count')} FROM links", "links"))
 def r06(spark, sf):
-    return rounded(rs.link_summary(network(spark, sf).links.where("k <= 10000")), alpha=-1, beta=-1)
+    return rounded(_bounded(rs.link_summary(network(spark, sf).links)), alpha=-1, beta=-1)
 
 
 _TT = "tf * (1 + alpha * pow(load / k, beta))"
 
 
 @query("R07_link_report", with_views(f"""
-SELECT u, v, {r("k", "capacity")}, {r(_TT, "tt")}, round(60 * length / ({_TT}), 1) AS speed,
+SELECT u, v, {r(_SHOWN, "capacity")}, k > 10000 AS unbounded, {r(_TT, "tt")}, round(60 * length / ({_TT}), 1) AS speed,
        {r("count", "count")}, {r("load", "predicted")}, {r("load - count", "error")}
-FROM links WHERE count IS NOT NULL AND k <= 10000""", "links"))
+FROM links WHERE count IS NOT NULL""", "links"))
 def r07(spark, sf):
-    links = network(spark, sf).links.where("k <= 10000")
-    return rounded(rs.link_report(links, links.withColumn("x", C("load"))), speed=-1)
+    links = network(spark, sf).links
+    return rounded(_bounded(rs.link_report(links, links.withColumn("x", C("load")))), speed=-1)
 
 
 @query("R08_od_matrix", with_views("SELECT o, " + ", ".join(
