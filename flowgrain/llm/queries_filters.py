@@ -9,6 +9,7 @@ from . import quality, toxicity
 from .common import table
 from .decontaminate import mark
 from .pii import KINDS, detect
+from .pii_sql import PII_SQL
 from .registry import query
 
 
@@ -21,7 +22,7 @@ def _number(kind: str) -> Column:
     return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
-@query("op2_pii")
+@query("op2_pii", PII_SQL)
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     found = detect(table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", *[_number(k) for k in KINDS],
