@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, parts, rows_of, store, text_of
+from .common import batches_of, parts, rows_of, shielded, store, text_of
 from .graph import components
 
 #: Seed of the shingle hash, words of a shingle, and most differing bits of a link.
@@ -60,16 +60,20 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp) of every whole text; fp is the fingerprint as a signed 64-bit number."""
+    """(doc_id, copy, fp) of every whole text; copy is a hash of id and text, fp the
+    fingerprint as a signed 64-bit number."""
     batches_of(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, words, seed) for _, t in rows_of([batch], "doc_id", "text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))],
+                                             ["doc_id", "copy", "fp"])
 
-    return docs.select("doc_id", text_of(F.col("text")).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    text = text_of(F.col("text"))
+    return docs.select("doc_id", F.xxhash64("doc_id", text).alias("copy"), text.alias("text")).mapInArrow(
+        run, f"doc_id {kind}, copy long, fp long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +141,8 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, seed: int = SEED,
                     tile: int = TILE) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of ``docs`` (doc_id, text, any other columns).
+    """(doc_id, copy, fp, root, component_id) of every row of ``docs`` (doc_id, text, any
+    other columns); root names the group by its least fingerprint.
 
     component_id is the least doc_id that can be reached over links of at most ``radius``
     bits. Null and empty texts have fingerprint 0 and are linked like any other. A null
@@ -150,5 +155,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, s
     member = known.join(joined.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp"))
     named = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = member.join(named, "root").select("fp", "component_id")
-    return prints.join(label, "fp").select("doc_id", "fp", "component_id")
+    label = member.join(named, "root").select("fp", "root", "component_id")
+    return prints.join(label, "fp").select("doc_id", "copy", "fp", "root", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the row of the least
+    doc_id (null last), and of rows equal in doc_id and text one. Other columns stay."""
+    inner = shielded(docs, "doc_id", "text")
+    found = near_duplicates(inner, **options)
+    stay = store(found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "copy")).alias(
+        "first")).select("first.copy"))
+    keyed = inner.withColumn("copy", F.xxhash64("doc_id", text_of(F.col("text"))))
+    kept = keyed.join(stay, "copy", "left_semi").dropDuplicates(["copy"])
+    return kept.select(*inner.columns).toDF(*docs.columns)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, store, text_of
+from .common import batches_of, shielded, store, text_of
 
 #: Most lexicon terms; documents of each class that the classifier is fitted on.
 TERMS, SAMPLE = 3000, 8000
@@ -312,3 +312,13 @@ def fit_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
                                              ["doc_id", "h", "score"])
 
     return table.select("doc_id", "mask", "terms", "h").mapInArrow(run, f"doc_id {kind}, h long, score double")
+
+
+def drop(docs: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """The rows of ``docs`` that score below ``least``; other columns stay."""
+    inner = shielded(docs, "doc_id", "text")
+    scored = fit_and_score(inner, labels)
+    # found again by a hash of id and text, so that rows without an id find theirs
+    rejected = scored.where(F.col("score") >= least).select("h").distinct()
+    keyed = inner.withColumn("h", F.xxhash64("doc_id", text_of(F.col("text"))))
+    return keyed.join(rejected, "h", "left_anti").select(*inner.columns).toDF(*docs.columns)
