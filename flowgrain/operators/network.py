@@ -8,6 +8,7 @@ links and paths is an array column and no join is needed to spread path values t
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -146,15 +147,22 @@ def enumerate_paths(links: DataFrame, cutoff: int, origins: DataFrame | None = N
                        "o", C("_at").alias("d"), "nodes", "segs", "cost")
 
 
-def distances_to(links: DataFrame, targets: DataFrame, weight: str, cutoff: int) -> DataFrame:
-    """Cheapest cost (node, d, dist) from every node to each target within ``cutoff`` links."""
+def _rounds(cutoff: int | None):
+    """Round numbers up to ``cutoff``, or without end."""
+    return count() if cutoff is None else range(cutoff)
+
+
+def distances_to(links: DataFrame, targets: DataFrame, weight: str, cutoff: int | None = None
+                 ) -> DataFrame:
+    """Cheapest cost (node, d, dist) from every node to each target that it can reach, over
+    at most ``cutoff`` links if that is given. Rounds end once nothing gets cheaper."""
     step = links.select(C("u").alias("_u"), C("v").alias("node"),
                         C(weight).cast("double").alias("_w"))
     step = step.groupBy("_u", "node").agg(F.min("_w").alias("_w"))
     small = fits(step)
     best = pin(targets.select(C("d").alias("node"), "d", F.lit(0.0).alias("dist")).distinct())
     fresh = best
-    for _ in range(cutoff):
+    for _ in _rounds(cutoff):
         grown = fresh.join(F.broadcast(step), "node") if small else salted_join(
             fresh, step, ["node"])
         grown = grown.select(C("_u").alias("node"), "d", (C("dist") + C("_w")).alias("dist"))
@@ -170,11 +178,12 @@ def distances_to(links: DataFrame, targets: DataFrame, weight: str, cutoff: int)
 
 
 def k_shortest(links: DataFrame, ods: DataFrame, k: int, weight: str = "weight",
-               cutoff: int = 10) -> DataFrame:
-    """The k cheapest simple paths of each OD with at most ``cutoff`` links.
+               cutoff: int | None = None) -> DataFrame:
+    """The k cheapest simple paths of each OD, of at most ``cutoff`` links if that is given.
 
     Exact: a partial path is dropped only when its cost plus the cheapest way on exceeds
-    the k-th best complete path found so far. Ties go to the smaller path id. Weights
+    the k-th best complete path found so far; for one path the cheapest cost bounds the
+    search from its first link. Ties go to the smaller path id. Weights
     must not be negative.
     """
     step = pin(links.where(C("u") != C("v")).select(
@@ -191,17 +200,21 @@ def k_shortest(links: DataFrame, ods: DataFrame, k: int, weight: str = "weight",
                        F.lit(0.0).alias("cost"))
     rank = Window.partitionBy(*OD).orderBy("cost", "path_id")
     found = None
-    for _ in range(cutoff):
+    if k == 1:
+        front = front.join(ahead, ["_at", "d"]).withColumnRenamed("_ahead", "_least")
+    for _ in _rounds(cutoff):
         grown = (front.join(F.broadcast(step), "_at") if small
                  else salted_join(front, step, ["_at"]))
         grown = grown.where(~F.array_contains("nodes", C("_to"))).select(
             *OD, C("_to").alias("_at"), F.concat("nodes", F.array("_to")).alias("nodes"),
             F.concat("segs", F.array(F.struct(C("_at").alias("u"), C("_to").alias("v"),
                                               C("_idx").alias("idx")))).alias("segs"),
-            (C("cost") + C("_w")).alias("cost"))
+            (C("cost") + C("_w")).alias("cost"), *(["_least"] if k == 1 else []))
         grown = (grown.join(F.broadcast(ahead), ["_at", "d"]) if ahead_small
                  else salted_join(grown, ahead, ["_at", "d"]))
-        if found is not None:
+        if k == 1:
+            grown = grown.where(C("cost") + C("_ahead") <= C("_least") + 1e-9)
+        elif found is not None:
             # k rows per OD at most, so the bound is one row per OD
             bound = found.withColumn("_r", F.row_number().over(rank)).where(C("_r") == k).select(
                 *OD, C("cost").alias("_bound"))
@@ -240,20 +253,27 @@ def k_shortest_retry(links: DataFrame, ods: DataFrame, k: int, weight: str = "we
     return found
 
 
-def all_or_nothing(links: DataFrame, od: DataFrame, weight: str = "weight", cutoff: int = 10
-                   ) -> tuple[DataFrame, DataFrame]:
-    """Each OD's demand on its cheapest path: link flows, and the total cost (one row)."""
-    best = k_shortest(links, od.where(C("q") > 0), 1, weight, cutoff)
+def all_or_nothing(links: DataFrame, od: DataFrame, weight: str = "weight",
+                   cutoff: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Each OD's demand on its cheapest path: link flows, and the total cost (one row).
+
+    Demand without a path, or with none of ``cutoff`` links if that is given, is an error.
+    """
+    wanted = od.where(C("q") > 0)
+    best = k_shortest(links, wanted, 1, weight, cutoff)
     loaded = best.join(od.select(*OD, "q"), OD)
     seg = loaded.select(F.explode("segs").alias("seg"), "q").select("seg.*", "q")
     flow = seg.groupBy(*LINK).agg(F.sum("q").alias("x"))
+    lost = wanted.join(best.select(*OD), OD, "left_anti").where(C("o") != C("d")).count()
+    if lost:
+        raise ValueError(f"{lost} OD pairs with demand have no path")
     flows = links.select(*LINK).join(flow, LINK, "left").na.fill(0.0, ["x"])
     return flows, loaded.agg(F.sum(C("cost") * C("q")).alias("sptt"))
 
 
 def column_generation(links: DataFrame, paths: DataFrame, od: DataFrame, k: int,
                       weight: str = "weight", share: float = 1.0, block: int = 0,
-                      cutoff: int = 10) -> tuple[DataFrame, DataFrame]:
+                      cutoff: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Add new cheap paths for a demand-ordered share of the ODs.
 
     Returns all paths with an ``added`` flag, and counts of generated and new paths.

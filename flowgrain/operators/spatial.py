@@ -62,8 +62,8 @@ def points_near_links(points: DataFrame, links: DataFrame, reach: float,
     A reach of 0 matches nothing. ``points`` keep their columns; ``dist`` is added.
     """
     if reach <= 0:  # before any cell is made: their number grows as the reach shrinks
-        nothing = links.select(*link).where(F.lit(False)).crossJoin(points.where(F.lit(False)))
-        return nothing.withColumn("dist", F.lit(0.0)).select(*points.columns, *link, "dist")
+        keys = [F.lit(None).cast(links.schema[k].dataType).alias(k) for k in link]
+        return points.where(F.lit(False)).select(*points.columns, *keys, F.lit(0.0).alias("dist"))
     size = float(size or 4.0 * reach)
     seg = segment_cells(links.select(*link, "x1", "y1", "x2", "y2"), float(reach), size)
     placed = (points.withColumn("_cx", _cell(C("x"), size))

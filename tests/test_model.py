@@ -225,3 +225,15 @@ def test_update_rules_agree_at_the_optimum(yang):
     gn = es.UPDATES["gauss-newton"](jj, jr, np.zeros(2), 0.1, 0.0)
     lm = es.UPDATES["lm"](jj, jr, np.zeros(2), 0.1, 0.0)
     assert np.allclose(gn, lm) and np.allclose(jj @ gn, -jr)
+
+
+def test_demand_far_away_is_loaded_without_a_hop_limit(spark):
+    chain = networks.links(spark, [(i, i + 1, "0", 1.0 + i % 3) for i in range(24)], 100)
+    chain = chain.withColumn("weight", F.col("tf"))
+    od = spark.createDataFrame([(0, 24, 5.0), (20, 24, 2.0), (3, 4, 0.0)], "o int, d int, q double")
+    flows, total = nw.all_or_nothing(chain, od)
+    assert {r["u"]: r["x"] for r in flows.collect()} == {i: 5.0 if i < 20 else 7.0 for i in range(24)}
+    far, near = (sum(1.0 + i % 3 for i in range(a, 24)) for a in (0, 20))
+    assert total.first()["sptt"] == 5 * far + 2 * near
+    with pytest.raises(ValueError, match="1 OD pairs"):
+        nw.all_or_nothing(chain, spark.createDataFrame([(24, 0, 1.0)], "o int, d int, q double"))
