@@ -148,11 +148,10 @@ def disclosures(docs: DataFrame, seen: DataFrame, support: int = SUPPORT, least:
     wanted = candidates.select("term").distinct()
     held = (docs.select(F.explode(F.array_distinct(_words(text_of(F.col("text"))))).alias("term"))
             .join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("of_term")))
-    total = docs.agg(F.count("*").alias("total"))
-    rated = candidates.join(held, "term").crossJoin(F.broadcast(total))  # one row
-    pmi = F.log(F.col("total") * F.col("both") / (F.col("of_entity") * F.col("of_term")))
-    information = F.log(F.col("total") / F.col("of_entity"))
-    return (rated.where(F.col("total") > F.col("of_entity"))
+    total = docs.count()
+    pmi = F.log(total * F.col("both") / (F.col("of_entity") * F.col("of_term")))
+    information = F.log(total / F.col("of_entity"))
+    return (candidates.join(held, "term").where(F.col("of_entity") < total)
             .select("entity", "term", (pmi / information).alias("disclosure")).where(F.col("disclosure") >= least))
 
 
