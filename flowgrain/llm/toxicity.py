@@ -8,11 +8,12 @@ counts of all vote patterns in all documents, with the classes of labelled rows
 posterior labels train a linear classifier over the lexicon terms and the votes, which gives
 the scores.
 
-Size. Term statistics are sums over all labelled rows, vote patterns sums over all
-documents; there are at most 2^VOTERS patterns whatever the input, and at most ``TERMS``
-terms, so the model on the driver is bounded. The classifier is fitted on the posterior
-labels of at most ``SAMPLE`` documents of each class, lowest hash first. One pass reads the
-texts for the votes; scores are computed from its small table.
+Size. The lexicons are learned from at most ``LABELLED`` labelled rows, lowest hash first;
+all labels go into the label model. Vote patterns are sums over all documents; there are at
+most 2^VOTERS patterns whatever the input, and at most ``TERMS`` terms, so the model on the
+driver is bounded. The classifier is fitted on the posterior labels of at most ``SAMPLE``
+documents of each class, lowest hash first. One pass reads the texts for the votes; scores
+are computed from its small table.
 """
 
 from __future__ import annotations
@@ -27,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, shielded, store, text_of
+from .common import batches_of, release, shielded, store, text_of
 
-#: Most lexicon terms; documents of each class that the classifier is fitted on.
-TERMS, SAMPLE = 3000, 8000
-#: Different contexts a term needs in toxic texts; letters of a word beginning.
-SUPPORT, BEGINNING = 4, 4
+#: Most labelled rows the lexicons are learned from, and most terms in them; documents of each
+#: class that the classifier is fitted on.
+LABELLED, TERMS, SAMPLE = 40_000, 3000, 8000
+#: Different contexts, and share of the toxic texts, that a term needs; letters of a beginning.
+SUPPORT, SHARE, BEGINNING = 4, 0.001, 4
 #: Lexicons of words and of beginnings; a word is a run of letters.
 WORD_LEXICONS, BEGINNING_LEXICONS = 6, 3
 NOT_WORD = r"[^\p{L}]+"
@@ -65,13 +67,15 @@ def term_statistics(rows: DataFrame) -> tuple[list[tuple[str, int, int]], int, i
     pairs = toxic.where(F.size("w") > 0).select("copy", F.explode(F.arrays_zip(F.col("w"), before.alias("before"))).alias("p"))
     seen = (pairs.select("copy", F.explode(_terms(F.col("p.w"))).alias("term"), F.xxhash64("p.before").alias("before"))
             .groupBy("copy", "term").agg(F.min("before").alias("before")).select("term", "before").distinct().groupBy("term").agg(F.count("*").alias("toxic")))
-    seen = store(seen)
-    candidates = seen.where(F.col("toxic") >= SUPPORT)
+    sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    candidates = store(seen.where(F.col("toxic") >= max(SUPPORT, SHARE * n1)))
+    tested = candidates.count()
     clean = rows.where("label = 0").select(F.explode(F.array_distinct(F.flatten(F.transform(_tokens("text"), _terms)))).alias(
         "term"))
-    against = clean.join(candidates.select("term"), "term", "left_semi").groupBy("term").agg(F.count("*").alias("clean"))
-    sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n1, n0, tested = sizes.get(1, 0), sizes.get(0, 0), candidates.count()
+    # a text holds so many terms, so at most that many / SHARE stand in a SHARE of the texts
+    against = (clean.join(F.broadcast(candidates.select("term")), "term", "left_semi")
+               .groupBy("term").agg(F.count("*").alias("clean")))
     both = candidates.join(against, "term", "left").select("term", "toxic", F.coalesce("clean", F.lit(0)).alias("clean"))
     # twice the log-likelihood ratio of a binomial test against the share of toxic texts
     a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
@@ -80,6 +84,7 @@ def term_statistics(rows: DataFrame) -> tuple[list[tuple[str, int, int]], int, i
     gain = 2 * (a * F.log(mine / share) + F.when(b > 0, b * F.log((1 - mine) / (1 - share))).otherwise(0.0))
     strong = both.withColumn("gain", gain).where((mine > share) & (F.col("gain") > 2 * np.log(max(1, tested))))
     top = strong.orderBy(F.desc("gain"), "term").limit(TERMS).collect() if n1 and n0 else []
+    release(candidates)
     return [(r.term, r.toxic, r.clean) for r in top], n1, n0, tested
 
 
@@ -274,7 +279,12 @@ def fit_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
              .agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low = high")
              .select("doc_id", F.col("low").cast("int").alias("label")))
     texts = docs.select("doc_id", text_of(F.col("text")).alias("text"))
-    terms, _, _, _ = term_statistics(texts.join(known, "doc_id").select("text", "label"))
+    known = store(known)
+    # at most LABELLED rows, so they are broadcast and no other text is moved
+    chosen = store(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED))
+    labelled = store(texts.join(F.broadcast(chosen), "doc_id").select("text", "label"))
+    terms, _, _, _ = term_statistics(labelled)
+    release(labelled, chosen)
     voters = Voters.of([t for t, _, _ in terms])
     seen = votes(texts.withColumn("h", F.xxhash64("doc_id", "text")), voters)
     # labels come after the texts have been left behind
