@@ -24,6 +24,9 @@ OPEN, MIDDLE, CLOSE = "### ", ": ", " </turn>\n"
 #: Control strings and their codes; the escape sign comes first when writing, last when reading.
 CODES = (("\\", "\\b"), ("###", "\\h"), ("</turn>", "\\t"), (": ", "\\c"))
 TURNS = "array<struct<role:string,text:string>>"
+#: Characters up to which the variant parser takes every record (its limit for one string is
+#: the first it meets), and the options of the reader of those it does not take.
+PARSED, UNBOUND = 20_000_000, {"maxStringLen": "2147483647"}
 
 #: Names that the from/value layout gives to the speakers.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -94,33 +97,59 @@ def _reader(role: str, text: str):
     return read
 
 
-def canonical_turns(record: Column, print_: Column) -> Column:
-    """Turns of a parsed record by the mapping of its fingerprint; null for an unknown one."""
+def _turns(get, print_: Column) -> Column:
+    """Turns by the mapping of a fingerprint; ``get`` reads a field as a type."""
     chosen = None
     for _, paths, nested, flat in LAYOUTS:
         if nested:
             field, role, text = nested
-            items = F.variant_get(record, f"$.{field}", f"array<struct<`{role}`:string,`{text}`:string>>")
+            items = get(field, f"array<struct<`{role}`:string,`{text}`:string>>")
             turns = F.transform(items, _reader(role, text))
         else:
-            turns = F.array(*[F.struct(F.lit(role).alias("role"),
-                                       text_of(F.variant_get(record, f"$.{path}", "string")).alias("text"))
+            turns = F.array(*[F.struct(F.lit(role).alias("role"), text_of(get(path, "string")).alias("text"))
                               for role, path in flat])
         hit = print_ == _digest(paths)
         chosen = F.when(hit, turns) if chosen is None else chosen.when(hit, turns)
     return chosen
 
 
+def canonical_turns(record: Column, print_: Column) -> Column:
+    """Turns of a parsed record by the mapping of its fingerprint; null for an unknown one."""
+    return _turns(lambda path, kind: F.variant_get(record, f"$.{path}", kind), print_)
+
+
+def _long_fingerprint(record: Column) -> Column:
+    """Fingerprint of a JSON text of any length: its fields and those of the array layouts."""
+    paths = F.map_keys(F.from_json(record, "map<string,string>", UNBOUND))
+    none = F.array().cast("array<string>")
+    for field in (nested[0] for _, _, nested, _ in LAYOUTS if nested):
+        items = F.from_json(record, f"struct<{field}:array<map<string,string>>>", UNBOUND)[field]
+        names = F.flatten(F.transform(items, lambda m: F.transform(
+            F.map_keys(m), lambda k: F.concat(F.lit(f"{field}[]."), k))))  # noqa: B023
+        paths = F.concat(paths, F.coalesce(names, none))
+    return F.xxhash64(F.array_join(F.array_sort(F.array_distinct(paths)), "\n"))
+
+
+def _long_turns(record: Column, print_: Column) -> Column:
+    return _turns(lambda path, kind: F.from_json(record, f"struct<`{path}`:{kind}>", UNBOUND)[path], print_)
+
+
 def from_records(records: DataFrame, column: str = "record") -> DataFrame:
     """``records`` with schema_print and turns of the JSON text in ``column``.
 
     Null, broken JSON and layouts without a mapping give null turns, so that they can be
     counted and a mapping added; the row stays. Null texts inside a known layout are empty.
-    Columns already named schema_print or turns are replaced.
+    Records beyond the limits of the variant parser (one string of 20 million characters, 128
+    MiB) are read by field instead. Columns already named schema_print or turns are replaced.
     """
-    parsed = F.try_parse_json(F.col(column))
-    known = records.withColumn("schema_print", fingerprint(F.schema_of_variant(parsed)))
-    return known.withColumn("turns", canonical_turns(parsed, F.col("schema_print")))
+    record = F.col(column)
+    parsed = F.try_parse_json(record)
+    long = parsed.isNull() & (F.length(record) > PARSED)
+    known = records.withColumn("schema_print", F.when(long, _long_fingerprint(record)).otherwise(
+        fingerprint(F.schema_of_variant(parsed))))
+    print_ = F.col("schema_print")
+    return known.withColumn("turns", F.when(long, _long_turns(record, print_)).otherwise(
+        canonical_turns(parsed, print_)))
 
 
 def chat_format(turns: Column) -> Column:
