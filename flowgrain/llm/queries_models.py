@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .pieces import decode_pieces, encode_pieces
 from .registry import query
+from .whitening import whiten
 
 
 @query("op11_pieces")
@@ -17,3 +18,8 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return whiten(table(spark, sf, "embeddings"))
