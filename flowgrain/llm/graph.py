@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import release, store
 
 
 def _stars(edges: DataFrame, larger: bool) -> DataFrame:
@@ -42,6 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
         if now["n"] == 0 or (now["n"], now["s"]) == mark:
             break
         mark = (now["n"], now["s"])
-        state = store(_stars(_stars(state, True), False))
+        made = store(_stars(_stars(state, True), False))
+        release(state)
+        state = made
     leaves = state.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return leaves.union(state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -3,10 +3,11 @@ import zlib
 import corpus_pipeline
 from flowgrain.llm.common import store, table
 from flowgrain.llm.decontaminate import edits_allowed, words_of
-from flowgrain.llm.simhash import fingerprint, one_of_each_group
+from flowgrain.llm.simhash import one_of_each_group
 
 from .cases import AWKWARD, folder, frame
 from .test_decontaminate import nearest
+from .test_nearcopies import survivors
 from .test_packing import tokens
 from .test_pii import base
 
@@ -28,11 +29,7 @@ def test_stages_against_plain_versions(spark):
     assert all(no_toxic[d] == before[d] for d in no_toxic)
     gone = set(before) - set(no_toxic)
     assert len([d for d in gone if labels.get(d) == 0]) <= 1
-    prints, groups = {d: fingerprint((t or "").encode()) for d, t in no_toxic.items()}, []
-    for d in sorted(prints):
-        near = [g for g in groups if any((prints[d] ^ prints[o]).bit_count() <= 3 for o in g)]
-        groups = [g for g in groups if g not in near] + [sum(near, []) + [d]]
-    assert set(single) == {min(g) for g in groups} and len(single) < len(no_toxic)
+    assert set(single) == survivors(no_toxic) and len(single) < len(no_toxic)
     items = [words_of(r.text) for r in table(spark, SF, "benchmark").collect()]
     leaked = {d for d, t in single.items() if any(
         nearest(i, words_of(t)) <= edits_allowed(len(i)) for i in items if len(set(i) & set(words_of(t))) > len(i) / 3)}
