@@ -17,6 +17,7 @@ task and a count, so a task that is run again gives the same ids.
 from __future__ import annotations
 
 import base64
+import json
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,21 +42,28 @@ STEP = 16 * 2048
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str):
+def encoder(path: str, pattern: str, tokenizer: str):
     """Byte-pair encoder over a vocabulary file of ranks. It gives the ids of the same
-    vocabulary's tokenizer file, with every special token's string as ordinary text."""
+    vocabulary's ``tokenizer`` file, whose added tokens are tokens wherever a text holds them."""
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    with open(tokenizer, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+        raise ValueError("added tokens that depend on what is around them are not supported")
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks,
+                             special_tokens={t["content"]: t["id"] for t in added})
 
 
-def public_vocabulary() -> tuple[str, str]:
-    """Path and split pattern of the 50k byte vocabulary, found on the machine that asks."""
+def public_vocabulary() -> tuple[str, str, str]:
+    """Rank file, split pattern and tokenizer file of the 50k byte vocabulary, found on the
+    machine that asks."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+            public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def tier_of(length: int, tiers: tuple[int, ...] = TIERS) -> int:
@@ -145,7 +153,7 @@ def pack(docs: DataFrame, tiers: tuple[int, ...] = TIERS, step: int = STEP, bloc
     tier (its context size) and step_group. Null and empty texts are one end id. Rows with a
     null or repeated doc_id are packed like any other. An empty table gives an empty one.
     ``tiers`` are powers of two. ``vocabulary`` is called on the executor and names the
-    vocabulary file there.
+    vocabulary files there.
     """
     if list(tiers) != sorted({t for t in tiers if t > 0 and t & (t - 1) == 0}):
         raise ValueError("tiers are rising powers of two")
@@ -167,7 +175,7 @@ def pack(docs: DataFrame, tiers: tuple[int, ...] = TIERS, step: int = STEP, bloc
             long = pa.int64()
             kinds = [batch.schema.field(0).type, long, long, pa.binary(), long, long, long, long, long]
             for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch, "text"), strict=True):
-                ids = encode(text.decode("utf-8", "replace"), disallowed_special=())
+                ids = encode(text.decode("utf-8", "replace"), allowed_special="all")
                 packer.add(doc_id, np.append(ids, END).astype("<u4"))
                 if packer.held >= block:
                     yield columns(packer.flush(False))
