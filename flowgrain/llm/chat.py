@@ -1,7 +1,7 @@
 """Conversations in many layouts to one chat format, by schema fingerprints.
 
-Method. A record is a JSON value. The paths of all its fields, with array positions left
-out, are its schema; their hash is its fingerprint. Each fingerprint selects one declarative
+Method. A record is a JSON value. The paths of all its fields at any depth, with array
+positions left out, are its schema; their hash is its fingerprint. Each fingerprint selects one declarative
 mapping: a list of (role, path) pairs for flat layouts, or an array path with the names of
 its role and text fields. The mapping turns the record into canonical turns, which a
 template formats. All of it is column expressions: no Python runs on the rows.
@@ -27,12 +27,20 @@ TURNS = "array<struct<role:string,text:string>>"
 #: Characters up to which the variant parser takes every record (its limit for one string is
 #: the first it meets), and the options of the reader of those it does not take.
 PARSED, UNBOUND = 20_000_000, {"maxStringLen": "2147483647"}
+#: Bytes of an outline that the parser takes.
+OUTLINE = 120 << 20
+#: Types of plain values in a schema text, where a type may stand, and the name all are given.
+SCALARS = (r"(?<=^|<|: )(?:STRING|VOID|BOOLEAN|BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\))(?=$|>|,)")
+PLAIN = "VALUE"
+#: A name of a JSON text (kept as $1), or a string value ($2 and $3 are its quotes).
+STRINGS = r"""("[^"\\]*+(?:\\.[^"\\]*+)*+"\s*+:)|(")[^"\\]*+(?:\\.[^"\\]*+)*+(")"""
 
 #: Names that the from/value layout gives to the speakers.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
-#: Layouts: name, example schema paths, then either the array path with its role and text
-#: fields, or the flat (role, path) pairs in the order of the turns.
+#: Layouts: name, schema paths, then either the array path with its role and text fields, or
+#: the flat (role, path) pairs in the order of the turns. A path ends in a plain value, ``[]``
+#: stands for the items of an array; ``text[].text`` of a turn's field is the texts in a row.
 LAYOUTS = (
     ("prompt", ("prompt", "response"), None, (("user", "prompt"), ("assistant", "response"))),
     ("completion", ("completion", "prompt"), None, (("user", "prompt"), ("assistant", "completion"))),
@@ -41,9 +49,11 @@ LAYOUTS = (
     ("instruction", ("input", "instruction", "output"), None,
      (("system", "instruction"), ("user", "input"), ("assistant", "output"))),
     ("instruction_only", ("instruction", "output"), None, (("user", "instruction"), ("assistant", "output"))),
-    ("messages", ("messages", "messages[].content", "messages[].role"), ("messages", "role", "content"), None),
-    ("conversations", ("conversations", "conversations[].from", "conversations[].value"),
-     ("conversations", "from", "value"), None),
+    ("nested_prompt", ("data.prompt", "data.response"), None, (("user", "data.prompt"), ("assistant", "data.response"))),
+    ("messages", ("messages[].content", "messages[].role"), ("messages", "role", "content"), None),
+    ("conversations", ("conversations[].from", "conversations[].value"), ("conversations", "from", "value"), None),
+    ("parts", ("messages[].content[].text", "messages[].content[].type", "messages[].role"),
+     ("messages", "role", "content[].text"), None),
 )
 
 
@@ -61,26 +71,31 @@ def unescape(text: Column, role: bool = False) -> Column:
     return text
 
 
-def _digest(paths: tuple[str, ...]) -> Column:
-    return F.xxhash64(F.lit("\n".join(sorted(paths))))
+def _shape(paths: tuple[str, ...]) -> str:
+    """Schema text of the field paths: objects with sorted names, arrays, plain values."""
+    fields: dict[str, list[str]] = {}
+    for path in sorted(paths):
+        name, dot, rest = path.partition(".")
+        fields.setdefault(name, []).append(rest if dot else "")
+    each = []
+    for name, below in sorted(fields.items()):
+        inner = PLAIN if below == [""] else _shape(tuple(below))
+        each.append(f"{name[:-2]}: ARRAY<{inner}>" if name.endswith("[]") else f"{name}: {inner}")
+    return f"OBJECT<{', '.join(each)}>"
 
 
-def schema_paths(schema: Column) -> Column:
-    """Field paths of one record from its ``schema_of_variant`` text, up to two levels:
-    sorted names, with the fields of an array of objects as ``name[].field``."""
-    flat = F.regexp_replace(schema, r"^OBJECT<(.*)>$", "$1")
-    arrays = F.regexp_extract_all(flat, F.lit(r"([A-Za-z0-9_]+): ARRAY<OBJECT<[^<>]*>>"), F.lit(0))
-    inner = F.flatten(F.transform(arrays, lambda a: F.transform(
-        F.regexp_extract_all(F.regexp_extract(a, r"OBJECT<([^<>]*)>", 1), F.lit(r"([A-Za-z0-9_]+): "), F.lit(1)),
-        lambda f: F.concat(F.regexp_extract(a, r"^([A-Za-z0-9_]+)", 1), F.lit("[]."), f))))
-    outer = F.regexp_extract_all(F.regexp_replace(flat, r"<[^<>]*(<[^<>]*>[^<>]*)*>", ""),
-                                 F.lit(r"([A-Za-z0-9_]+): "), F.lit(1))
-    return F.array_sort(F.array_distinct(F.concat(outer, inner)))
+def _digest(paths: tuple[str, ...]) -> Column:
+    return F.xxhash64(F.lit(_shape(paths)))
 
 
 def fingerprint(schema: Column) -> Column:
-    """Hash of the sorted field paths."""
-    return F.xxhash64(F.array_join(schema_paths(schema), "\n"))
+    """Hash of the field paths of a record, at any depth, from its ``schema_of_variant`` text.
+
+    The text names every field with what is below it, odd names in quotes; the types of plain
+    values are made one. A value that is an object in one record and plain in another gives
+    two fingerprints, as does any additional field.
+    """
+    return F.xxhash64(F.regexp_replace(schema, SCALARS, PLAIN))
 
 
 def canonical_role(role: Column) -> Column:
@@ -93,7 +108,9 @@ def _reader(role: str, text: str):
     """Reads one item of an array layout; only the from/value layout renames its speakers."""
     def read(item: Column) -> Column:
         name = canonical_role(item[role]) if role == "from" else text_of(item[role])
-        return F.struct(name.alias("role"), text_of(item[text]).alias("text"))
+        field, several, below = text.partition("[].")
+        body = F.array_join(F.transform(item[field], lambda p: text_of(p[below])), "") if several else item[field]
+        return F.struct(name.alias("role"), text_of(body).alias("text"))
     return read
 
 
@@ -103,8 +120,9 @@ def _turns(get, print_: Column) -> Column:
     for _, paths, nested, flat in LAYOUTS:
         if nested:
             field, role, text = nested
-            items = get(field, f"array<struct<`{role}`:string,`{text}`:string>>")
-            turns = F.transform(items, _reader(role, text))
+            name, several, below = text.partition("[].")
+            kind = f"array<struct<`{below}`:string>>" if several else "string"
+            turns = F.transform(get(field, f"array<struct<`{role}`:string,`{name}`:{kind}>>"), _reader(role, text))
         else:
             turns = F.array(*[F.struct(F.lit(role).alias("role"), text_of(get(path, "string")).alias("text"))
                               for role, path in flat])
@@ -118,20 +136,23 @@ def canonical_turns(record: Column, print_: Column) -> Column:
     return _turns(lambda path, kind: F.variant_get(record, f"$.{path}", kind), print_)
 
 
-def _long_fingerprint(record: Column) -> Column:
-    """Fingerprint of a JSON text of any length: its fields and those of the array layouts."""
-    paths = F.map_keys(F.from_json(record, "map<string,string>", UNBOUND))
-    none = F.array().cast("array<string>")
-    for field in (nested[0] for _, _, nested, _ in LAYOUTS if nested):
-        items = F.from_json(record, f"struct<{field}:array<map<string,string>>>", UNBOUND)[field]
-        names = F.flatten(F.transform(items, lambda m: F.transform(
-            F.map_keys(m), lambda k: F.concat(F.lit(f"{field}[]."), k))))  # noqa: B023
-        paths = F.concat(paths, F.coalesce(names, none))
-    return F.xxhash64(F.array_join(F.array_sort(F.array_distinct(paths)), "\n"))
+def _outline(record: Column) -> Column:
+    """A JSON text with all string values emptied; names stay."""
+    return F.regexp_replace(record, STRINGS, "$1$2$3")
 
 
 def _long_turns(record: Column, print_: Column) -> Column:
-    return _turns(lambda path, kind: F.from_json(record, f"struct<`{path}`:{kind}>", UNBOUND)[path], print_)
+    """``canonical_turns`` of a JSON text of any length, read by field."""
+    def get(path: str, kind: str) -> Column:
+        names = path.split(".")
+        schema = kind
+        for name in reversed(names):
+            schema = f"struct<`{name}`:{schema}>"
+        found = F.from_json(record, schema, UNBOUND)
+        for name in names:
+            found = found[name]
+        return found
+    return _turns(get, print_)
 
 
 def from_records(records: DataFrame, column: str = "record") -> DataFrame:
@@ -140,13 +161,18 @@ def from_records(records: DataFrame, column: str = "record") -> DataFrame:
     Null, broken JSON and layouts without a mapping give null turns, so that they can be
     counted and a mapping added; the row stays. Null texts inside a known layout are empty.
     Records beyond the limits of the variant parser (one string of 20 million characters, 128
-    MiB) are read by field instead. Columns already named schema_print or turns are replaced.
+    MiB) have the fingerprint of their outline, which is the same, and are read by field; one
+    whose outline alone is beyond the limits is an error. Columns already named schema_print
+    or turns are replaced.
     """
     record = F.col(column)
     parsed = F.try_parse_json(record)
     long = parsed.isNull() & (F.length(record) > PARSED)
-    known = records.withColumn("schema_print", F.when(long, _long_fingerprint(record)).otherwise(
-        fingerprint(F.schema_of_variant(parsed))))
+    outline = _outline(record)
+    checked = F.when(F.octet_length(outline) < OUTLINE, outline).otherwise(F.raise_error(F.lit(
+        "a record has too many fields to be read")).cast("string"))
+    known = records.withColumn("schema_print", fingerprint(F.schema_of_variant(
+        F.when(long, F.try_parse_json(checked)).otherwise(parsed))))
     print_ = F.col("schema_print")
     return known.withColumn("turns", F.when(long, _long_turns(record, print_)).otherwise(
         canonical_turns(parsed, print_)))

@@ -4,6 +4,7 @@ import json
 import duckdb
 from pyspark.sql import functions as F
 
+from flowgrain.llm import chat
 from flowgrain.llm.chat import chat_format, format_chats, loss_mask, masked_text, read_back
 from flowgrain.llm.queries_layout import CHAT_SQL, ODD, op8
 
@@ -54,6 +55,9 @@ def test_layouts_give_the_same_turns(spark):
              ({"messages": [{"role": r, "content": t} for r, t in three]}, three),
              ({"conversations": [{"from": "human", "value": "hi"}, {"from": "gpt", "value": "yo"}]}, pair),
              ({"prompt": None, "response": "yo"}, [("user", ""), ("assistant", "yo")]),
+             ({"data": {"prompt": "hi", "response": "yo"}}, pair),
+             ({"messages": [{"role": "user", "content": [{"type": "text", "text": "h"}, {"type": "text", "text": "i"}]},
+                            {"role": "assistant", "content": [{"type": "text", "text": "yo"}]}]}, pair),
              ({"other": 1}, None), ([1, 2], None)]
     rows = [(i, json.dumps(c)) for i, (c, _) in enumerate(cases)] + [(90, None), (91, "{broken")]
     df = format_chats(spark.createDataFrame(rows, "id int, record string").selectExpr("*", "1 as schema_print"))
@@ -61,6 +65,26 @@ def test_layouts_give_the_same_turns(spark):
     assert found == {i: want for i, (_, want) in enumerate(cases)} | {90: None, 91: None}
 
 
+ODD_FIELDS = [{"prompt": "p", "response": "r", **more} for more in (
+    {}, {"sys-prompt": "SECRET"}, {"sys.tem": "x"}, {"\u00e9": "x"}, {"a b": 1}, {"`": 1}, {"a: STRING": None}, {"": "x"})] + [
+    {"prompt": ["p"], "response": "r"}, {"prompt": {"x": "p"}, "response": "r"}, {"prompt": 1, "response": "r"},
+    {"prompt": "a \" : b", "response": "{\"x\": [1]}\\"}, {"data": {"prompt": "p", "response": "r", "more": 1}},
+    {"messages": []}, {"messages": [{"role": "user", "content": "x", "name": "y"}]},
+    {"messages": [{"role": "user", "content": "x"}, {"role": "assistant", "content": ["y"]}]}]
+
+
+def test_odd_names_short_and_long(spark, monkeypatch):
+    """An unknown layout never passes for a known one, whichever way a record is read."""
+    rows = [(i, json.dumps(c)) for i, c in enumerate(ODD_FIELDS)] + [(99, '{"prompt" : "p" , "response":"r"}')]
+    frame = spark.createDataFrame(rows, "id int, record string")
+    short = {r.id: (r.schema_print, r.turns) for r in chat.from_records(frame).collect()}
+    assert {i for i, (_, t) in short.items() if t is not None} == {0, 10, 11, 99}
+    assert short[11][1][1].text == ODD_FIELDS[11]["response"]
+    outlined = frame.withColumn("long", F.try_parse_json(chat._outline(F.col("record")))).withColumn(
+        "print", chat.fingerprint(F.schema_of_variant("long"))).withColumn("turns", chat._long_turns(F.col("record"), F.col("print")))
+    assert {r.id: (r.print, r.turns) for r in outlined.collect()} == short
+
+
 def test_round_trip_and_mask(spark):
     texts = ["", "\\", "\\h", "###", "####", "</turn>", " </turn>\n", "\\### Assistant: </turn> ok", "### assistant: x", "\\\\b", "a: b", "\U0001f600"]
     turns = [{"role": r, "text": t} for t in texts for r in ("user", "assistant")]
