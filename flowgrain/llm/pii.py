@@ -2,12 +2,12 @@
 
 Method. Base patterns find e-mail addresses, IP addresses, card and phone numbers; each
 value is a protected entity. Corpus co-occurrence then says how strongly the words around an
-entity reveal it: with N documents, c(e) different contexts of entity e, c(e,t) of them
-holding term t, and n(t) documents holding t anywhere, the disclosure of e by t is
+entity reveal it: with N different texts, c(e) different contexts of entity e, c(e,t) of them
+holding term t, and n(t) different texts holding t anywhere, the disclosure of e by t is
 PMI(e;t) / IC(e) = log(N c(e,t) / (c(e) n(t))) / log(N / c(e)). A term that only ever stands
 beside e has 1, a term that is independent of e has 0. From ``GENERALISE`` on a term is
 replaced by its kind, from ``REMOVE`` on it is taken out, in every document where it stands
-in a context of e. Contexts are counted once however often a copied text repeats them, and a
+in a context of e. Texts and contexts are counted once however often they are copied, and a
 term needs ``SUPPORT`` different contexts, so a single sentence proves nothing.
 
 All of it is DataFrame expressions. Statistics cover every document; there is no cap on
@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowgrain.scale import lookup
+
 from .common import shielded, store, text_of
 
 #: Kinds and their patterns. They match what the plain patterns match:
@@ -35,7 +37,8 @@ PATTERNS = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True))
 TERM = "term"
 SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 
-#: Words on each side of an entity that are its context, and the characters looked at for them.
+#: Words on each side of an entity that are its context, and the characters looked at first
+#: for them; where those hold fewer words, the whole side is read.
 CONTEXT, REACH = 6, 160
 #: Different contexts that a term needs, and the disclosures from which it is changed.
 SUPPORT, GENERALISE, REMOVE = 2, 0.8, 0.95
@@ -128,27 +131,47 @@ def mentions(found: DataFrame) -> DataFrame:
     """(__key, entity, terms): one row for each base span, with the distinct terms around it."""
     each = found.where(F.size("base_spans") > 0).select(
         "__key", text_of(F.col("text")).alias("__text"), F.explode("base_spans").alias("__span"))
-    span = F.col("__span")
+    span, text = F.col("__span"), F.col("__text")
+
+    def side(part: Column, cut: Column, whole: Column) -> Column:
+        # a cut part may begin or end inside a word, so it has to hold one word more
+        found = _words(part)
+        return F.when(cut & (F.size(found) <= CONTEXT), _words(whole)).otherwise(found)
     left = F.greatest(F.lit(0), span["start"] - REACH)
-    before = _words(F.col("__text").substr(left + 1, span["start"] - left))
-    after = _words(F.col("__text").substr(span["end"] + 1, F.lit(REACH)))
+    before = side(text.substr(left + 1, span["start"] - left), left > 0, text.substr(F.lit(1), span["start"]))
+    after = side(text.substr(span["end"] + 1, F.lit(REACH)), span["end"] + REACH < F.length(text),
+                 text.substr(span["end"] + 1, F.length(text)))
     near = F.concat(F.when(F.size(before) > CONTEXT, F.slice(before, -CONTEXT, CONTEXT)).otherwise(before),
                     F.slice(after, 1, CONTEXT))
     return each.select("__key", _entity(span).alias("entity"), F.array_sort(F.array_distinct(near)).alias("terms"))
 
 
+def _single(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Each different text of ``docs`` (__key, text) once, and their number. Only the copies of
+    texts that stand more than once are looked up and left out; no text is moved for it."""
+    marks = {"__a": F.xxhash64("text"), "__b": F.xxhash64("text", F.lit("again"))}
+    texts = docs.select("__key", text_of(F.col("text")).alias("text")).withColumns(marks)
+    groups = store(texts.groupBy("__a", "__b").agg(F.count("*").alias("__n"), F.min("__key").alias("__first")))
+    copied = groups.where("__n > 1").select("__a", "__b", "__first")
+    known = lookup(texts, copied, ["__a", "__b"])
+    once = known.where("__first IS NULL").select("text")
+    # rows equal in id and text have one key; they are few, as a group keeps one id
+    first = known.where("__first = __key").dropDuplicates(["__key"]).select("text")
+    return once.union(first), groups.count()
+
+
 def disclosures(docs: DataFrame, seen: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
     """(entity, term, disclosure) of all terms from ``least`` on, over the whole of ``docs``
-    (text) and its ``seen`` mentions."""
+    (__key, text) and its ``seen`` mentions. Everything is counted over different texts."""
     contexts = seen.select("entity", "terms").distinct()
     together = (contexts.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term")
                 .agg(F.count("*").alias("both")).where(F.col("both") >= support))
     alone = contexts.groupBy("entity").agg(F.count("*").alias("of_entity")).where(F.col("of_entity") >= support)
     candidates = store(together.join(alone, "entity"))
     wanted = candidates.select("term").distinct()
-    held = (docs.select(F.explode(F.array_distinct(_words(text_of(F.col("text"))))).alias("term"))
+    single, total = _single(docs)
+    held = (single.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
             .join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("of_term")))
-    total = docs.count()
     pmi = F.log(total * F.col("both") / (F.col("of_entity") * F.col("of_term")))
     information = F.log(total / F.col("of_entity"))
     return (candidates.join(held, "term").where(F.col("of_entity") < total)
@@ -191,7 +214,8 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with personal data and disclosing terms replaced in text; other columns stay.
 
     Of overlapping spans the first stays, the longer one on equal starts; what sticks out of
-    it is covered as well. A null text stays null, since nothing in it can be replaced.
+    it is covered as well. A null text stays null, since nothing in it can be replaced; empty
+    texts and repeated rows stay as they are, an empty table gives an empty one.
     """
     inner = shielded(docs, "doc_id", "text")
     known = detect(inner, **options)

@@ -39,15 +39,15 @@ PII_SQL = "WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 seen AS (
   SELECT doc_id, entity, list_sort(list_distinct(list_concat(left_words[-6:], right_words[:6]))) AS terms
   FROM (SELECT doc_id, kind || ':' || CASE kind WHEN 'email' THEN lower(value) WHEN 'ip' THEN value ELSE digits END AS entity,
-      {_words("substring(text, greatest(a - 160, 0) + 1, least(a, 160))")} AS left_words,
-      {_words("substring(text, b + 1, 160)")} AS right_words FROM base)),
+      {_words("substring(text, 1, a)")} AS left_words,
+      {_words("substring(text, b + 1)")} AS right_words FROM base)),
 contexts AS (SELECT DISTINCT entity, terms FROM seen),
 pairs AS (SELECT entity, term, count(*) AS both_n FROM (SELECT entity, unnest(terms) AS term FROM contexts)
   GROUP BY ALL HAVING count(*) >= 2),
 alone AS (SELECT entity, count(*) AS entity_n FROM contexts GROUP BY entity HAVING count(*) >= 2),
-held AS (SELECT term, count(*) AS term_n FROM (SELECT unnest(list_distinct({_words("text")})) AS term FROM d) GROUP BY term),
+held AS (SELECT term, count(*) AS term_n FROM (SELECT unnest(list_distinct({_words("text")})) AS term FROM (SELECT DISTINCT text FROM d)) GROUP BY term),
 rated AS (
-  SELECT entity, term FROM pairs JOIN alone USING (entity) JOIN held USING (term), (SELECT count(*) AS n FROM d)
+  SELECT entity, term FROM pairs JOIN alone USING (entity) JOIN held USING (term), (SELECT count(DISTINCT text) AS n FROM d)
   WHERE n > entity_n AND ln(n * both_n / (entity_n * term_n)) / ln(n / entity_n) >= 0.8),
 own AS (
   SELECT doc_id, list(DISTINCT term) AS terms

@@ -3,7 +3,7 @@ import math
 import re
 from collections import defaultdict
 
-from flowgrain.llm.pii import CONTEXT, REACH, detect, sanitise
+from flowgrain.llm.pii import CONTEXT, detect, sanitise
 from flowgrain.llm.queries_filters import op2
 
 from .cases import AWKWARD, SMALL, folder, frame
@@ -42,11 +42,13 @@ def entity(k, v):
 def plain_terms(docs):
     """{doc: spans of disclosing terms} by counting everything at once."""
     contexts, seen, held = defaultdict(set), [], defaultdict(int)
-    for d, text in docs.items():
-        for w in set(words(text or "")):
+    single = {text or "" for text in docs.values()}
+    for text in single:
+        for w in set(words(text)):
             held[w] += 1
+    for d, text in docs.items():
         for k, a, b, v in base(text):
-            near = words(text[max(0, a - REACH):a])[-CONTEXT:] + words(text[b:b + REACH])[:CONTEXT]
+            near = words(text[:a])[-CONTEXT:] + words(text[b:])[:CONTEXT]
             near = tuple(sorted(set(near)))
             contexts[entity(k, v)].add(near)
             seen.append((d, entity(k, v), near))
@@ -54,8 +56,8 @@ def plain_terms(docs):
     for d, e, near in seen:
         for t in near:
             both, of = sum(t in c for c in contexts[e]), len(contexts[e])
-            if both >= 2 and len(docs) > of:
-                rate = math.log(len(docs) * both / (of * held[t])) / math.log(len(docs) / of)
+            if both >= 2 and len(single) > of and held[t]:
+                rate = math.log(len(single) * both / (of * held[t])) / math.log(len(single) / of)
                 if rate >= 0.8:
                     out[d].add(t)
     return {d: [("term", m.start(), m.end()) for m in re.finditer(r"[^\W_]+", docs[d]) if m.group().lower() in ts]
@@ -102,6 +104,25 @@ def test_awkward_rows_and_terms(spark, tmp_path):
     assert {"zelmira", "quoxford", "bartok", "vint77"} <= hit and not hit & {"ask", "at", "or", "text"}
 
 
+def test_copies_of_a_text_do_not_switch_protection_off(spark, tmp_path):
+    pair = ["ask Zelmira Quoxford at zq@mail.org today", "then Zelmira Quoxford wrote from zq@mail.org again"]
+    plain = [f"plain text number {i}" for i in range(300)]
+    texts = [*pair, *plain, *[pair[0]] * 400]
+    docs = frame(spark, texts)
+    docs = docs.union(docs.where("doc_id = 0")).union(docs.where("doc_id = 0"))
+    rows = op2(spark, folder(tmp_path, spark, documents=docs)).collect()
+    terms = [len([s for s in r.spans.split(",") if s.startswith("term")]) for r in rows if "email" in r.spans]
+    assert len(terms) == 404 and min(terms) >= 2
+
+
+def test_long_words_beside_a_value(spark, tmp_path):
+    long = "k" * 400
+    texts = [f"one {long} x@mail.org z{i}" for i in range(2)] + [f"x@mail.org\u4e00\u4e8c{'y' * 500} end{i}" for i in range(2)]
+    texts += [f"other text {i}" for i in range(30)]
+    terms = check(op2(spark, folder(tmp_path, spark, documents=frame(spark, texts))).collect(), dict(enumerate(texts)))
+    assert long in {texts[d][a:b] for d, spans in terms.items() for _, a, b in spans}
+
+
 def test_sanitised_text(spark):
     texts = [*story(8), "call +1 (017) 555-7713 now", "none", None, "card 4111 1111 1111 1111."]
     docs = frame(spark, texts).selectExpr("*", "1 as removed_terms", "2 as `a.b`")
