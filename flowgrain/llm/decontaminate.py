@@ -6,8 +6,10 @@ the CGK random walk: at step t the current word is written out, and a random bit
 word) says whether to move on, so equal stretches fall back into step after an edit and edit
 distance becomes Hamming distance. Bit-sampling LSH reads a few written positions; windows
 that agree with an item on one of the repetitions are candidates. The number of repetitions
-follows from the target recall and from the collision rate measured on the items themselves
-with random edits at the limit. Candidates are verified by exact edit distance.
+follows, for items of each size, from the target recall and from the collision rate measured
+on the items themselves with random edits at the limit; items of a size that no allowed number
+finds often enough are compared with all windows of that size. Candidates are verified by
+exact edit distance.
 
 Before the walk, windows that hold too few word pairs of items of their size are left out.
 That is exact: a stretch within d edits keeps at least L - 1 - 2d of an item's pairs.
@@ -32,12 +34,14 @@ from pyspark.sql import functions as F
 from .common import batches_of, shielded, text_of
 
 #: Least similarity, 1 - edits / item words; recall aimed at for items with as many edits as
-#: are allowed (fewer edits have more); sampled positions of a key.
-SIMILARITY, RECALL, SAMPLES = 0.8, 0.99, 1
+#: are allowed (fewer edits have more), on average over a size and for each item; sampled
+#: positions of a key.
+SIMILARITY, RECALL, LEAST, SAMPLES = 0.8, 0.99, 0.95, 1
 #: Items of one block, and the longest item (in words) that goes to a block of its own size.
 BLOCK_ITEMS = 1024
-#: Windows that walk at once; most repetitions that the measured rate may ask for.
-STRIPE, MOST = 512, 256
+#: Windows that walk at once; repetitions to measure rates on, and those a size may have.
+STRIPE, TRIAL = 512, 64
+STEPS = (4, 8, 12, 24, 36, 48, 64, 96, 128, 192, 256)
 SEED = 11
 #: Windows on each side that the measured rate counts.
 BESIDE = 3
@@ -96,18 +100,33 @@ class Index:
         self.member = np.zeros((len(self.pairs), len(self.lengths)), bool)
         for row, key in enumerate(self.pairs.tolist()):
             self.member[row, list(pairs[key])] = True
+        kinds = np.array([self.classes[len(i)] for i in self.items])
+        self.needs = np.full(len(self.lengths), self.repeats, np.int64)
         if not self.repeats:
-            self._draw(64)
-            rates = np.maximum(self._rates(), 1 / 256)
-            self.repeats = next((r for r in range(4, MOST) if (1 - (1 - rates) ** r).mean() >= RECALL), MOST)
+            self._draw(TRIAL)
+            rates = self._rates()
+            self.needs = np.array([self._needed(rates[kinds == c]) for c in range(len(self.lengths))])
+        # items that no number of repetitions finds often enough are compared with every window
+        self.direct = {c: np.flatnonzero(kinds == c) for c in np.flatnonzero(self.needs == 0).tolist()}
+        self.repeats = int(self.needs.max(initial=0))
         self._draw(self.repeats)
         flat = np.concatenate([np.array(i, np.int64) for i in self.items])
         ends = np.cumsum([len(i) for i in self.items])
-        keys = self._keys(flat, ends - [len(i) for i in self.items], ends, np.array([self.classes[len(i)] for i in self.items]))
-        order = np.argsort(keys, axis=None, kind="stable")
+        keys = self._keys(flat, ends - [len(i) for i in self.items], ends, kinds)
+        used = np.flatnonzero(np.arange(self.repeats)[:, None] < self.needs[kinds][None, :])
+        order = used[np.argsort(keys.ravel()[used], kind="stable")]
         self.keys = keys.ravel()[order]
         self.owner = (order % len(self.items)).astype(np.int64)
 
+    @staticmethod
+    def _needed(rates: np.ndarray) -> int:
+        """Repetitions that items of one size need; 0 if the most are not enough."""
+        for repeats in STEPS:
+            found = 1 - (1 - rates) ** repeats
+            if found.mean() >= RECALL and found.min() >= LEAST:
+                return repeats
+        return 0
+
     def _draw(self, repeats: int) -> None:
         rng = np.random.default_rng(self.seed)
         steps = self.lengths[-1] + 1
@@ -117,9 +136,10 @@ class Index:
         # the first half of the walk, in which it has had to get over fewer edits
         self.sampled = np.stack([(spread * n).astype(np.int64) for n in self.lengths])  # class, repeat, sample
 
-    def _keys(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Keys (repeat, window) of windows of ``flat`` word numbers."""
-        repeats, n = self.factor.shape[1], len(starts)
+    def _keys(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, classes: np.ndarray,
+              repeats: int | None = None) -> np.ndarray:
+        """Keys (repeat, window) of windows of ``flat`` word numbers; the first ``repeats``."""
+        repeats, n = self.factor.shape[1] if repeats is None else repeats, len(starts)
         out = np.empty((repeats, n), np.uint64)
         pad = len(self.words) + 1
         flat = np.append(flat, pad)
@@ -135,12 +155,13 @@ class Index:
                 place = np.where(ahead, begin + moved, end - 1 - moved)
                 word = np.where(moved < size, flat[np.clip(place, 0, len(flat) - 1)], pad)
                 written[t] = word
-                moved += ((word.astype(np.uint64) * self.factor[t] + self.shift[t]) >> np.uint64(63)).astype(np.int64)
+                moved += ((word.astype(np.uint64) * self.factor[t, :repeats] + self.shift[t, :repeats])
+                          >> np.uint64(63)).astype(np.int64)
             key = np.repeat((kind.astype(np.uint64) + np.uint64(1))[None, :], repeats, axis=0)
             key = key * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, repeats + 1, dtype=np.uint64)[:, None]
             rows, columns = np.arange(repeats)[:, None], np.arange(len(begin))[None, :]
             for s in range(self.samples):
-                seen = written[self.sampled[kind, :, s].T, rows, columns].astype(np.uint64)
+                seen = written[self.sampled[kind, :repeats, s].T, rows, columns].astype(np.uint64)
                 key = (key ^ seen) * np.uint64(0xBF58476D1CE4E5B9)
                 key ^= key >> np.uint64(29)
             out[:, part] = key
@@ -227,12 +248,23 @@ class Index:
         doc = np.searchsorted(begin, starts, side="right") - 1
         stop = begin[doc] + lengths[doc]
         sizes = np.array(self.lengths)[classes]
-        keys = self._keys(flat, starts, np.minimum(starts + sizes, stop), classes)
-        left, right = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, side="right")
-        many = (right - left).ravel()
-        hit = np.repeat(left.ravel() - np.cumsum(many) + many, many) + np.arange(many.sum())
-        window = np.repeat(np.tile(np.arange(len(starts)), len(keys)), many)
-        found = np.unique(np.stack((doc[window], self.owner[hit], starts[window] - begin[doc[window]])), axis=1)
+        stops, windows, owners = np.minimum(starts + sizes, stop), [], []
+        for repeats in np.unique(self.needs[classes]).tolist():
+            at = np.flatnonzero(self.needs[classes] == repeats)
+            if not repeats:
+                for c, members in self.direct.items():
+                    mine = at[classes[at] == c]
+                    windows.append(np.repeat(mine, len(members)))
+                    owners.append(np.tile(members, len(mine)))
+                continue
+            keys = self._keys(flat, starts[at], stops[at], classes[at], repeats)
+            left, right = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, side="right")
+            many = (right - left).ravel()
+            hit = np.repeat(left.ravel() - np.cumsum(many) + many, many) + np.arange(many.sum())
+            windows.append(at[np.repeat(np.tile(np.arange(len(at)), repeats), many)])
+            owners.append(self.owner[hit])
+        window, owner = np.concatenate(windows), np.concatenate(owners)
+        found = np.unique(np.stack((doc[window], owner, starts[window] - begin[doc[window]])), axis=1)
         for part in np.split(found, self._runs(found), axis=1) if found.size else ():
             d, i, first = part[:, 0].tolist()
             item, last = self.items[i], int(part[2, -1])
@@ -307,6 +339,9 @@ def _pass(docs: DataFrame, index) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item is found."""
+    """The rows of ``docs`` (text, any others) in which no item of ``benchmark`` is found.
+
+    Null and empty texts stay, as do repeated rows; see ``mark`` for odd items and empty tables.
+    """
     found = mark(shielded(docs, "text"), benchmark, similarity)
     return found.where(F.size("matches") == 0).drop("matches").toDF(*docs.columns)

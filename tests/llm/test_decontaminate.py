@@ -1,5 +1,6 @@
 import random
 
+from flowgrain.llm import decontaminate as decontaminate_module
 from flowgrain.llm.decontaminate import build, closest, decontaminate, edits_allowed, mark, words_of
 from flowgrain.llm.queries_filters import op5
 
@@ -75,6 +76,40 @@ def test_recall_with_edits_at_the_limit(spark):
     assert found / total >= 0.97
 
 
+def limit_copies(rng, item, n):
+    """Copies of an item with as many edits as are allowed, in other text."""
+    out = []
+    for _ in range(n):
+        w = item.split()
+        for _ in range(edits_allowed(len(w))):
+            at = rng.randrange(len(w))
+            w[at:at + rng.randrange(2)] = ["new"] * rng.randrange(2)
+        out.append(" ".join(["far"] * 20 + w + ["off"] * 20))
+    return [t for t in out if nearest(words_of(item), words_of(t)) <= edits_allowed(len(item.split()))]
+
+
+def test_a_long_item_among_short_ones_is_found():
+    rng = random.Random(6)
+    items = [(i, " ".join(f"s{i}.{j}x" for j in range(4))) for i in range(200)]
+    long = " ".join(f"long{j}" for j in range(60))
+    index = build([*items, (999, long)])
+    assert len(set(index.needs.tolist())) > 1
+    docs = limit_copies(rng, long, 300)
+    hit = sum(any(m["item_id"] == 999 for m in found) for found in index.search(docs))
+    assert hit >= 0.98 * len(docs)
+
+
+def test_items_no_repetition_finds_are_compared_directly(monkeypatch):
+    monkeypatch.setattr(decontaminate_module, "STEPS", (4,))
+    rng = random.Random(8)
+    long = " ".join(f"long{j}" for j in range(60))
+    index = build([(1, long), (2, "four words are here")])
+    assert index.direct and index.needs.max() == 4
+    docs = limit_copies(rng, long, 40)
+    assert all(any(m["item_id"] == 1 for m in found) for found in index.search([*docs, "x " + long]))
+    assert [m["item_id"] for m in index.search(["so four words are here now"])[0]] == [2]
+
+
 def test_closest_against_plain():
     rng = random.Random(9)
     for _ in range(200):
