@@ -2,6 +2,7 @@ import os
 import zlib
 from collections import defaultdict
 
+from flowgrain.llm import sharding
 from flowgrain.llm.queries_layout import SHARDS, op3
 from flowgrain.llm.sharding import external_shuffle, write_shards
 
@@ -42,6 +43,25 @@ def test_a_hot_key_spreads_over_buckets(spark):
     assert {tuple(x) for x in slots(rows).values()} == {tuple(range(400))}
 
 
+def test_equal_rows_spread_over_buckets(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("if(id < 1000, 5, id) as doc_id", "if(id < 1000, 'same text', 'other ' || id) as text",
+                                        "cast(if(id < 1000, 1, id) as int) as extra")
+    kept = sharding._fisher_yates
+    monkeypatch.setattr(sharding, "_fisher_yates", lambda seed, schema: measured(kept(seed, schema)))
+    rows = external_shuffle(docs, 3, bucket=20_000).collect()
+    assert len(rows) == 3000 and all(x == list(range(len(x))) for x in slots(rows).values())
+    assert sum(r.extra == 1 for r in rows) == 1000
+    hot = sorted(r.slot for r in rows if r.text == "same text")
+    assert hot[-1] - hot[0] > 1000  # spread over the whole shard
+
+
+def measured(run):
+    def call(key, rows, base):
+        assert rows.num_rows * 30 < 40_000  # twice the target of a bucket
+        return run(key, rows, base)
+    return call
+
+
 def test_awkward_rows(spark, tmp_path):
     docs = frame(spark, AWKWARD + AWKWARD[:1]).selectExpr("*", "9 as shard", "'x' as slot", "1 as `a.b`")
     same = docs.union(docs.where("doc_id = 7")).union(docs.where("doc_id = 7").selectExpr(
