@@ -73,9 +73,7 @@ def term_statistics(rows: DataFrame) -> tuple[list[tuple[str, int, int]], int, i
     tested = candidates.count()
     clean = rows.where("label = 0").select(F.explode(F.array_distinct(F.flatten(F.transform(_tokens("text"), _terms)))).alias(
         "term"))
-    # a text holds so many terms, so at most that many / SHARE stand in a SHARE of the texts
-    against = (clean.join(F.broadcast(candidates.select("term")), "term", "left_semi")
-               .groupBy("term").agg(F.count("*").alias("clean")))
+    against = clean.groupBy("term").agg(F.count("*").alias("clean")).join(candidates.select("term"), "term", "left_semi")
     both = candidates.join(against, "term", "left").select("term", "toxic", F.coalesce("clean", F.lit(0)).alias("clean"))
     # twice the log-likelihood ratio of a binomial test against the share of toxic texts
     a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
@@ -325,7 +323,11 @@ def fit_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop(docs: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """The rows of ``docs`` that score below ``least``; other columns stay."""
+    """The rows of ``docs`` (doc_id, text, any others) that score below ``least``.
+
+    Null and empty texts have no votes and stay, unless the model holds texts without votes
+    for toxic. Rows equal in doc_id and text stay or go together. Empty tables stay empty.
+    """
     inner = shielded(docs, "doc_id", "text")
     scored = fit_and_score(inner, labels)
     # found again by a hash of id and text, so that rows without an id find theirs
