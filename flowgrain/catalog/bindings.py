@@ -1,7 +1,7 @@
 """Feeds and a road network derived from the driver's test tables.
 
-Orders are trips: the nations of an order's suppliers, by line number, are the nodes of
-its path. Distinct node sequences are the path table, their counts the demand, their
+Orders are trips: the nations of an order's suppliers, in the order of their first line, are
+the nodes of its path. Distinct node sequences are the path table, their counts the demand, their
 neighbouring nodes the links. Events are detector and probe readings. All of it grows
 with the tables. ``SQL`` holds each view as text for DuckDB; Spark runs the same text
 where the dialects agree.
@@ -22,7 +22,6 @@ C = F.col
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
-_N = [f"n{i}" for i in range(1, 8)]
 _LANES = ", ".join(f"CASE WHEN lane = {i} THEN flow_total END AS flow_total_lane_{i}"
                    for i in range(1, 9))
 
@@ -49,19 +48,17 @@ SELECT n_nationkey AS node, CAST((n_nationkey * 37) % 101 AS DOUBLE) AS x,
        CAST((n_nationkey * 53) % 97 AS DOUBLE) AS y
 FROM nation"""
 
-SQL["stop"] = f"""
-SELECT l_orderkey, {", ".join(
-    f"max(CASE WHEN l_linenumber = {i} THEN s_nationkey END) AS n{i}" for i in range(1, 8))}
+# the nations of an order in the order of their first line; of one line, the smaller first
+SQL["stop"] = """
+SELECT l_orderkey, s_nationkey AS node, min(l_linenumber) AS line
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
-GROUP BY l_orderkey"""
+GROUP BY l_orderkey, s_nationkey"""
 
-SQL["trip"] = f"""
-SELECT l_orderkey, concat_ws('/', {", ".join(f"CAST({n} AS STRING)" for n in _N)}) AS path_id,
-       coalesce({", ".join(_N)}) AS o, coalesce({", ".join(reversed(_N))}) AS d
-FROM stop
-WHERE bit_count({" | ".join(f"coalesce(1 << {n}, 0)" for n in _N)})
-      = {" + ".join(f"(CASE WHEN {n} IS NULL THEN 0 ELSE 1 END)" for n in _N)}
-  AND {" + ".join(f"(CASE WHEN {n} IS NULL THEN 0 ELSE 1 END)" for n in _N)} >= 2"""
+# DuckDB only: Spark keeps the stops of an order as an array.
+SQL["trip"] = """
+SELECT l_orderkey, string_agg(CAST(node AS VARCHAR), '/' ORDER BY line, node) AS path_id,
+       arg_min(node, line * 1000000 + node) AS o, arg_max(node, line * 1000000 + node) AS d
+FROM stop GROUP BY l_orderkey HAVING count(*) >= 2"""
 
 SQL["path_trips"] = """
 SELECT path_id, o, d, CAST(count(*) AS DOUBLE) AS trips FROM trip GROUP BY path_id, o, d"""
@@ -147,6 +144,14 @@ def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.sql(text, **args)
 
 
+def _trips(stop: DataFrame) -> DataFrame:
+    """(l_orderkey, path_id, o, d): orders that touch at least two nations."""
+    each = F.sort_array(F.collect_list(F.struct("line", "node")))["node"]
+    seen = stop.groupBy("l_orderkey").agg(each.alias("nodes")).where(F.size("nodes") >= 2)
+    return seen.select("l_orderkey", F.array_join(C("nodes").cast("array<string>"), "/").alias("path_id"),
+                       F.element_at("nodes", 1).alias("o"), F.element_at("nodes", -1).alias("d"))
+
+
 _NETWORKS: dict[tuple[str, str], SimpleNamespace] = {}
 
 
@@ -155,7 +160,7 @@ def network(spark: SparkSession, sf: str) -> SimpleNamespace:
     key = (spark.sparkContext.applicationId, sf)
     if key in _NETWORKS:
         return _NETWORKS[key]
-    trip = store(view(spark, sf, "trip"))
+    trip = store(_trips(view(spark, sf, "stop")))
     trips = trip.groupBy("path_id", "o", "d").agg(F.count(F.lit(1)).cast("double").alias("trips"))
     nodes = F.transform(F.split("path_id", "/"), lambda n: n.cast("int"))
     paths = paths_from_nodes(trips.select(nodes.alias("nodes")))

@@ -257,8 +257,11 @@ def s15(spark, sf):
 def s16(spark, sf):
     from ..operators.reshape import od_matrix
     folder = scratch(spark, "matrix")
-    wide = od_matrix(network(spark, sf).od, range(25)).orderBy("o")
-    wide.select(F.concat_ws(",", *[C(f"d{j}").cast("string") for j in range(25)])).write.text(folder)
+    net = network(spark, sf)
+    n = net.nodes.agg(F.max("node")).first()[0] + 1
+    # rows and columns of the file are node numbers, so that nodes without trips have a line too
+    wide = net.nodes.select(C("node").alias("o")).join(od_matrix(net.od, range(n)), "o", "left").na.fill(0.0).orderBy("o")
+    wide.select(F.concat_ws(",", *[C(f"d{j}").cast("string") for j in range(n)])).write.text(folder)
     return src.read_dense_matrix(spark, folder)
 
 

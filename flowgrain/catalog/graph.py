@@ -14,28 +14,51 @@ from .registry import query
 
 C = F.col
 
-# all simple paths of up to three links, for DuckDB; w is the weight of a link
-_W = "tf + c"
-L1 = f"SELECT u AS o, v AS d, u || '/' || v AS path_id, {_W} AS cost FROM links"
+# whole-number weights, so that equal costs are equal in every order of adding
+_W = "round(10 * (tf + c))"
+# all simple paths of up to two links, for DuckDB
+L1 = f"SELECT u AS o, v AS d, u || '/' || v AS path_id, {_W} AS cost FROM links WHERE u <> v"
 L2 = f"""
 SELECT a.u AS o, b.v AS d, a.u || '/' || a.v || '/' || b.v AS path_id, a.w + b.w AS cost
-FROM (SELECT u, v, {_W} AS w FROM links) a JOIN (SELECT u, v, {_W} AS w FROM links) b
+FROM (SELECT u, v, {_W} AS w FROM links WHERE u <> v) a JOIN (SELECT u, v, {_W} AS w FROM links WHERE u <> v) b
   ON a.v = b.u AND a.u <> b.v"""
-L3 = f"""
-SELECT a.u AS o, e.v AS d, a.u || '/' || a.v || '/' || b.v || '/' || e.v AS path_id,
-       a.w + b.w + e.w AS cost
-FROM (SELECT u, v, {_W} AS w FROM links) a JOIN (SELECT u, v, {_W} AS w FROM links) b
-  ON a.v = b.u AND a.u <> b.v JOIN (SELECT u, v, {_W} AS w FROM links) e
-  ON b.v = e.u AND e.v <> a.u AND e.v <> a.v"""
 ALL2 = f"SELECT * FROM ({L1} UNION ALL {L2})"
-ALL3 = f"SELECT * FROM ({L1} UNION ALL {L2} UNION ALL {L3})"
 RANKED = """
 SELECT p.*, row_number() OVER (PARTITION BY p.o, p.d ORDER BY p.cost, p.path_id) AS rk
 FROM walks p JOIN od ON od.o = p.o AND od.d = p.d"""
 
 
+def _cheap_walks(k: int, ods: str, weight: str = _W) -> dict[str, str]:
+    """DuckDB: all simple paths that may be among the ``k`` cheapest of an OD, of any length.
+
+    Paths of up to two links bound the cost; a partial path goes on while it can stay within
+    that by the cheapest way ahead (of any length, by doubling). ODs with fewer short paths
+    have no bound.
+    """
+    short = f"""
+SELECT u AS o, v AS d, w AS cost FROM wl UNION ALL
+SELECT a.u, b.v, a.w + b.w FROM wl a JOIN wl b ON a.v = b.u AND a.u <> b.v"""
+    limit = f"""
+SELECT p.o, p.d, list_sort(list(s.cost))[{k}] AS most FROM {ods} p JOIN short s ON s.o = p.o AND s.d = p.d
+WHERE p.o <> p.d GROUP BY p.o, p.d"""
+    first = "SELECT u AS o, v AS d, min(w) AS c FROM wl GROUP BY u, v"
+    double = "SELECT o, d, min(c) AS c FROM (SELECT * FROM {0} UNION ALL SELECT x.o, y.d, x.c + y.c FROM {0} x JOIN {0} y ON x.d = y.o WHERE x.o <> y.d) GROUP BY o, d"
+    grown = """
+SELECT * FROM (WITH RECURSIVE g AS (
+  SELECT p.o, p.d, most, p.o AS at, CAST(p.o AS VARCHAR) AS path_id, [p.o] AS seen, 0::DOUBLE AS cost
+  FROM %s p LEFT JOIN bound b ON b.o = p.o AND b.d = p.d WHERE p.o <> p.d
+  UNION ALL
+  SELECT g.o, g.d, most, l.v, path_id || '/' || l.v, list_append(seen, l.v), cost + l.w
+  FROM g JOIN wl l ON l.u = g.at AND g.at <> g.d AND NOT list_contains(seen, l.v)
+  LEFT JOIN m32 h ON h.o = l.v AND h.d = g.d
+  WHERE l.v = g.d OR cost + l.w + h.c <= coalesce(most, 1e300))
+SELECT o, d, path_id, cost FROM g WHERE at = d AND cost <= coalesce(most, 1e300))""" % ods
+    return {"wl": f"SELECT u, v, {weight} AS w FROM links WHERE u <> v", "short": short, "bound": limit, "m1": first,
+            **{f"m{2 * n}": double.format(f"m{n}") for n in (1, 2, 4, 8, 16)}, "walks": grown}
+
+
 def weighted(net):
-    return net.links.withColumn("weight", C("tf") + C("c"))
+    return net.links.withColumn("weight", F.round(10 * (C("tf") + C("c"))))
 
 
 @query("N01_adjacency", with_views(
@@ -128,10 +151,10 @@ def n07(spark, sf):
 
 @query("N08_k_shortest", with_views(
     f"SELECT path_id, o, d, {r('cost', 'cost')} FROM ({RANKED}) WHERE rk <= 3",
-    "links", "od", walks=ALL3))
+    "links", "od", **_cheap_walks(3, "od")))
 def n08(spark, sf):
     net = network(spark, sf)
-    return rounded(nw.k_shortest(weighted(net), net.od, 3, cutoff=3).select(
+    return rounded(nw.k_shortest(weighted(net), net.od, 3).select(
         "path_id", "o", "d", "cost"))
 
 
@@ -144,14 +167,11 @@ def n08_retry(spark, sf):
     return rounded(out.select("path_id", "o", "d", "cost"))
 
 
-@query("T05_k_shortest_by_links", with_views("""
-SELECT path_id, o, d, cost FROM (
-  SELECT p.*, row_number() OVER (PARTITION BY p.o, p.d ORDER BY p.cost, p.path_id) AS rk FROM (
-    SELECT o, d, path_id, CAST(len(string_split(path_id, '/')) - 1 AS DOUBLE) AS cost FROM walks) p
-  JOIN od ON od.o = p.o AND od.d = p.d) WHERE rk <= 4""", "links", "od", walks=ALL2))
+@query("T05_k_shortest_by_links", with_views(
+    f"SELECT path_id, o, d, cost FROM ({RANKED}) WHERE rk <= 4", "links", "od", **_cheap_walks(4, "od", "1::DOUBLE")))
 def t05(spark, sf):
     net = network(spark, sf)
-    out = nw.k_shortest(net.links.withColumn("weight", F.lit(1.0)), net.od, 4, cutoff=2)
+    out = nw.k_shortest(net.links.withColumn("weight", F.lit(1.0)), net.od, 4)
     return out.select("path_id", "o", "d", "cost")
 
 
@@ -165,7 +185,7 @@ SELECT q, cost, CAST(parts[i] AS INTEGER) AS u, CAST(parts[i + 1] AS INTEGER) AS
 # cheapest paths of any length: each step doubles the links a path may have
 _W1 = """
 SELECT o, d, min({'cost': cost, 'path': path_id}) AS b FROM (
-  SELECT u AS o, v AS d, tf + c AS cost, concat_ws('/', CAST(u AS VARCHAR), CAST(v AS VARCHAR)) AS path_id
+  SELECT u AS o, v AS d, round(10 * (tf + c)) AS cost, concat_ws('/', CAST(u AS VARCHAR), CAST(v AS VARCHAR)) AS path_id
   FROM links WHERE u <> v) GROUP BY o, d"""
 
 
@@ -210,20 +230,20 @@ _MADE = RANKED.replace("JOIN od ON", "JOIN picked od ON")
 SELECT path_id, o, d, 0 AS added FROM path_trips UNION ALL
 SELECT path_id, o, d, 1 FROM made m
 WHERE rk <= 2 AND NOT EXISTS (SELECT 1 FROM path_trips p WHERE p.path_id = m.path_id)""",
-    "links", "od", "path_trips", walks=ALL3, picked=_SAMPLE, made=_MADE))
+    "links", "od", "path_trips", picked=_SAMPLE, **_cheap_walks(2, "picked"), made=_MADE))
 def n09(spark, sf):
     net = network(spark, sf)
-    out, _ = nw.column_generation(weighted(net), net.paths, net.od, 2, share=0.3, cutoff=3)
+    out, _ = nw.column_generation(weighted(net), net.paths, net.od, 2, share=0.3)
     return out.select("path_id", "o", "d", "added")
 
 
 @query("N09_generation_counts", with_views("""
 SELECT count(*) AS n_generated,
        count(CASE WHEN NOT EXISTS (SELECT 1 FROM path_trips p WHERE p.path_id = m.path_id) THEN 1 END) AS n_added
-FROM made m WHERE rk <= 2""", "links", "od", "path_trips", walks=ALL3, picked=_SAMPLE, made=_MADE))
+FROM made m WHERE rk <= 2""", "links", "od", "path_trips", picked=_SAMPLE, **_cheap_walks(2, "picked"), made=_MADE))
 def n09_counts(spark, sf):
     net = network(spark, sf)
-    return nw.column_generation(weighted(net), net.paths, net.od, 2, share=0.3, cutoff=3)[1]
+    return nw.column_generation(weighted(net), net.paths, net.od, 2, share=0.3)[1]
 
 
 _PS = """

@@ -10,6 +10,7 @@ from ..operators import filters as flt
 from ..operators import joins as jn
 from ..operators import reshape as rs
 from ..operators import sampling as sm
+from ..scale import ranked, salted_join
 from .bindings import network, view, with_views
 from .common import r, rounded
 from .registry import query
@@ -22,63 +23,76 @@ STATION_COUNTS = ("SELECT station_id, sum(flow_total) AS flow_total, "
                   + ", ".join(f"sum(flow_total_lane_{i}) AS flow_total_lane_{i}"
                               for i in range(1, 9))
                   + " FROM counts WHERE flow_total IS NOT NULL GROUP BY station_id")
-# links are dealt over all stations and segments of the feeds, however many there are
-_STATIONS = "(SELECT max(station_id) + 1 FROM counts)"
-_SEGMENTS = "(SELECT max(segment_id) + 1 FROM probe)"
-LINK_STATIONS = f"""
-SELECT u, v, lane, unnest(CASE (u + v) % 3 WHEN 0 THEN [] WHEN 1 THEN [(u * 25 + v) % n]
-       ELSE [(u * 25 + v) % n, (u * 25 + v + 17) % n] END) AS station_id
-FROM links, (SELECT {_STATIONS} AS n)"""
+# every station and segment of a feed belongs to one link: its rank modulo the number of links
+LINK_PLACE = "SELECT u, v, row_number() OVER (ORDER BY u, v) - 1 AS place FROM links"
+
+
+def _place_sql(feed: str, key: str) -> str:
+    return (f"SELECT {key} AS id, (row_number() OVER (ORDER BY {key}) - 1) % (SELECT count(*) FROM links) AS place "
+            f"FROM (SELECT DISTINCT {key} FROM {feed})")
+
+
+LINK_STATIONS = "SELECT u, v, id AS station_id FROM link_place JOIN station_place USING (place)"
+STATIONS = {"link_place": LINK_PLACE, "station_place": _place_sql("counts", "station_id"), "ls": LINK_STATIONS}
 SPEEDS = """
 SELECT segment_id, max(speed) AS speed_max, avg(speed) AS speed_avg, stddev_samp(speed) AS speed_sd,
        avg(speed_ref) AS speed_ref_avg, stddev_samp(speed_ref) AS speed_ref_sd,
        avg(speed_hist) AS speed_hist_avg, stddev_samp(speed_hist) AS speed_hist_sd,
        stddev_samp(speed) / avg(speed_hist) AS cv, avg(travel_time) AS traveltime_avg,
        stddev_samp(travel_time) AS traveltime_sd, var_samp(travel_time) AS traveltime_var,
-       max(road_closure_num) AS closed FROM probe GROUP BY segment_id"""
+       max(road_closure_num) AS closed FROM dealt GROUP BY segment_id"""
+SEGMENTS = {"link_place": LINK_PLACE, "segment_place": _place_sql("probe", "segment_id"),
+            "dealt": "SELECT p.* REPLACE (s.place AS segment_id) FROM probe p JOIN segment_place s ON s.id = p.segment_id",
+            "speeds": SPEEDS}
 INCOME = "SELECT s_nationkey AS u, avg(s_acctbal) AS median_inc FROM supplier GROUP BY s_nationkey"
-FX = f"""
+FX = """
 SELECT l.*, coalesce(speed_avg, 0) AS speed_avg, coalesce(speed_sd, 0) AS speed_sd,
        coalesce(speed_ref_avg, 0) AS speed_ref_avg, coalesce(speed_hist_avg, 0) AS speed_hist_avg,
        coalesce(cv, 0) AS tt_cv, coalesce(traveltime_avg, 0) AS tt_avg, i.median_inc,
        (l.u * l.v) % 3 AS incidents, (l.u + 2 * l.v) % 4 AS bus_stops,
        (2 * l.u + l.v) % 3 AS intersections
-FROM links l LEFT JOIN speeds ON segment_id = (l.u * 25 + l.v) % {_SEGMENTS}
+FROM links l JOIN link_place k ON k.u = l.u AND k.v = l.v LEFT JOIN speeds ON segment_id = k.place
 JOIN income i ON i.u = l.u"""
 
 
 def fx_sql(text: str, **extra: str) -> str:
-    return with_views(text, "links", "probe", speeds=SPEEDS, income=INCOME, fx=FX, **extra)
+    return with_views(text, "links", "probe", **SEGMENTS, income=INCOME, fx=FX, **extra)
+
+
+def link_places(links):
+    """Links with their place in order of (u, v), and how many there are."""
+    placed = ranked(links.select("u", "v"), [], [C("u"), C("v")], "place").withColumn("place", C("place") - 1)
+    return placed, links.count()
 
 
-def keys_of(spark, sf, feed, key):
-    """One more than the largest key of a feed."""
-    return view(spark, sf, feed).agg(F.max(key)).first()[0] + 1
+def places(spark, sf, feed, key, n):
+    """(key, place): the link that a station or segment of a feed belongs to."""
+    ids = view(spark, sf, feed).select(key).distinct()
+    return ranked(ids, [], [C(key)], "place").select(key, ((C("place") - 1) % n).alias("place"))
 
 
-def segment_of(spark, sf):
-    return ((C("u") * 25 + C("v")) % keys_of(spark, sf, "probe", "segment_id")).cast("bigint")
+def link_stations(spark, sf):
+    placed, n = link_places(network(spark, sf).links)
+    return places(spark, sf, "counts0", "station_id", n).join(placed, "place").select("u", "v", "station_id")
 
 
-def station_links(spark, sf):
-    net, n = network(spark, sf), keys_of(spark, sf, "counts0", "station_id")
-    a = (C("u") * 25 + C("v")) % n
-    b = (C("u") * 25 + C("v") + 17) % n
-    kind = (C("u") + C("v")) % 3
-    none = F.array().cast("array<bigint>")
-    return net.links.withColumn("station_ids", F.when(kind == 0, none).when(kind == 1, F.array(a))
-                                .otherwise(F.array(a, b)))
+def with_segment(links):
+    placed, _ = link_places(links)
+    return links.join(placed.withColumnRenamed("place", "segment_id"), ["u", "v"])
 
 
 def speeds(spark, sf):
-    return agg.variation(agg.segment_statistics(view(spark, sf, "probe")))
+    """Statistics of the probe feed by link."""
+    own = places(spark, sf, "probe", "segment_id", network(spark, sf).links.count())
+    dealt = salted_join(view(spark, sf, "probe"), own, ["segment_id"], "inner")
+    dealt = dealt.withColumn("segment_id", C("place")).drop("place")
+    return agg.variation(agg.segment_statistics(dealt))
 
 
 def fx(spark, sf):
     from .bindings import table
     net = network(spark, sf)
-    links = net.links.withColumn("segment_id", segment_of(spark, sf))
-    out = jn.merge_probe(links, speeds(spark, sf))
+    out = jn.merge_probe(with_segment(net.links), speeds(spark, sf))
     inc = table(spark, sf, "supplier").groupBy(C("s_nationkey").alias("u")).agg(
         F.avg("s_acctbal").alias("median_inc"))
     return jn.attach(out, inc, ["u"]).withColumns({
@@ -97,12 +111,10 @@ def fx(spark, sf):
             ("speed_hist_sd", "speed_hist_sd", 1), ("tt_cv", "cv", 1), ("speed_cv", "cv", 1),
             ("tt_avg", "traveltime_avg", 60), ("tt_sd", "traveltime_sd", 60),
             ("tt_var", "traveltime_var", 3600), ("road_closures", "CAST(closed AS DOUBLE)", 1))])
-    + f" FROM links l LEFT JOIN speeds ON segment_id = (l.u * 25 + l.v) % {_SEGMENTS}",
-    "links", "probe", speeds=SPEEDS))
+    + " FROM links l JOIN link_place k ON k.u = l.u AND k.v = l.v LEFT JOIN speeds ON segment_id = k.place",
+    "links", "probe", **SEGMENTS))
 def j01(spark, sf):
-    links = network(spark, sf).links.withColumn(
-        "segment_id", segment_of(spark, sf))
-    out = jn.merge_probe(links, speeds(spark, sf), "seconds")
+    out = jn.merge_probe(with_segment(network(spark, sf).links), speeds(spark, sf), "seconds")
     return rounded(out.select("u", "v", *jn.PROBE_TO_LINK))
 
 
@@ -123,10 +135,10 @@ def j02(spark, sf):
 SELECT l.u, l.v, {r("avg(c.flow_total) * 0.5", "count")}
 FROM links l LEFT JOIN ls ON ls.u = l.u AND ls.v = l.v
 LEFT JOIN sc c ON c.station_id = ls.station_id GROUP BY l.u, l.v""", "links", "counts",
-    ls=LINK_STATIONS, sc=STATION_COUNTS))
+    **STATIONS, sc=STATION_COUNTS))
 def j03(spark, sf):
     counts = agg.station_counts(view(spark, sf, "counts"))
-    return rounded(jn.link_counts(station_links(spark, sf), counts, factor=0.5))
+    return rounded(jn.link_counts(network(spark, sf).links, counts, factor=0.5, stations=link_stations(spark, sf)))
 
 
 _OWN = "CASE 1 + (u + v) % 8 " + " ".join(f"WHEN {i} THEN flow_total_lane_{i}" for i in range(1, 9)) + " END"
@@ -143,12 +155,12 @@ FROM (SELECT l.u, l.v, avg({_OWN.replace("(u + v)", "(l.u + l.v)")}) AS own, cou
              sum({_TOT}) / nullif(sum({_HAVE}), 0) AS fallback
       FROM links l LEFT JOIN ls ON ls.u = l.u AND ls.v = l.v
       LEFT JOIN sc c ON c.station_id = ls.station_id GROUP BY l.u, l.v)""", "links", "counts",
-    ls=LINK_STATIONS, sc=STATION_COUNTS))
+    **STATIONS, sc=STATION_COUNTS))
 def j04(spark, sf):
     # five of eight lanes report, so some links have no value for their own lane
-    links = station_links(spark, sf).withColumn("lane", 1 + (C("u") + C("v")) % 8)
+    links = network(spark, sf).links.withColumn("lane", 1 + (C("u") + C("v")) % 8)
     counts = agg.station_counts(view(spark, sf, "counts"))
-    return rounded(jn.link_lane_counts(links, counts))
+    return rounded(jn.link_lane_counts(links, counts, stations=link_stations(spark, sf)))
 
 
 @query("J05_attach_features", fx_sql(

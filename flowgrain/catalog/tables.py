@@ -439,11 +439,14 @@ def r07(spark, sf):
     return rounded(_bounded(rs.link_report(links, links.withColumn("x", C("load")))), speed=-1)
 
 
-@query("R08_od_matrix", with_views("SELECT o, " + ", ".join(
-    f"coalesce(sum(CASE WHEN d = {j} THEN q END), 0) AS d{j}" for j in range(25))
-    + " FROM od GROUP BY o", "od"))
+# the columns are the destinations of the table; the long form has a row for each cell
+@query("R08_od_matrix", with_views("""
+SELECT a.o, 'd' || b.d AS destination, coalesce(od.q, 0) AS q
+FROM (SELECT DISTINCT o FROM od) a JOIN (SELECT DISTINCT d FROM od) b ON true
+LEFT JOIN od ON od.o = a.o AND od.d = b.d""", "od"))
 def r08(spark, sf):
-    return rs.od_matrix(network(spark, sf).od, range(25))
+    wide = rs.od_matrix(network(spark, sf).od)
+    return wide.unpivot("o", [c for c in wide.columns if c != "o"], "destination", "q")
 
 
 @query("R10_melt", """

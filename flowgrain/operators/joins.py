@@ -40,28 +40,32 @@ def remap_nodes(edges: DataFrame, nodes: DataFrame, init: str = "init_id",
     return lookup(lookup(edges, a, init, "inner"), b, term, "inner")
 
 
-def _stations(links: DataFrame, on: Sequence[str]) -> DataFrame:
-    return links.select(*on, "lane", F.explode("station_ids").alias("station_id"))
+def _stations(links: DataFrame, on: Sequence[str], stations: DataFrame | None) -> DataFrame:
+    """Links and their stations, from the array ``station_ids`` or a long table (on, station_id)."""
+    if stations is None:
+        return links.select(*on, "lane", F.explode("station_ids").alias("station_id"))
+    return stations.select(*on, "station_id").join(links.select(*on, "lane"), list(on))
 
 
 def link_counts(links: DataFrame, counts: DataFrame, flow: str = "flow_total",
-                factor: float = 1.0, on: Sequence[str] = ("u", "v")) -> DataFrame:
+                factor: float = 1.0, on: Sequence[str] = ("u", "v"), stations: DataFrame | None = None
+                ) -> DataFrame:
     """Mean over the stations of a link; NULL when none reports."""
-    each = salted_join(_stations(links, on), counts.select("station_id", flow), ["station_id"],
+    each = salted_join(_stations(links, on, stations), counts.select("station_id", flow), ["station_id"],
                        "left")
     mean = each.groupBy(*on).agg((F.avg(flow) * F.lit(float(factor))).alias("count"))
     return links.select(*on).join(mean, list(on), "left")
 
 
 def link_lane_counts(links: DataFrame, counts: DataFrame, on: Sequence[str] = ("u", "v"),
-                     lanes: int = 8) -> DataFrame:
+                     lanes: int = 8, stations: DataFrame | None = None) -> DataFrame:
     """Count of the link's own lane; without one, the mean over all lanes with a value.
 
     Adds ``matched`` and ``imputed`` flags.
     """
     cols = [f"flow_total_lane_{i}" for i in range(1, lanes + 1)]
     dim = counts.select("station_id", *cols).withColumn("_seen", F.lit(1))
-    each = salted_join(_stations(links, on), dim, ["station_id"], "left")
+    each = salted_join(_stations(links, on, stations), dim, ["station_id"], "left")
     own = F.element_at(F.array(*cols), F.col("lane").cast("int"))
     total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in cols), F.lit(0.0))
     filled = sum((F.col(c).isNotNull().cast("int") for c in cols), F.lit(0))

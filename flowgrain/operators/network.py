@@ -10,14 +10,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import fits, lookup, ranked, salted_join, scalar_join
+from ..scale import BROADCAST_ROWS, fits, lookup, ranked, salted_join, scalar_join
 from ..session import pin
 from .aggregates import sample_by_demand
 from .filters import LINK
 from .joins import jaccard, new_paths
+from .routes import Routes
 
 C = F.col
 OD = ["o", "d"]
@@ -155,37 +157,85 @@ def _rounds(cutoff: int | None):
 def distances_to(links: DataFrame, targets: DataFrame, weight: str, cutoff: int | None = None
                  ) -> DataFrame:
     """Cheapest cost (node, d, dist) from every node to each target that it can reach, over
-    at most ``cutoff`` links if that is given. Rounds end once nothing gets cheaper."""
+    at most ``cutoff`` links if that is given. Rounds end once nothing gets cheaper.
+
+    A round writes only what got cheaper and looks up only the nodes next to that; the rounds
+    are put together at the end, and in between when there are many.
+    """
     step = links.select(C("u").alias("_u"), C("v").alias("node"),
                         C(weight).cast("double").alias("_w"))
-    step = step.groupBy("_u", "node").agg(F.min("_w").alias("_w"))
+    step = pin(step.groupBy("_u", "node").agg(F.min("_w").alias("_w")))
     small = fits(step)
-    best = pin(targets.select(C("d").alias("node"), "d", F.lit(0.0).alias("dist")).distinct())
-    fresh = best
-    for _ in _rounds(cutoff):
+    fresh = pin(targets.select(C("d").alias("node"), "d", F.lit(0.0).alias("dist")).distinct())
+    known = fresh
+    for n in _rounds(cutoff):
         grown = fresh.join(F.broadcast(step), "node") if small else salted_join(
             fresh, step, ["node"])
-        grown = grown.select(C("_u").alias("node"), "d", (C("dist") + C("_w")).alias("dist"))
-        merged = pin(best.withColumn("_new", F.lit(0)).unionByName(
-            grown.withColumn("_new", F.lit(1))).groupBy("node", "d").agg(
-            F.min("dist").alias("dist"),
-            F.min(F.when(C("_new") == 0, C("dist"))).alias("_old")))
-        fresh = merged.where(C("_old").isNull() | (C("dist") < C("_old"))).drop("_old")
-        best = merged.drop("_old")
-        if fresh.limit(1).count() == 0:
+        grown = grown.groupBy(C("_u").alias("node"), "d").agg(F.min(C("dist") + C("_w")).alias("dist"))
+        old = known.withColumnRenamed("dist", "_old")
+        fresh = pin(grown.join(old.groupBy("node", "d").agg(F.min("_old").alias("_old")), ["node", "d"], "left")
+                    .where(C("_old").isNull() | (C("dist") < C("_old"))).select("node", "d", "dist"))
+        if fresh.isEmpty():
             break
-    return best
+        known = known.unionByName(fresh)
+        if n % 8 == 7:
+            known = pin(known.groupBy("node", "d").agg(F.min("dist").alias("dist")))
+    return pin(known.groupBy("node", "d").agg(F.min("dist").alias("dist")))
+
+
+def _held_routes(links: DataFrame, weight: str, rows: int):
+    """The links as adjacency lists sent to every executor once; None if they do not fit."""
+    step = links.where(C("u") != C("v")).select(
+        C("u").cast("int").alias("u"), C("v").cast("int").alias("v"), C("idx").cast("string").alias("idx"),
+        C(weight).cast("double").alias("w"))
+    if not rows or not fits(step, rows):
+        return None
+    held = [tuple(r) for r in step.collect()]  # at most ``rows``
+    if any(w is None or w < 0 for *_, w in held):
+        raise ValueError("weights must not be negative or missing")
+    return links.sparkSession.sparkContext.broadcast(held)
+
+
+def _spread(ods: DataFrame) -> DataFrame:
+    """ODs over tasks, equal destinations side by side in each."""
+    context = ods.sparkSession.sparkContext
+    return ods.repartition(max(2 * context.defaultParallelism, 8), *OD).sortWithinPartitions("d", "o")
+
+
+def _k_in_tasks(held, ods: DataFrame, k: int) -> DataFrame:
+    def run(batches):
+        routes = Routes(held.value)
+        for batch in batches:
+            rows = []
+            for o, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [(p, o, d, nodes, idx, cost) for p, cost, nodes, idx in routes.cheapest(o, d, k)]
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.float64()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)],
+                ["path_id", *OD, "nodes", "idx", "cost"])
+
+    pairs = _spread(ods.select(C("o").cast("int").alias("o"), C("d").cast("int").alias("d"))
+                    .where("o <> d").distinct())
+    found = pairs.mapInArrow(run, "path_id string, o int, d int, nodes array<int>, idx array<string>, cost double")
+    segs = F.transform("idx", lambda x, i: F.struct(F.get("nodes", i).alias("u"), F.get("nodes", i + 1).alias("v"),
+                                                    x.alias("idx")))
+    return pin(found.select("path_id", *OD, "nodes", segs.alias("segs"), "cost"))
 
 
 def k_shortest(links: DataFrame, ods: DataFrame, k: int, weight: str = "weight",
-               cutoff: int | None = None) -> DataFrame:
+               cutoff: int | None = None, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The k cheapest simple paths of each OD, of at most ``cutoff`` links if that is given.
 
-    Exact: a partial path is dropped only when its cost plus the cheapest way on exceeds
-    the k-th best complete path found so far; for one path the cheapest cost bounds the
-    search from its first link. Ties go to the smaller path id. Weights
-    must not be negative.
+    Ties go to the smaller path id. Weights must not be negative. Links that fit into a
+    broadcast of ``rows`` rows go to every task, which then searches its own ODs: a path that
+    has been found splits what is left into classes with one cheapest path each, so the work
+    grows with k times the length of a path. Larger tables, and searches with a cutoff, grow a
+    frontier by joins: a partial path is dropped when its cost plus the cheapest way on exceeds
+    the k-th best path, which the cheapest paths with one detour bound from the first hop on.
     """
+    held = _held_routes(links, weight, rows) if cutoff is None else None
+    if held is not None:
+        return _k_in_tasks(held, ods, k)
     step = pin(links.where(C("u") != C("v")).select(
         C("u").cast("int").alias("_at"), C("v").cast("int").alias("_to"), C("idx").alias("_idx"),
         C(weight).cast("double").alias("_w")))
@@ -200,8 +250,9 @@ def k_shortest(links: DataFrame, ods: DataFrame, k: int, weight: str = "weight",
                        F.lit(0.0).alias("cost"))
     rank = Window.partitionBy(*OD).orderBy("cost", "path_id")
     found = None
-    if k == 1:
-        front = front.join(ahead, ["_at", "d"]).withColumnRenamed("_ahead", "_least")
+    least = detour_bounds(step, ods, ahead, k) if cutoff is None else None
+    if least is not None:
+        front = salted_join(front, least, OD)
     for _ in _rounds(cutoff):
         grown = (front.join(F.broadcast(step), "_at") if small
                  else salted_join(front, step, ["_at"]))
@@ -209,11 +260,16 @@ def k_shortest(links: DataFrame, ods: DataFrame, k: int, weight: str = "weight",
             *OD, C("_to").alias("_at"), F.concat("nodes", F.array("_to")).alias("nodes"),
             F.concat("segs", F.array(F.struct(C("_at").alias("u"), C("_to").alias("v"),
                                               C("_idx").alias("idx")))).alias("segs"),
-            (C("cost") + C("_w")).alias("cost"), *(["_least"] if k == 1 else []))
+            (C("cost") + C("_w")).alias("cost"), *(["_least"] if least is not None else []))
         grown = (grown.join(F.broadcast(ahead), ["_at", "d"]) if ahead_small
                  else salted_join(grown, ahead, ["_at", "d"]))
+        if least is not None:
+            grown = grown.where(C("_least").isNull() | (C("cost") + C("_ahead") <= C("_least") + 1e-9))
         if k == 1:
-            grown = grown.where(C("cost") + C("_ahead") <= C("_least") + 1e-9)
+            # of the ways to one node, the cheapest, of equals the least as text, is enough
+            text = F.array_join(F.transform("nodes", lambda n: n.cast("string")), "/")
+            one = F.row_number().over(Window.partitionBy(*OD, "_at").orderBy(F.round("cost", 9), text))
+            grown = grown.withColumn("_one", one).where("_one = 1").drop("_one")
         elif found is not None:
             # k rows per OD at most, so the bound is one row per OD
             bound = found.withColumn("_r", F.row_number().over(rank)).where(C("_r") == k).select(
@@ -235,6 +291,40 @@ def k_shortest(links: DataFrame, ods: DataFrame, k: int, weight: str = "weight",
     return found
 
 
+def detour_bounds(step: DataFrame, ods: DataFrame, ahead: DataFrame, k: int) -> DataFrame:
+    """(o, d, _least): a cost that at least k simple paths of the OD do not exceed; null where
+    fewer such paths are known.
+
+    The paths meant follow the cheapest tree of the destination but for one link. Each node of
+    a cheapest path is reached in rounds (one row for each OD); a link that leaves it leads to a
+    path of its own, whose way on is simple if it is cheaper than from the node itself.
+    """
+    # the tree: of the links that begin a cheapest way, the least one
+    way = step.join(ahead.withColumnsRenamed({"_at": "_to", "_ahead": "_on"}), "_to").join(ahead, ["_at", "d"])
+    links = way.select("_at", "_to", "_idx", "_w", "d", "_on", "_ahead", (C("_w") + C("_on")).alias("_via"))
+    links = pin(links)
+    tree = links.where(C("_via") <= C("_ahead") + 1e-9).where(C("_on") < C("_ahead")).groupBy("_at", "d").agg(
+        F.min(F.struct("_to", "_idx", "_w")).alias("_t")).select("_at", "d", "_t.*")
+    at = ods.select(*OD, C("o").cast("int").alias("_at"), F.lit(0.0).alias("_cost"))
+    costs = None
+    while True:
+        # a way on that only gets cheaper never comes back to the nodes before it; links that
+        # begin a cheapest way are left out, so that no path is counted twice
+        other = links.where((C("_on") < C("_ahead")) & (C("_via") > C("_ahead") + 1e-9))
+        leave = at.join(other, ["_at", "d"]).select(*OD, (C("_cost") + C("_via")).alias("_c"))
+        at = pin(at.join(tree, ["_at", "d"]).select(*OD, C("_to").alias("_at"), (C("_cost") + C("_w")).alias("_cost"))
+                 .where(C("_at") != C("d")))
+        costs = leave if costs is None else costs.unionByName(leave)
+        best = F.row_number().over(Window.partitionBy(*OD).orderBy("_c"))
+        costs = pin(costs.withColumn("_r", best).where(C("_r") < max(k, 2)).drop("_r"))
+        if k == 1 or at.isEmpty():
+            break
+    own = ahead.select(C("_at").alias("o"), "d", C("_ahead").alias("_least"))
+    nth = costs.withColumn("_r", F.row_number().over(Window.partitionBy(*OD).orderBy("_c"))).where(C("_r") == k - 1)
+    bound = own if k == 1 else nth.withColumnRenamed("_c", "_least")
+    return pin(ods.join(bound.select(*OD, "_least"), OD, "left"))
+
+
 def k_shortest_retry(links: DataFrame, ods: DataFrame, k: int, weight: str = "weight",
                      cutoff: int = 10, factor: int = 2, attempts: int = 10) -> DataFrame:
     """``k_shortest`` again with a longer cutoff for the ODs still short of k paths."""
@@ -253,22 +343,83 @@ def k_shortest_retry(links: DataFrame, ods: DataFrame, k: int, weight: str = "we
     return found
 
 
+def _load_in_tasks(held, od: DataFrame) -> DataFrame:
+    """Link flows (u, v, idx, x) of the demand ``od``; a row without a link counts lost ODs."""
+    def run(batches):
+        routes = Routes(held.value)
+        flow, lost, target, wanted = [0.0] * len(routes.links), 0, None, {}
+
+        def close() -> int:
+            return 0 if target is None else routes.load(target, wanted, flow)
+        for batch in batches:
+            for o, d, q in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if d != target:
+                    lost += close()
+                    target, wanted = d, {}
+                wanted[o] = wanted.get(o, 0.0) + q
+        lost += close()
+        rows = [(routes.nodes[u], routes.nodes[v], i, x) for (u, v, i, _), x in zip(routes.links, flow, strict=True) if x]
+        rows += [(None, None, None, float(lost))] if lost else []
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4,
+                                            [pa.int32(), pa.int32(), pa.string(), pa.float64()], strict=True)],
+            [*LINK, "x"])
+
+    pairs = _spread(od.select(C("o").cast("int").alias("o"), C("d").cast("int").alias("d"), C("q").cast("double").alias("q")))
+    return pairs.mapInArrow(run, "u int, v int, idx string, x double")
+
+
+def _load_by_rounds(links: DataFrame, od: DataFrame, weight: str) -> DataFrame:
+    """As ``_load_in_tasks`` by joins: one next link for each node and destination, and demand
+    that moves one link a round, added up where it meets."""
+    ahead = distances_to(links, od.select("d"), weight)
+    lost = od.join(ahead.select(C("node").alias("o"), "d"), OD, "left_anti").count()
+    if lost:
+        raise ValueError(f"{lost} OD pairs with demand have no path")
+    step = links.where(C("u") != C("v")).select("u", "v", "idx", C(weight).cast("double").alias("_w"))
+    way = salted_join(step, ahead.select(C("node").alias("v"), "d", C("dist").alias("_on")), ["v"])
+    text = F.concat(C("v").cast("string"), F.lit("/"))
+    # a way on is nearer, or as near and its node the less, so that no flow turns in a circle
+    way = way.join(ahead.select(C("node").alias("u"), "d", C("dist").alias("_own")), ["u", "d"])
+    way = way.where((C("_on") < C("_own")) | ((C("_on") == C("_own")) & (C("v") < C("u"))))
+    tree = pin(way.groupBy("u", "d").agg(F.min(F.struct(
+        F.round(C("_w") + C("_on"), 9).alias("c"), text.alias("t"), "idx", "v")).alias("_b")).select(
+        "u", "d", C("_b.v").alias("v"), C("_b.idx").alias("idx")))
+    at = pin(od.select(C("o").alias("u"), "d", "q"))
+    moved = None
+    while True:
+        on = at.join(tree, ["u", "d"], "left")
+        now = on.groupBy(*LINK).agg(F.sum("q").alias("x"))
+        moved = pin(now if moved is None else moved.unionByName(now).groupBy(*LINK).agg(F.sum("x").alias("x")))
+        at = pin(on.where(C("v").isNotNull() & (C("v") != C("d"))).groupBy(C("v").alias("u"), "d").agg(
+            F.sum("q").alias("q")))
+        if at.isEmpty():
+            return moved
+
+
 def all_or_nothing(links: DataFrame, od: DataFrame, weight: str = "weight",
-                   cutoff: int | None = None) -> tuple[DataFrame, DataFrame]:
+                   cutoff: int | None = None, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """Each OD's demand on its cheapest path: link flows, and the total cost (one row).
 
+    Demand flows down the tree of its destination and no path is listed, so ties cost nothing.
     Demand without a path, or with none of ``cutoff`` links if that is given, is an error.
     """
-    wanted = od.where(C("q") > 0)
-    best = k_shortest(links, wanted, 1, weight, cutoff)
-    loaded = best.join(od.select(*OD, "q"), OD)
-    seg = loaded.select(F.explode("segs").alias("seg"), "q").select("seg.*", "q")
-    flow = seg.groupBy(*LINK).agg(F.sum("q").alias("x"))
-    lost = wanted.join(best.select(*OD), OD, "left_anti").where(C("o") != C("d")).count()
+    wanted = od.where((C("q") > 0) & (C("o") != C("d")))
+    if cutoff is not None:
+        best = k_shortest(links, wanted, 1, weight, cutoff)
+        loaded = wanted.join(best.select(*OD, "segs"), OD, "left")
+        amount = F.when(C("segs").isNull(), 1.0).otherwise(C("q")).alias("q")
+        flow = loaded.select(F.explode_outer("segs").alias("seg"), amount).select("seg.*", "q").groupBy(*LINK).agg(
+            F.sum("q").alias("x"))
+    else:
+        held = _held_routes(links, weight, rows)
+        flow = _load_in_tasks(held, wanted) if held is not None else _load_by_rounds(links, wanted, weight)
+    flow = pin(flow.groupBy(*LINK).agg(F.sum("x").alias("x")))
+    lost = flow.where(C("u").isNull()).first()
     if lost:
-        raise ValueError(f"{lost} OD pairs with demand have no path")
-    flows = links.select(*LINK).join(flow, LINK, "left").na.fill(0.0, ["x"])
-    return flows, loaded.agg(F.sum(C("cost") * C("q")).alias("sptt"))
+        raise ValueError(f"{lost['x']:.0f} OD pairs with demand have no path")
+    flows = links.select(*LINK, C(weight).alias("_w")).join(flow, LINK, "left").na.fill(0.0, ["x"])
+    return flows.drop("_w"), flows.agg(F.sum(C("_w") * C("x")).alias("sptt"))
 
 
 def column_generation(links: DataFrame, paths: DataFrame, od: DataFrame, k: int,

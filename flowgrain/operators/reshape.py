@@ -102,8 +102,11 @@ def link_report(links: DataFrame, flows: DataFrame) -> DataFrame:
         (C("x") - C("count")).alias("error"))
 
 
-def od_matrix(od: DataFrame, destinations: Sequence[int]) -> DataFrame:
-    """Demand with origins as rows and the listed destinations as columns."""
+def od_matrix(od: DataFrame, destinations: Sequence[int] | None = None) -> DataFrame:
+    """Demand with origins as rows and destinations as columns: those listed, or all of the
+    table. A column each is the feature, so their number is that of the zones."""
+    if destinations is None:
+        destinations = sorted(r["d"] for r in od.select("d").where("d is not null").distinct().collect())
     return od.groupBy("o").agg(*[
         F.coalesce(F.sum(F.when(C("d") == j, C("q"))), F.lit(0.0)).alias(f"d{j}")
         for j in destinations])

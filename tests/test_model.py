@@ -1,4 +1,7 @@
+import heapq
 import math
+import random
+import time
 
 import numpy as np
 import pytest
@@ -158,12 +161,13 @@ def test_tails():
 
 
 @pytest.mark.parametrize("k", [1, 2, 5])
-def test_k_shortest_equals_enumeration(spark, k):
+@pytest.mark.parametrize("options", [{"cutoff": 8}, {}, {"rows": 0}])
+def test_k_shortest_equals_enumeration(spark, k, options):
     links, od = networks.yang(spark)
     links = links.withColumn("weight", F.col("tf") + F.col("c"))
     w = {(r["u"], r["v"]): r["weight"] for r in links.collect()}
     got = {}
-    for r in nw.k_shortest(links, od, k, cutoff=8).collect():
+    for r in nw.k_shortest(links, od, k, **options).collect():
         got.setdefault((r["o"], r["d"]), []).append((round(r["cost"], 9), r["path_id"]))
     for e in networks.YANG_Q:
         o, d = int(e[0]), int(e[1])
@@ -237,3 +241,79 @@ def test_demand_far_away_is_loaded_without_a_hop_limit(spark):
     assert total.first()["sptt"] == 5 * far + 2 * near
     with pytest.raises(ValueError, match="1 OD pairs"):
         nw.all_or_nothing(chain, spark.createDataFrame([(24, 0, 1.0)], "o int, d int, q double"))
+
+
+def lattice(spark, n, weight=lambda a, b: 1.0):
+    at = [(i, j) for i in range(n) for j in range(n)]
+    edges = [(i * n + j, x * n + y) for i, j in at for x, y in ((i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1))
+             if 0 <= x < n and 0 <= y < n]
+    rows = [(u, v, "0", weight(u, v)) for u, v in edges]
+    return spark.createDataFrame(rows, "u int, v int, idx string, weight double"), {(u, v): w for u, v, _, w in rows}
+
+
+def yen(w, o, d, k):
+    """k cheapest simple paths by plain search over all of them up to the k-th cost."""
+    near, heap, out = {}, [(0.0, d)], []
+    while heap:
+        c, n = heapq.heappop(heap)
+        if n not in near:
+            near[n] = c
+            for (a, b), x in w.items():
+                if b == n and a not in near:
+                    heapq.heappush(heap, (c + x, a))
+    heap = [(near[o], str(o), [o], 0.0)]
+    while heap and len(out) < k:
+        _, name, path, cost = heapq.heappop(heap)
+        if path[-1] == d:
+            out.append((round(cost, 9), name))
+            continue
+        for (a, b), x in w.items():
+            if a == path[-1] and b not in path and b in near:
+                heapq.heappush(heap, (round(cost + x + near[b], 9), name + "/" + str(b), [*path, b], cost + x))
+    return out
+
+
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_k_shortest_on_a_lattice_with_ties(spark, rows):
+    links, w = lattice(spark, 4)
+    pairs = [(0, 15), (3, 12), (5, 6), (15, 0)]
+    od = spark.createDataFrame([(o, d, 1.0) for o, d in pairs], "o int, d int, q double")
+    got = {}
+    for r in nw.k_shortest(links, od, 6, rows=rows).collect():
+        got.setdefault((r["o"], r["d"]), []).append((r["cost"], r["path_id"]))
+        assert [s.u for s in r["segs"]] == r["nodes"][:-1] and [s.v for s in r["segs"]] == r["nodes"][1:]
+    assert {p: sorted(x) for p, x in got.items()} == {(o, d): yen(w, o, d, 6) for o, d in pairs}
+
+
+def test_large_lattice_is_searched_fast(spark):
+    links, w = lattice(spark, 30, lambda a, b: 1.0 + (a * 7 + b * 13) % 5)
+    flat, _ = lattice(spark, 30)
+    r = random.Random(5)
+    pairs = {(r.randrange(900), r.randrange(900)) for _ in range(100)} | {(0, 899)}
+    od = spark.createDataFrame([(o, d, 1.0 + o % 3) for o, d in pairs if o != d], "o int, d int, q double")
+    begin = time.time()
+    got = nw.k_shortest(links, od, 3).collect()
+    assert len(got) == 3 * od.count()
+    assert nw.k_shortest(flat, od, 3).count() == 3 * od.count()
+    assert time.time() - begin < 60
+    for r in got:
+        assert len(set(r["nodes"])) == len(r["nodes"])
+        assert r["cost"] == sum(w[a, b] for a, b in zip(r["nodes"], r["nodes"][1:]))
+    best = {p: yen(w, *p, 3) for p in sorted((r["o"], r["d"]) for r in got)[:1]}
+    for p, want in best.items():
+        assert sorted((r["cost"], r["path_id"]) for r in got if (r["o"], r["d"]) == p) == want
+    flows, total = nw.all_or_nothing(flat, od)
+    apart = sum((1.0 + o % 3) * (abs(o // 30 - d // 30) + abs(o % 30 - d % 30)) for o, d in pairs if o != d)
+    assert total.first()["sptt"] == pytest.approx(apart)
+
+
+def test_loading_in_tasks_and_by_rounds_agree(spark):
+    links, w = lattice(spark, 5, lambda a, b: 1.0 + (a * 3 + b) % 3)
+    od = spark.createDataFrame([(o, d, 1.0 + o) for o in range(0, 25, 3) for d in range(1, 25, 4) if o != d],
+                               "o int, d int, q double")
+    a, b = (nw.all_or_nothing(links, od, rows=rows) for rows in (200_000, 0))
+    one, two = ({(r["u"], r["v"]): r["x"] for r in x[0].collect()} for x in (a, b))
+    assert one == two and a[1].first()["sptt"] == pytest.approx(b[1].first()["sptt"])
+    assert a[1].first()["sptt"] == pytest.approx(sum((1.0 + o) * yen(w, o, d, 1)[0][0] for o, d, _ in od.collect()))
+    with pytest.raises(ValueError, match="1 OD pairs"):
+        nw.all_or_nothing(links.where("v <> 24"), spark.createDataFrame([(0, 24, 1.0)], "o int, d int, q double"), rows=0)
