@@ -45,14 +45,14 @@ WHERE p.o <> p.d GROUP BY p.o, p.d"""
     double = "SELECT o, d, min(c) AS c FROM (SELECT * FROM {0} UNION ALL SELECT x.o, y.d, x.c + y.c FROM {0} x JOIN {0} y ON x.d = y.o WHERE x.o <> y.d) GROUP BY o, d"
     grown = """
 SELECT * FROM (WITH RECURSIVE g AS (
-  SELECT p.o, p.d, most, p.o AS at, CAST(p.o AS VARCHAR) AS path_id, [p.o] AS seen, 0::DOUBLE AS cost
+  SELECT p.o, p.d, most, p.o AS here, CAST(p.o AS VARCHAR) AS path_id, [p.o] AS seen, 0::DOUBLE AS cost
   FROM %s p LEFT JOIN bound b ON b.o = p.o AND b.d = p.d WHERE p.o <> p.d
   UNION ALL
   SELECT g.o, g.d, most, l.v, path_id || '/' || l.v, list_append(seen, l.v), cost + l.w
-  FROM g JOIN wl l ON l.u = g.at AND g.at <> g.d AND NOT list_contains(seen, l.v)
+  FROM g JOIN wl l ON l.u = g.here AND g.here <> g.d AND NOT list_contains(seen, l.v)
   LEFT JOIN m32 h ON h.o = l.v AND h.d = g.d
   WHERE l.v = g.d OR cost + l.w + h.c <= coalesce(most, 1e300))
-SELECT o, d, path_id, cost FROM g WHERE at = d AND cost <= coalesce(most, 1e300))""" % ods
+SELECT o, d, path_id, cost FROM g WHERE here = d AND cost <= coalesce(most, 1e300))""" % ods
     return {"wl": f"SELECT u, v, {weight} AS w FROM links WHERE u <> v", "short": short, "bound": limit, "m1": first,
             **{f"m{2 * n}": double.format(f"m{n}") for n in (1, 2, 4, 8, 16)}, "walks": grown}
 
