@@ -24,7 +24,7 @@ FROM (SELECT u, v, {_W} AS w FROM links WHERE u <> v) a JOIN (SELECT u, v, {_W}
   ON a.v = b.u AND a.u <> b.v"""
 ALL2 = f"SELECT * FROM ({L1} UNION ALL {L2})"
 RANKED = """
-SELECT p.*, row_number() OVER (PARTITION BY p.o, p.d ORDER BY p.cost, p.path_id) AS rk
+SELECT p.*, row_number() OVER (PARTITION BY p.o, p.d ORDER BY round(p.cost, 9), p.path_id) AS rk
 FROM walks p JOIN od ON od.o = p.o AND od.d = p.d"""
 
 
@@ -51,8 +51,8 @@ SELECT * FROM (WITH RECURSIVE g AS (
   SELECT g.o, g.d, most, l.v, path_id || '/' || l.v, list_append(seen, l.v), cost + l.w
   FROM g JOIN wl l ON l.u = g.here AND g.here <> g.d AND NOT list_contains(seen, l.v)
   LEFT JOIN m32 h ON h.o = l.v AND h.d = g.d
-  WHERE l.v = g.d OR cost + l.w + h.c <= coalesce(most, 1e300))
-SELECT o, d, path_id, cost FROM g WHERE here = d AND cost <= coalesce(most, 1e300))""" % ods
+  WHERE l.v = g.d OR cost + l.w + h.c <= coalesce(most, 1e300) + 1e-9)
+SELECT o, d, path_id, cost FROM g WHERE here = d AND cost <= coalesce(most, 1e300) + 1e-9)""" % ods
     return {"wl": f"SELECT u, v, {weight} AS w FROM links WHERE u <> v", "short": short, "bound": limit, "m1": first,
             **{f"m{2 * n}": double.format(f"m{n}") for n in (1, 2, 4, 8, 16)}, "walks": grown}
 

@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from ..plans import choice as ch
 from ..plans import estimation as es
+from ..plans import learning as ln
+from ..plans import searches as sr
+from ..plans.generation import Generation
 from ..session import pin
 from .bindings import network, table, with_views
 from .common import r, rounded
-from .graph import _PS
+from .graph import _MADE, _PS, _SAMPLE, _cheap_walks
 from .registry import query
 
 C = F.col
@@ -235,6 +238,47 @@ def c10(spark, sf):
     return rounded(eq.links.select("u", "v", "x", "tt"), 4)
 
 
+_KEEP = 6
+_FREE = {"tt": -1.0, "c": -1.0}
+_GROWN = {
+    "picked": _SAMPLE, **_cheap_walks(2, "picked", "tf + c"), "made": _MADE,
+    "pool": """
+SELECT path_id, o, d, 0 AS added FROM path_trips UNION ALL SELECT path_id, o, d, 1 FROM made m
+WHERE rk <= 2 AND NOT EXISTS (SELECT 1 FROM path_trips p WHERE p.path_id = m.path_id)""",
+    "pool_hop": """
+SELECT path_id, o, d, CAST(parts[i] AS INTEGER) AS u, CAST(parts[i + 1] AS INTEGER) AS v
+FROM (SELECT path_id, o, d, parts, unnest(range(1, len(parts))) AS i
+      FROM (SELECT *, string_split(path_id, '/') AS parts FROM pool))""",
+    "pool_sum": """
+SELECT p.path_id, p.o, p.d, sum(l.tf) AS tt, sum(l.c) AS c FROM pool_hop p JOIN links l ON l.u = p.u AND l.v = p.v GROUP BY ALL""",
+    "pool_p": f"SELECT path_id, o, d, tt, c, p FROM ({prob(util(_FREE), 'pool_sum')})",
+    "stay": f"""
+SELECT path_id, o, d, tt, c FROM (SELECT *, row_number() OVER (PARTITION BY o, d ORDER BY round(p, 12) DESC, path_id) AS rk FROM pool_p)
+WHERE rk <= {_KEEP}""",
+    "stay_f": prob(util(_FREE), "stay"),
+    "stay_x": "SELECT h.u, h.v, sum(z.f) AS x FROM stay_f z JOIN pool_hop h ON h.path_id = z.path_id GROUP BY h.u, h.v"}
+
+
+@query("C10_column_generation", with_views(
+    f"SELECT l.u, l.v, {r('coalesce(x, 0)', 'x')} FROM links l LEFT JOIN stay_x h ON h.u = l.u AND h.v = l.v",
+    "links", "od", "path_trips", **_GROWN))
+def c10_generation(spark, sf):
+    net = _net(spark, sf)
+    eq = ch.equilibrium(net.paths, net.links, net.od, _FREE, uncongested=True, generation=Generation(2, 0.3, keep=_KEEP))
+    return rounded(eq.links.select("u", "v", "x"))
+
+
+@query("C10_generation_counts", with_views("""
+SELECT (SELECT count(*) FROM made WHERE rk <= 2) AS n_generated, (SELECT sum(added) FROM pool) AS n_added,
+       (SELECT count(*) FROM pool) - (SELECT count(*) FROM stay) AS n_removed""", "links", "od", "path_trips", **_GROWN))
+def c10_counts(spark, sf):
+    net = _net(spark, sf)
+    eq = ch.equilibrium(net.paths, net.links, net.od, _FREE, uncongested=True, generation=Generation(2, 0.3, keep=_KEEP))
+    row = eq.log[0]
+    return spark.createDataFrame([tuple(row[k] for k in ("n_generated", "n_added", "n_removed"))],
+                                 "n_generated long, n_added long, n_removed long")
+
+
 @query("C10_equilibrium_fw")
 def c10_fw(spark, sf):
     net = _net(spark, sf)
@@ -404,12 +448,61 @@ def v02(spark, sf):
     return rounded(_theta_rows(spark, [("own", k, t) for k, t in steps[0].items()]), 7)
 
 
-@query("E07_damped_step")
+def _solved(damping: str) -> dict[str, str]:
+    """SQL of the solution x of (J'J + damping * diag J'J) x = J'r and of the diagonal of the
+    inverse, for three weights, by cofactors of ``ns``."""
+    def cell(a: str, b: str) -> str:
+        i, j = sorted((NAMES.index(a), NAMES.index(b)))
+        name = f"jj_{NAMES[i]}_{NAMES[j]}"
+        return f"({name} * (1 + {damping}))" if a == b else name
+    a, b, c = NAMES
+    minor = {(a, a): f"({cell(b, b)} * {cell(c, c)} - {cell(b, c)} * {cell(b, c)})",
+             (a, b): f"({cell(a, c)} * {cell(b, c)} - {cell(a, b)} * {cell(c, c)})",
+             (a, c): f"({cell(a, b)} * {cell(b, c)} - {cell(a, c)} * {cell(b, b)})",
+             (b, b): f"({cell(a, a)} * {cell(c, c)} - {cell(a, c)} * {cell(a, c)})",
+             (b, c): f"({cell(a, b)} * {cell(a, c)} - {cell(a, a)} * {cell(b, c)})",
+             (c, c): f"({cell(a, a)} * {cell(b, b)} - {cell(a, b)} * {cell(a, b)})"}
+    det = f"({cell(a, a)} * {minor[a, a]} + {cell(a, b)} * {minor[a, b]} + {cell(a, c)} * {minor[a, c]})"
+    at = lambda x, y: minor[min(x, y, key=NAMES.index), max(x, y, key=NAMES.index)]
+    return {**{f"x_{k}": "(" + " + ".join(f"{at(k, o)} * jr_{o}" for o in NAMES) + f") / {det}" for k in NAMES},
+            **{f"inv_{k}": f"{at(k, k)} / {det}" for k in NAMES}}
+
+
+_RAW_NS = ", ".join(["count(count) AS n", f"sum({_E} * {_E}) AS sse"]
+                    + [f"sum(j_{a} * {_E}) AS jr_{a}" for a in NAMES]
+                    + [f"sum(j_{a} * j_{b}) AS jj_{a}_{b}" for i, a in enumerate(NAMES) for b in NAMES[i:]])
+_NORMAL = {**RS, "ns": f"SELECT {_RAW_NS} FROM rs WHERE count IS NOT NULL"}
+_AT_ROW = " + ".join(f"th_{k} * {k}" for k in NAMES)
+
+
+def _moved(name: str, theta: dict[str, str]) -> dict[str, str]:
+    """Parts: weights by SQL text, then the loss at them."""
+    return {f"th{name}": "SELECT " + ", ".join(f"{t} AS th_{k}" for k, t in theta.items()) + " FROM ns",
+            f"pf{name}": prob(_AT_ROW, f"(SELECT s.*, w.* FROM sums s, th{name} w)"),
+            f"xf{name}": spread(f"pf{name}", {"x": "f"}),
+            f"ls{name}": f"SELECT sum({_E} * {_E}) AS sse FROM xf{name} WHERE count IS NOT NULL"}
+
+
+_TRIES = [1e-2, 5e-3, 3e-2]
+_LM = dict(_NORMAL)
+for _i, _lam in enumerate(_TRIES):
+    _x = _solved(f"{_lam!r}::DOUBLE")
+    _LM |= _moved(str(_i), {k: f"{THETA[k]!r}::DOUBLE - {_x[f'x_{k}']}" for k in NAMES})
+_LM["tried"] = " UNION ALL ".join(
+    f"SELECT {i} AS i, {lam!r}::DOUBLE AS damping, l.sse, w.* FROM ls{i} l, th{i} w" for i, lam in enumerate(_TRIES))
+_LM["top"] = "SELECT * FROM tried ORDER BY sse, i LIMIT 1"
+
+
+@query("E07_damped_step", sql(" UNION ALL ".join(
+    f"SELECT '{k}' AS parameter, {r(f'CASE WHEN t.sse < n.sse THEN th_{k} ELSE {THETA[k]!r}::DOUBLE END', 'est', 5)}, "
+    f"CASE WHEN t.sse < n.sse THEN damping ELSE 0.03::DOUBLE END AS damping, {r('least(t.sse, n.sse)', 'sse', 1)} "
+    f"FROM top t, ns n" for k in NAMES), _LM))
 def e07(spark, sf):
     net = _net(spark, sf)
     theta, lam, sse = es.damped_step(net.paths, net.links, net.od, THETA)
-    return spark.createDataFrame([(k, t, lam, sse) for k, t in theta.items()],
-                                 "parameter string, est double, damping double, sse double")
+    out = spark.createDataFrame([(k, t, lam, sse) for k, t in theta.items()],
+                                "parameter string, est double, damping double, sse double")
+    return rounded(out, 5, damping=-1, sse=1)
 
 
 _SIGNED = """
@@ -500,6 +593,47 @@ def e12(spark, sf):
     return rounded(es.f_test(full, none, 3), 2, F=4)
 
 
+_STEP2 = {**_NORMAL, **_moved("1", {k: f"{THETA[k]!r}::DOUBLE - 1e-9::DOUBLE * 2 * jr_{k}" for k in NAMES})}
+
+
+@query("E09_two_iterations", sql(
+    f"SELECT 1 AS iter, {r('sse', 'objective', 1)}, " + ", ".join(f"{THETA[k]!r}::DOUBLE AS theta_{k}" for k in NAMES)
+    + f" FROM ns UNION ALL SELECT 2, {r('l.sse', 'objective', 1)}, " + ", ".join(r(f"th_{k}", f"theta_{k}", 7) for k in NAMES)
+    + " FROM ls1 l, th1", _STEP2))
+def e09_steps(spark, sf):
+    net = _net(spark, sf)
+    done = ln.learn(net.paths, net.links, net.od, THETA, [ln.Stage("first", 2, "gd", 1e-9)])
+    theta = F.from_json("theta", "map<string,double>")
+    rows = ln.iterations(spark, done.folder).select("iter", "objective", *[theta[k].alias(f"theta_{k}") for k in NAMES])
+    return rounded(rows, 7, objective=1)
+
+
+_INV = _solved("0")
+
+
+@query("E13_t_values", sql(" UNION ALL ".join(
+    f"SELECT '{k}' AS parameter, {THETA[k]!r}::DOUBLE AS est, "
+    + r(f"{THETA[k]!r}::DOUBLE / sqrt({_INV[f'inv_{k}']} * sse / (n - 3))", "t_test", 4) + " FROM ns" for k in NAMES), _NORMAL))
+def e13_t(spark, sf):
+    net = _net(spark, sf)
+    _, tests, _ = es.infer(net.paths, net.links, net.od, THETA, iters=1)
+    return rounded(tests.select("parameter", "est", "t_test"), 4, est=-1)
+
+
+_P11 = """
+SELECT u, v FROM (SELECT a.u, a.v, (b.x - b.count) - (a.x - a.count) AS moved FROM xf a JOIN xf1 b ON a.u = b.u AND a.v = b.v
+  WHERE a.count IS NOT NULL) WHERE NOT abs(moved) <= 1e-6"""
+
+
+@query("P11_informative_of_iterations", sql(_P11.replace("FROM xf a", "FROM rs a"), _STEP2))
+def p11_iterations(spark, sf):
+    from ..operators.filters import informative_links
+    net = _net(spark, sf)
+    done = ln.learn(net.paths, net.links, net.od, THETA, [ln.Stage("first", 2, "gd", 1e-9)])
+    log = ln.link_log(spark, done.folder).where(C("count").isNotNull())
+    return informative_links(log, ["u", "v"], 1e-6).select("u", "v")
+
+
 @query("E13_inference")
 def e13(spark, sf):
     net = _net(spark, sf)
@@ -548,6 +682,62 @@ def e15(spark, sf):
     return rounded(es.grid_t_values(scan), 4, theta=-1)
 
 
+_POINTS = [({**THETA, "tt": t}, s) for t, s in ((-0.3, 1.0), (-0.15, 1.0), (-0.05, 0.9), (-0.15, 1.2), (-0.1, 1.0))]
+
+
+def _normal_at(grid) -> dict[str, str]:
+    """``rs`` and ``ns`` for each candidate of weights and demand scale."""
+    parts = dict(PV)
+    for i, (theta, scale) in enumerate(grid):
+        parts[f"pf{i}"] = f"SELECT * REPLACE (f * {scale!r}::DOUBLE AS f) FROM ({prob(util(theta), 'sums')})"
+        parts[f"mean{i}"] = "SELECT o, d, " + ", ".join(f"sum(p * {k}) AS m_{k}" for k in NAMES) + f" FROM pf{i} GROUP BY o, d"
+        parts[f"dv{i}"] = (f"SELECT p.path_id, p.f, " + ", ".join(f"p.f * (p.{k} - m.m_{k}) AS j_{k}" for k in NAMES)
+                           + f" FROM pf{i} p JOIN mean{i} m ON m.o = p.o AND m.d = p.d")
+        parts[f"rs{i}"] = spread(f"dv{i}", {"x": "f", **{f"j_{k}": f"j_{k}" for k in NAMES}})
+        parts[f"ns{i}"] = f"SELECT {_RAW_NS} FROM rs{i} WHERE count IS NOT NULL"
+    return parts
+
+
+@query("E15_t_values_of_all", sql(" UNION ALL ".join(
+    f"SELECT {i} AS candidate, {s!r}::DOUBLE AS scale, '{k}' AS parameter, {t[k]!r}::DOUBLE AS theta, "
+    + r(f"{t[k]!r}::DOUBLE / sqrt({_INV[f'inv_{k}']} * sse / (n - 3))", "t_test", 4) + f" FROM ns{i}"
+    for i, (t, s) in enumerate(_POINTS) for k in NAMES), _normal_at(_POINTS)))
+def e15_all(spark, sf):
+    net = _net(spark, sf)
+    out = sr.t_grid(net.paths, net.links, net.od, _POINTS)
+    return rounded(out.select("candidate", "scale", "parameter", "theta", "t_test"), 4, theta=-1, scale=-1)
+
+
+_CONGESTED = [({**THETA, "tt": t}, s) for t in (-0.3, -0.15) for s in (1.0, 1.1)]
+
+
+def _congested_parts(grid, iters: int) -> dict[str, str]:
+    """The unrolled iterations of ``_msa_parts`` for each candidate."""
+    parts = dict(PV)
+    for i, (theta, scale) in enumerate(grid):
+        flow = lambda source: f"SELECT path_id, o, d, c, s, f * {scale!r}::DOUBLE AS f FROM ({prob(util(theta), source)})"  # noqa: B023, E731
+        parts[f"f{i}_0"] = flow("sums").replace("SELECT path_id", "SELECT path_id", 1)
+        for n in range(1, iters + 1):
+            parts[f"x{i}_{n}"] = spread(f"f{i}_{n - 1}", {"x": "f"})
+            parts[f"t{i}_{n}"] = f"""
+SELECT k.path_id, sum(x.tf * (1 + x.alpha * pow(x.x / x.k, x.beta))) AS tt
+FROM link_path k JOIN x{i}_{n} x ON x.u = k.u AND x.v = k.v GROUP BY k.path_id"""
+            parts[f"s{i}_{n}"] = (f"SELECT f.path_id, f.o, f.d, t.tt, f.c, f.s, f.f AS prev FROM f{i}_{n - 1} f JOIN t{i}_{n} t USING (path_id)")
+            parts[f"f{i}_{n}"] = (f"SELECT path_id, o, d, c, s, prev + (f * {scale!r}::DOUBLE - prev) / {n + 1} AS f "
+                                  f"FROM ({prob(util(theta), f's{i}_{n}')})")
+        parts[f"xf{i}"] = spread(f"f{i}_{iters}", {"x": "f"})
+    return parts
+
+
+@query("E16_congested_search", sql(" UNION ALL ".join(
+    f"SELECT {i} AS candidate, {s!r}::DOUBLE AS scale, count(*) AS n, {r('sum(pow(x - count, 2))', 'sse', 1)} "
+    f"FROM xf{i} WHERE count IS NOT NULL" for i, (_, s) in enumerate(_CONGESTED)), _congested_parts(_CONGESTED, 2)))
+def e16_congested(spark, sf):
+    net = _net(spark, sf)
+    out = sr.equilibria(net.paths, net.links, net.od, _CONGESTED, iters=2, accuracy=0.0)
+    return rounded(out.select("candidate", "scale", "n", "sse"), 1, scale=-1)
+
+
 @query("T06_best_grid_point", sql(
     "SELECT theta, sse FROM (" + " UNION ALL ".join(
         f"SELECT {i} AS candidate, {t!r}::DOUBLE AS theta, {r(f'sum({_E} * {_E})', 'sse', 2)} "
@@ -624,12 +814,22 @@ def e18(spark, sf):
     return rounded(es.lasso_path(net.paths, net.links, net.od, THETA, _LASSO), 2)
 
 
-@query("E19_scale_stage")
+# two steps of 0.1 from 1 pass 1, and 0.9 or 1.1
+_MULTIPLIERS = [0.9, 1.0, 1.1]
+_SLOPES = _normal_at([({k: m * t for k, t in THETA.items()}, 1.0) for m in _MULTIPLIERS])
+_SIGN = {m: "sign(" + " + ".join(f"{THETA[k]!r}::DOUBLE * g{i}.jr_{k}" for k in NAMES) + ")"
+         for i, m in enumerate(_MULTIPLIERS)}
+_ONE = f"(1 - 0.1::DOUBLE * {_SIGN[1.0]})"
+
+
+@query("E19_scale_stage", sql(
+    f"SELECT 1 AS iter, {r(_ONE, 'multiplier')} FROM ns1 g1 UNION ALL SELECT 2, "
+    + r(f"{_ONE} - 0.1::DOUBLE * CASE WHEN {_ONE} < 1 THEN {_SIGN[0.9]} ELSE {_SIGN[1.1]} END", "multiplier")
+    + " FROM ns0 g0, ns1 g1, ns2 g2", _SLOPES))
 def e19(spark, sf):
     net = _net(spark, sf)
-    _, trail = es.scale_stage(net.paths, net.links, net.od, THETA, 3)
-    return spark.createDataFrame([(i + 1, float(m)) for i, m in enumerate(trail)],
-                                 "iter int, multiplier double")
+    _, trail = es.scale_stage(net.paths, net.links, net.od, THETA, 2)
+    return rounded(spark.createDataFrame([(i + 1, float(m)) for i, m in enumerate(trail)], "iter int, multiplier double"))
 
 
 @query("E21_initial_values", with_views(f"""

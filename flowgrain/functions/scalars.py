@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +45,36 @@ def bpr_integral(x: Col, tf: Col = "tf", k: Col = "k", alpha: Col = "alpha",
     return _c(tf) * (head + _c(alpha) / (_c(beta) + F.lit(1.0)) * power)
 
 
-def performance(fn: Callable[..., Column] | None = None) -> Callable[..., Column]:
-    """Slot for the link travel-time function: any callable from flow column to column."""
-    return fn or bpr_time
+def quadrature(fn: Callable[[Col], Column], nodes: int = 12) -> Callable[[Col], Column]:
+    """Integral of ``fn`` from 0 to its argument as a Gauss sum, exact for polynomials of degree
+    below twice the number of nodes."""
+    places, weights = np.polynomial.legendre.leggauss(nodes)
+
+    def integral(x: Col) -> Column:
+        half = _c(x) / F.lit(2.0)
+        terms = [F.lit(float(w)) * fn(half * F.lit(1.0 + float(p))) for p, w in zip(places, weights, strict=True)]
+        return half * sum(terms[1:], terms[0])
+    return integral
+
+
+@dataclass(frozen=True)
+class Performance:
+    """Travel time of a link as a function of its flow, and the integral of it from 0."""
+
+    time: Callable[[Col], Column]
+    integral: Callable[[Col], Column]
+
+    def __call__(self, x: Col) -> Column:
+        return self.time(x)
+
+
+def performance(fn: Callable[[Col], Column] | Performance | None = None,
+                integral: Callable[[Col], Column] | None = None) -> Performance:
+    """Slot for the link travel-time function: any callable from flow column to column. The
+    integral may be given in closed form; otherwise it is a Gauss sum."""
+    if isinstance(fn, Performance):
+        return fn
+    return Performance(fn, integral or quadrature(fn)) if fn else Performance(bpr_time, bpr_integral)
 
 
 def entropy(f: Col) -> Column:

@@ -13,12 +13,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import (almost_zero, bpr_integral, bpr_time, entropy, linear_utility,
-                                 performance)
+from ..functions.scalars import almost_zero, entropy, linear_utility, performance
 from ..operators.filters import LINK
 from ..operators.network import OD, path_size_factors
 from ..scale import lookup, salted_join
 from ..session import bucketed, pin
+from .generation import Generation, PathSet
 
 C = F.col
 
@@ -102,7 +102,7 @@ def choice_moments(paths: DataFrame, outs: Mapping[str, str], features: Sequence
     utility, where no exponential can overflow, and the few bands of an OD are combined.
     For several, the maxima are found first.
     """
-    moments = [(k, 1) for k in features] + ([(k, 2) for k in features] if second else [])
+    moments = [(k, 1) for k in features]
 
     def weighted(e: Column, tag: str) -> list[Column]:
         return [F.sum(e).alias(f"_e_{tag}"),
@@ -132,10 +132,14 @@ def choice_moments(paths: DataFrame, outs: Mapping[str, str], features: Sequence
         for k in features:
             mean = C(f"_m1_{t}_{k}") / C(f"_e_{t}")
             cols.append(mean.alias(f"mean_{t}_{k}"))
-            if second:
-                cols.append(F.greatest(C(f"_m2_{t}_{k}") / C(f"_e_{t}") - mean * mean,
-                                       F.lit(0.0)).alias(f"var_{t}_{k}"))
-    return dim.select(*OD, *cols)
+    out = dim.select(*OD, *cols)
+    if not second:
+        return out
+    # squares are taken around the means that are known now, so large means cost no digits
+    away = od_join(paths, out)
+    spread = [F.sum(F.exp(C(v) - C(f"lse_{t}")) * F.pow(C(k) - C(f"mean_{t}_{k}"), 2)).alias(f"var_{t}_{k}")
+              for t, v in outs.items() for k in features]
+    return out.join(away.groupBy(*OD).agg(*spread), OD)
 
 
 def probabilities(paths: DataFrame, outs: Mapping[str, str], od: DataFrame | None = None,
@@ -155,7 +159,7 @@ def probabilities(paths: DataFrame, outs: Mapping[str, str], od: DataFrame | Non
 def choice(paths: DataFrame, links: DataFrame, theta: Mapping[str, float],
            path_size: float = 0.0) -> DataFrame:
     """Feature sums, utility v and probability p of each path."""
-    return probabilities(path_utility(paths, links, theta, path_size), {"p": "v"})
+    return probabilities(pin(path_utility(paths, links, theta, path_size)), {"p": "v"})
 
 
 def path_flows(paths: DataFrame, od: DataFrame, v: str = "v") -> DataFrame:
@@ -185,8 +189,9 @@ def link_flows(paths: DataFrame, links: DataFrame, values: DataFrame | None = No
 
 def predict(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Mapping[str, float],
             path_size: float = 0.0) -> DataFrame:
-    """Link flows at fixed link features."""
-    flows = path_flows(path_utility(paths, links, theta, path_size), od)
+    """Link flows at fixed link features. Utilities are written once: the log-sums and the
+    probabilities both read them."""
+    flows = path_flows(pin(path_utility(paths, links, theta, path_size)), od)
     return link_flows(paths, links, flows)
 
 
@@ -200,12 +205,13 @@ def equal_choice(paths: DataFrame, links: DataFrame, od: DataFrame) -> DataFrame
 # equilibrium ---------------------------------------------------------------------------
 
 def fisk_objective(paths: DataFrame, links: DataFrame, flows: DataFrame,
-                   theta: Mapping[str, float], flow: str = "f") -> DataFrame:
+                   theta: Mapping[str, float], flow: str = "f", time_fn=None) -> DataFrame:
     """One row: travel-time integral, exogenous utility, entropy and their total."""
+    time_fn = performance(time_fn)
     loaded = link_flows(paths, links, flows, flow)
     z = {k: w for k, w in theta.items() if k != "tt"}
     on_links = loaded.agg(
-        (F.lit(float(theta["tt"])) * F.sum(bpr_integral("x"))).alias("time_part"),
+        (F.lit(float(theta["tt"])) * F.sum(time_fn.integral("x"))).alias("time_part"),
         F.sum(linear_utility(z) * C("x")).alias("exogenous_part")).withColumn("_one", F.lit(1))
     on_paths = flows.agg(F.sum(entropy(flow)).alias("entropy")).withColumn("_one", F.lit(1))
     return on_links.join(on_paths, "_one").select(
@@ -218,18 +224,18 @@ def _blend(lam: float, a: str = "f1", b: str = "f2") -> Column:
 
 
 def fisk_slopes(paths: DataFrame, links: DataFrame, flows: DataFrame,
-                theta: Mapping[str, float], lambdas: Sequence[float]) -> DataFrame:
+                theta: Mapping[str, float], lambdas: Sequence[float], time_fn=None) -> DataFrame:
     """Derivative of the objective along f1 -> f2 at each step size, one row per step."""
-    return _along(step_ends(paths, links, flows), flows, theta, lambdas, slope=True)
+    return _along(step_ends(paths, links, flows), flows, theta, lambdas, True, time_fn)
 
 
 def fisk_scan(paths: DataFrame, links: DataFrame, flows: DataFrame,
-              theta: Mapping[str, float], lambdas: Sequence[float]) -> DataFrame:
+              theta: Mapping[str, float], lambdas: Sequence[float], time_fn=None) -> DataFrame:
     """Objective along f1 -> f2 at each step size, one row per step, in one job.
 
     Link flows are linear in the step, so the paths are exploded once for all steps.
     """
-    return _along(step_ends(paths, links, flows), flows, theta, lambdas, slope=False)
+    return _along(step_ends(paths, links, flows), flows, theta, lambdas, False, time_fn)
 
 
 def step_ends(paths: DataFrame, links: DataFrame, flows: DataFrame) -> DataFrame:
@@ -239,18 +245,19 @@ def step_ends(paths: DataFrame, links: DataFrame, flows: DataFrame) -> DataFrame
 
 
 def _along(loaded: DataFrame, flows: DataFrame, theta: Mapping[str, float],
-           lambdas: Sequence[float], slope: bool) -> DataFrame:
+           lambdas: Sequence[float], slope: bool, time_fn=None) -> DataFrame:
+    time_fn = performance(time_fn)
     z = linear_utility({k: w for k, w in theta.items() if k != "tt"})
     tt = F.lit(float(theta["tt"]))
     link_aggs, path_aggs = [], []
     for i, lam in enumerate(lambdas):
         x = _blend(lam)
         if slope:
-            link_aggs.append(F.sum((tt * bpr_time(x) + z) * (C("f2") - C("f1"))).alias(f"a{i}"))
+            link_aggs.append(F.sum((tt * time_fn(x) + z) * (C("f2") - C("f1"))).alias(f"a{i}"))
             d = almost_zero(C("f2") - C("f1"), 1e-12)
             path_aggs.append(F.sum(d * (F.log(x + 1e-12) + 1)).alias(f"b{i}"))
         else:
-            link_aggs.append(F.sum(tt * bpr_integral(x) + z * x).alias(f"a{i}"))
+            link_aggs.append(F.sum(tt * time_fn.integral(x) + z * x).alias(f"a{i}"))
             path_aggs.append(F.sum(entropy(x)).alias(f"b{i}"))
     one = F.lit(1)
     both = loaded.agg(*link_aggs).withColumn("_one", one).join(
@@ -263,7 +270,7 @@ def _along(loaded: DataFrame, flows: DataFrame, theta: Mapping[str, float],
 
 
 def line_search(paths: DataFrame, links: DataFrame, flows: DataFrame,
-                theta: Mapping[str, float], points: int = 11, search: str = "grid") -> float:
+                theta: Mapping[str, float], points: int = 11, search: str = "grid", time_fn=None) -> float:
     """Step size toward f2 with the best objective.
 
     The grid search stops before the first step that does not improve; bisection halves
@@ -272,7 +279,7 @@ def line_search(paths: DataFrame, links: DataFrame, flows: DataFrame,
     if search == "grid":
         grid = [i / (points - 1) for i in range(points)]
         best = None
-        scan = fisk_scan(paths, links, flows, theta, grid).collect()
+        scan = fisk_scan(paths, links, flows, theta, grid, time_fn).collect()
         for row in sorted(scan, key=lambda r: r["step"]):
             if best is not None and not row["objective"] > best["objective"]:
                 break
@@ -282,7 +289,7 @@ def line_search(paths: DataFrame, links: DataFrame, flows: DataFrame,
     left, right, mid = 0.0, 1.0, 0.5
     for _ in range(points):
         mid = 0.5 * (left + right)
-        if _along(loaded, flows, theta, [mid], slope=True).first()["slope"] < 0:
+        if _along(loaded, flows, theta, [mid], True, time_fn).first()["slope"] < 0:
             right = mid
         else:
             left = mid
@@ -295,20 +302,29 @@ StepRule = Callable[[int, DataFrame, DataFrame, DataFrame], float]
 
 @dataclass
 class Equilibrium:
-    """Final path flows (path_id, o, d, p, q, f) and links (x, tt), one log row per iteration."""
+    """Final path flows (path_id, o, d, p, q, f) and links (x, tt), one log row per iteration;
+    the path set if it was grown."""
 
     flows: DataFrame
     links: DataFrame
     log: list[dict[str, float]]
+    paths: PathSet | None = None
 
 
 def equilibrium(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Mapping[str, float],
                 iters: int = 9, method: str | StepRule = "fw", accuracy: float = 1e-4,
                 points: int = 11, search: str = "grid", uncongested: bool = False,
                 exogenous_times: str | None = None, path_size: float = 0.0,
-                known: DataFrame | None = None, time_fn=None) -> Equilibrium:
+                known: DataFrame | None = None, time_fn=None, generation: Generation | None = None,
+                path_set: PathSet | None = None, round_: int = 0) -> Equilibrium:
     """Fixed point of travel times and path choice.
 
+    With ``generation`` the path set grows first, by the cheapest paths at the initial times,
+    is assigned once, cut back to the paths worth keeping, and the iterations begin anew on
+    what is left. ``path_set`` is the set of an earlier call, to which round ``round_`` is
+    added; ``paths`` is not read then. The first log row counts generated, added and removed
+    paths.
+
     Starts from the assignment at free flow. Each iteration assigns at the current
     times and moves toward the result, by 1 / (n + 1) (``msa``) or a line search
     (``fw``), until the objective changes by less than ``accuracy``; ``method`` may also
@@ -323,7 +339,7 @@ def equilibrium(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Mappin
     rules: dict[str, StepRule] = {
         "msa": lambda n, paths_, links_, both: 1.0 / (n + 1),
         "fw": lambda n, paths_, links_, both: line_search(paths_, links_, both, theta, points,
-                                                          search)}
+                                                          search, time_fn)}
     if not callable(method) and method not in rules:
         raise ValueError(f"unknown method: {method}")
     rule = method if callable(method) else rules[method]
@@ -331,6 +347,24 @@ def equilibrium(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Mappin
     start = C(exogenous_times) if exogenous_times else time_fn(F.lit(0.0))
     links = links.withColumn("tt", start.cast("double"))
 
+    if generation is not None:
+        grown = path_set or PathSet.of(paths)
+        counts = {"iter": -1, "n_removed": 0, **grown.grow(links, od, theta, generation, round_)}
+        names = [k for k in theta if still or k != "tt"]
+        sums = pin(grown.feature_sums(links, names)) if names else None
+        if generation.keep:
+            first = probabilities(pin(path_utility(grown.table(), links, theta, path_size, sums)), {"p": "v"})
+            counts["n_removed"] = grown.select(first, generation)
+            sums = pin(grown.feature_sums(links, names)) if names else None
+        table = pin(grown.table().select("path_id", *OD, "segs"))
+        if path_size:
+            sizes = path_size_factors(table)
+            sums = pin(sizes if sums is None else sums.join(sizes.select("path_id", "path_size"), "path_id"))
+        done = _iterate(table, links, od, theta, iters, rule, accuracy, still, path_size, sums, time_fn)
+        done.log.insert(0, counts)
+        done.paths = grown
+        return done
+
     def run(stored: DataFrame, sums: DataFrame | None) -> Equilibrium:
         return _iterate(stored, links, od, theta, iters, rule, accuracy, still, path_size, sums,
                         time_fn)
@@ -347,14 +381,14 @@ def equilibrium(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Mappin
 def _iterate(paths, links, od, theta, iters, rule, accuracy, still, path_size, known, time_fn
              ) -> Equilibrium:
     def assign(now: DataFrame, out: str) -> DataFrame:
-        v = path_utility(paths, now, theta, path_size, known)
+        v = pin(path_utility(paths, now, theta, path_size, known).select("path_id", *OD, "v"))
         return path_flows(v, od).select("path_id", *OD, "p", "q", C("f").alias(out))
 
     state = pin(assign(links, "f1"))
     log: list[dict[str, float]] = []
 
     def record(n: int, step: float) -> float:
-        value = float(fisk_objective(paths, links, state, theta, "f1").first()["objective"])
+        value = float(fisk_objective(paths, links, state, theta, "f1", time_fn).first()["objective"])
         prev = log[-1]["objective"] if log else None
         gap = abs((value - prev) / value) if prev is not None and value else float("nan")
         log.append({"iter": n, "step": step, "objective": value, "gap": gap})

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import bpr_time, interval_label, linear_utility, soft_threshold
+from ..functions.scalars import interval_label, linear_utility, performance, soft_threshold
 from ..operators.aggregates import lowest_share
 from ..operators.filters import LINK
 from ..operators.network import OD, path_size_factors
@@ -62,7 +62,8 @@ def response(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Theta,
     ``known`` may hold feature sums of the paths, written earlier.
     """
     names = list(theta)
-    df = path_utility(paths, links, theta, path_size, known)
+    # written once: the moments and the probabilities both read it
+    df = pin(path_utility(paths, links, theta, path_size, known))
     df = probabilities(df, {"p": "v"}, od, names, second)
     df = df.withColumn("f", F.coalesce("q", F.lit(0.0)) * C("p"))
     cols = ["f"]
@@ -281,7 +282,7 @@ def estimate(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Theta, it
     # sums that no iteration changes are written once
     if still:
         times = inner.get("exogenous_times")
-        links = links.withColumn("tt", C(times) if times else bpr_time(F.lit(0.0)))
+        links = links.withColumn("tt", C(times) if times else performance(inner.get("time_fn"))(F.lit(0.0)))
     with bucketed(paths.select("path_id", *OD, "segs"), "path_id") as stored:
         base = fixed_sums(stored, links, theta, still, float(inner.get("path_size", 0.0)))
         return _alternate(stored, links, od, theta, iters, method, eta, signs or {}, fixed, inner,
@@ -426,6 +427,7 @@ def grid_scan(paths: DataFrame, links: DataFrame, od: DataFrame, theta: Theta, n
     grid = [{**theta, name: float(x)} for x in values]
     for i, t in enumerate(grid):
         df = df.withColumn(f"_v{i}", linear_utility(t))
+    df = pin(df)
     n = range(len(grid))
     df = probabilities(df, {f"_p{i}": f"_v{i}" for i in n}, od, [name], second=True)
     cols = []
