@@ -41,7 +41,7 @@ SIMILARITY, RECALL, LEAST, SAMPLES = 0.8, 0.99, 0.95, 1
 BLOCK_ITEMS = 1024
 #: Windows that walk at once; repetitions to measure rates on, and those a size may have.
 STRIPE, TRIAL = 512, 64
-STEPS = (4, 8, 12, 24, 36, 48, 64, 96, 128, 192, 256)
+STEPS = (4, 8, 12, 16, 20, 24, 30, 36, 42, 48, 56, 64, 80, 96, 128, 192, 256)
 SEED = 11
 #: Windows on each side that the measured rate counts.
 BESIDE = 3
