@@ -22,7 +22,11 @@ L2 = f"""
 SELECT a.u AS o, b.v AS d, a.u || '/' || a.v || '/' || b.v AS path_id, a.w + b.w AS cost
 FROM (SELECT u, v, {_W} AS w FROM links WHERE u <> v) a JOIN (SELECT u, v, {_W} AS w FROM links WHERE u <> v) b
   ON a.v = b.u AND a.u <> b.v"""
+L3 = f"""
+SELECT a.o, l.v AS d, a.path_id || '/' || l.v AS path_id, a.cost + {_W} AS cost
+FROM ({L2}) a JOIN links l ON l.u = a.d AND l.u <> l.v AND NOT list_contains(string_split(a.path_id, '/'), CAST(l.v AS VARCHAR))"""
 ALL2 = f"SELECT * FROM ({L1} UNION ALL {L2})"
+ALL3 = f"SELECT * FROM ({L1} UNION ALL {L2} UNION ALL {L3})"
 RANKED = """
 SELECT p.*, row_number() OVER (PARTITION BY p.o, p.d ORDER BY round(p.cost, 9), p.path_id) AS rk
 FROM walks p JOIN od ON od.o = p.o AND od.d = p.d"""
@@ -143,9 +147,11 @@ def w10(spark, sf):
 
 
 @query("N07_enumerate_paths", with_views(
-    f"SELECT path_id, o, d, {r('cost', 'cost')} FROM walks", "links", walks=ALL2))
+    f"SELECT path_id, w.o, w.d, {r('cost', 'cost')} FROM walks w JOIN od ON od.o = w.o AND od.d = w.d AND od.q > 2",
+    "links", "od", walks=ALL3))
 def n07(spark, sf):
-    out = nw.enumerate_paths(weighted(network(spark, sf)), 2, weight="weight")
+    net = network(spark, sf)
+    out = nw.enumerate_paths(weighted(net), 3, net.od.where("q > 2"), "weight")
     return rounded(out.select("path_id", "o", "d", "cost"))
 
 
@@ -304,12 +310,12 @@ def n14_columns(spark, sf):
 
 
 @query("J11_new_paths", with_views("""
-SELECT path_id, o, d FROM walks w
+SELECT path_id, w.o, w.d FROM walks w JOIN od ON od.o = w.o AND od.d = w.d
 WHERE NOT EXISTS (SELECT 1 FROM path_trips p WHERE p.path_id = w.path_id)""",
-    "links", "path_trips", walks=ALL2))
+    "links", "od", "path_trips", walks=ALL2))
 def j11(spark, sf):
     net = network(spark, sf)
-    return jn.new_paths(nw.enumerate_paths(net.links, 2), net.paths).select("path_id", "o", "d")
+    return jn.new_paths(nw.enumerate_paths(net.links, 2, net.od), net.paths).select("path_id", "o", "d")
 
 
 @query("J12_path_links", with_views(

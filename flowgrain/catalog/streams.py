@@ -61,10 +61,11 @@ def x03(spark, sf):
 
 
 @query("X04_stream_changes", with_views(f"""
-SELECT station_id, event_id,
-       {r("flow_total - lag(flow_total) OVER (PARTITION BY station_id ORDER BY ts, event_id)", "change")}
-FROM (SELECT user_id AS station_id, event_id, ts, value AS flow_total FROM events)"""))
+SELECT station_id, event_id, {r("change", "change")} FROM (
+  SELECT station_id, event_id, ts, flow_total - lag(flow_total) OVER (PARTITION BY station_id ORDER BY ts, event_id) AS change
+  FROM (SELECT user_id AS station_id, event_id, ts, value AS flow_total FROM events))
+WHERE ts < {_CLOSED}"""))
 def x04(spark, sf):
     readings = _events(spark, sf).select("event_id", "ts", C("user_id").alias("station_id"),
                                          C("value").alias("flow_total"))
-    return rounded(st.run_changes(readings))
+    return rounded(st.run_to_files(st.changes(readings)))

@@ -458,10 +458,12 @@ def r10(spark, sf):
                    ["l_quantity", "l_discount", "l_tax"])
 
 
-@query("R12_scatter_sample")
+@query("R12_scatter_sample", with_views(f"""
+SELECT event_id, {r("speed", "speed")}, {r("travel_time", "travel_time")} FROM probe
+WHERE ('0x' || md5('5:' || event_id)[1:8])::BIGINT < {int(0.3 * (1 << 32))}""", "probe"))
 def r12(spark, sf):
-    return rs.scatter_sample(view(spark, sf, "probe").select("event_id", "speed", "travel_time"),
-                             0.3, 5)
+    probe = view(spark, sf, "probe").select("event_id", "speed", "travel_time")
+    return rounded(rs.scatter_sample(probe, "event_id", 0.3, 5))
 
 
 @query("K05_inference_table", with_views(

@@ -33,9 +33,14 @@ def adjacency(links: DataFrame) -> DataFrame:
 
 
 def link_keys(adj: DataFrame) -> DataFrame:
-    """Links of an adjacency table, parallel ones numbered 0..n-1."""
-    return (adj.where(C("n") > 0)
-            .withColumn("idx", F.explode(F.sequence(F.lit(0), C("n").cast("int") - 1)))
+    """Links of an adjacency table, parallel ones numbered 0..n-1. Numbers are dealt in blocks
+    of bounded length, so that no row has to hold all of them."""
+    size = 1024
+    n = C("n").cast("long")
+    blocks = (adj.where(n > 0).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / size))))
+              .repartition("u", "v", "_block"))
+    first = C("_block") * size
+    return (blocks.withColumn("idx", F.explode(F.sequence(first, F.least(first + size, n) - 1)))
             .select("u", "v", C("idx").cast("string").alias("idx")))
 
 
@@ -109,44 +114,67 @@ def load_paths(paths: DataFrame) -> dict[str, DataFrame]:
             "choice_sets": choice_set_sizes(paths)}
 
 
-def enumerate_paths(links: DataFrame, cutoff: int, origins: DataFrame | None = None,
-                    weight: str | None = None) -> DataFrame:
-    """All paths without repeated nodes of at most ``cutoff`` links.
-
-    The frontier grows one link per round by an equi-join on its last node.
+def _grown(links: DataFrame, starts: DataFrame, hops: int, allowed, ahead: bool) -> list[DataFrame]:
+    """Simple partial paths (root, at, nodes, segs, cost) of 0 to ``hops`` links from ``starts``
+    (root): onward along links, or backward with ``ahead`` false. ``allowed`` filters a round."""
+    near, far = ("u", "v") if ahead else ("v", "u")
+    step = pin(links.select(C(near).cast("int").alias("at"), C(far).cast("int").alias("_to"), C("idx").alias("_idx"), "_w"))
+    small = fits(step)
+    front = starts.select("root", C("root").cast("int").alias("at"), F.array(C("root").cast("int")).alias("nodes"),
+                          F.array().cast("array<struct<u:int,v:int,idx:string>>").alias("segs"), F.lit(0.0).alias("cost"))
+    rounds = [pin(front)]
+    for hop in range(1, hops + 1):
+        more = rounds[-1].join(F.broadcast(step), "at") if small else salted_join(rounds[-1], step, ["at"])
+        more = more.where(~F.array_contains("nodes", C("_to")))
+        ends = ("at", "_to") if ahead else ("_to", "at")
+        seg = F.array(F.struct(C(ends[0]).alias("u"), C(ends[1]).alias("v"), C("_idx").alias("idx")))
+        to = F.array("_to")
+        more = more.select(
+            "root", C("_to").alias("at"), (F.concat("nodes", to) if ahead else F.concat(to, "nodes")).alias("nodes"),
+            (F.concat("segs", seg) if ahead else F.concat(seg, "segs")).alias("segs"), (C("cost") + C("_w")).alias("cost"))
+        rounds.append(pin(allowed(more, hop)))
+    return rounds
+
+
+def enumerate_paths(links: DataFrame, cutoff: int, ods: DataFrame, weight: str | None = None) -> DataFrame:
+    """All paths without repeated nodes of at most ``cutoff`` links of the listed ODs.
+
+    Two frontiers meet: from the origins over the first half of the links of a path, from the
+    destinations over the second half, so neither grows past half of ``cutoff``. A partial path
+    stays only while the other end of one of its ODs can be reached with the links that are left.
     """
     cost = C(weight).cast("double") if weight else F.lit(1.0)
-    step = links.select(C("u").alias("_at"), C("v").alias("_to"), C("idx").alias("_idx"),
-                        cost.alias("_w"))
-    small = fits(step)
-    start = (links.select(C("u").alias("o")).distinct() if origins is None
-             else origins.select("o").distinct())
-    front = start.select(
-        "o", C("o").alias("_at"), F.array("o").alias("nodes"),
-        F.array().cast("array<struct<u:int,v:int,idx:string>>").alias("segs"),
-        F.lit(0.0).alias("cost"))
-    done = None
-    for hop in range(cutoff):
-        grown = (front.join(F.broadcast(step), "_at") if small
-                 else salted_join(front, step, ["_at"]))
-        grown = grown.where(~F.array_contains("nodes", C("_to")))
-        front = grown.select(
-            "o", C("_to").alias("_at"), F.concat("nodes", F.array("_to")).alias("nodes"),
-            F.concat("segs", F.array(F.struct(C("_at").cast("int").alias("u"),
-                                              C("_to").cast("int").alias("v"),
-                                              C("_idx").alias("idx")))).alias("segs"),
-            (C("cost") + C("_w")).alias("cost"))
-        if hop % 3 == 2 and hop + 1 < cutoff:
-            front = pin(front)
-            if front.limit(1).count() == 0:
-                break
-        done = front if done is None else done.unionByName(front)
+    plain = pin(links.where(C("u") != C("v")).select("u", "v", "idx", cost.alias("_w"), F.lit(1.0).alias("_hop")))
+    pairs = pin(ods.select(*OD).where(C("o") != C("d")).distinct())
+
+    def reach(own: str, other: str, graph: DataFrame) -> DataFrame:
+        """(root, at, _left): links that a node is away from the nearest other end of a root."""
+        away = distances_to(graph, pairs.select(C(other).alias("d")), "_hop", cutoff).withColumnRenamed("d", other)
+        return pin(away.join(pairs, other).groupBy(C(own).alias("root"), C("node").alias("at")).agg(
+            F.min("dist").alias("_left")))
+    turned = plain.select(C("v").alias("u"), C("u").alias("v"), "_hop")
+    to_d, to_o = reach("o", "d", plain), reach("d", "o", turned)
+
+    def kept(table: DataFrame):
+        return lambda more, hop: salted_join(more, table, ["root", "at"], "inner").where(
+            C("_left") <= cutoff - hop).drop("_left")
+    first = _grown(plain, pairs.select(C("o").alias("root")).distinct(), (cutoff + 1) // 2, kept(to_d), True)
+    second = _grown(plain, pairs.select(C("d").alias("root")).distinct(), cutoff // 2, kept(to_o), False)
+    out = None
+    for length in range(1, cutoff + 1):
+        head = first[(length + 1) // 2].select(C("root").alias("o"), "at", "nodes", "segs", "cost").join(pairs, "o")
+        tail = second[length // 2].select(C("root").alias("d"), "at", C("nodes").alias("_nodes"), C("segs").alias("_segs"),
+                                          C("cost").alias("_cost"))
+        met = salted_join(head, tail, ["d", "at"], "inner").where(F.size(F.array_intersect("nodes", "_nodes")) == 1)
+        met = met.select(*OD, F.concat("nodes", F.slice("_nodes", 2, F.size("_nodes"))).alias("nodes"),
+                         F.concat("segs", "_segs").alias("segs"), (C("cost") + C("_cost")).alias("cost"))
+        out = met if out is None else out.unionByName(met)
     ids = F.array_join(F.transform("nodes", lambda n: n.cast("string")), "/")
     # a parallel link is part of the path's identity
     tail = F.array_join(F.transform("segs", lambda s: s.idx), "/")
-    plain = F.forall("segs", lambda s: s.idx == "0")
-    return done.select(F.when(plain, ids).otherwise(F.concat_ws("|", ids, tail)).alias("path_id"),
-                       "o", C("_at").alias("d"), "nodes", "segs", "cost")
+    plain_id = F.forall("segs", lambda s: s.idx == "0")
+    return out.select(F.when(plain_id, ids).otherwise(F.concat_ws("|", ids, tail)).alias("path_id"),
+                      *OD, "nodes", "segs", "cost")
 
 
 def _rounds(cutoff: int | None):

@@ -139,5 +139,9 @@ def test_flags(results: DataFrame, truth: Mapping[str, float], h0: float = 0.0,
             .withColumn("fn", F.when(~null_true & (p > alpha), 1).otherwise(0)))
 
 
-def scatter_sample(df: DataFrame, fraction: float = 0.3, seed: int = 0) -> DataFrame:
-    return df.sample(withReplacement=False, fraction=fraction, seed=seed)
+def scatter_sample(df: DataFrame, key: str, fraction: float = 0.3, seed: int = 0) -> DataFrame:
+    """Share of rows without replacement, by a hash of ``key`` and ``seed``: a row is in or out
+    whatever the partitions, and again when a task is repeated. Rows without a key are left out."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), C(key).cast("string")))
+    draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    return df.where(C(key).isNotNull() & (draw < F.lit(int(fraction * (1 << 32)))))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import lookup, scalar_join
+from ..scale import lookup, salted_join, scalar_join
 from ..session import pin
 from .filters import in_box
 
@@ -47,10 +47,22 @@ def _box_cells(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, si
 
 
 def segment_cells(links: DataFrame, reach: float, size: float) -> DataFrame:
-    """Grid cells within ``reach`` of each segment, one row per (link, cell)."""
+    """Grid cells within ``reach`` of each segment, one row per (link, cell).
+
+    Column by column of the grid, only the rows of cells beside the part of the segment that
+    runs through the column are made, so cells are linear in the length of a segment.
+    """
     lo_x, hi_x = F.least("x1", "x2") - reach, F.greatest("x1", "x2") + reach
-    lo_y, hi_y = F.least("y1", "y2") - reach, F.greatest("y1", "y2") + reach
-    cells = _box_cells(links, lo_x, lo_y, hi_x, hi_y, size)
+    columns = links.withColumn("_cx", F.explode(F.sequence(_cell(lo_x, size), _cell(hi_x, size))))
+    dx, dy = C("x2") - C("x1"), C("y2") - C("y1")
+
+    def place(x: Column) -> Column:
+        """Where the segment passes ``x``, from 0 to 1; a vertical one is all there."""
+        return F.least(F.greatest(F.try_divide(x - C("x1"), dx), F.lit(0.0)), F.lit(1.0))
+    a, b = place(C("_cx") * size - reach), place((C("_cx") + 1) * size + reach)
+    ends = [F.when(dx == 0, y).otherwise(C("y1") + t * dy) for t, y in ((a, C("y1")), (b, C("y2")))]
+    cells = columns.withColumn("_cy", F.explode(F.sequence(
+        _cell(F.least(*ends) - reach, size), _cell(F.greatest(*ends) + reach, size))))
     center = (C("_cx") + 0.5) * size, (C("_cy") + 0.5) * size
     return cells.where(segment_distance(*center) <= reach + size * math.sqrt(0.5) + 1e-9)
 
@@ -134,7 +146,11 @@ def links_in_polygons(links: DataFrame, blocks: DataFrame, attrs: Sequence[str],
     high = lambda f: F.array_max(F.transform("ring", lambda p: p[f]))
     tiles = _box_cells(blocks, low("x"), low("y"), high("x"), high("y"), size)
     seg = segment_cells(links.select(*link, "x1", "y1", "x2", "y2"), 0.0, size)
-    hit = lookup(seg, tiles, ["_cx", "_cy"], "inner").where(segment_meets_ring(C("ring")))
+    # cells only pair ids; each pair is tested once, and rings are not copied to cells
+    pairs = lookup(seg.select(*link, "_cx", "_cy"), tiles.select(block_id, "_cx", "_cy"), ["_cx", "_cy"], "inner")
+    pairs = pairs.select(*link, block_id).distinct()
+    ends = salted_join(pairs, blocks.select(block_id, "ring", *attrs), [block_id], "inner")
+    hit = ends.join(links.select(*link, "x1", "y1", "x2", "y2"), list(link)).where(segment_meets_ring(C("ring")))
     best = hit.groupBy(*link).agg(*[F.max_by(C(a) * F.lit(float(scale)), C(block_id)).alias(a)
                                     for a in attrs])
     out = links.select(*link).join(best, list(link), "left")

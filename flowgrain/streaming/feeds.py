@@ -6,14 +6,15 @@ sinks, one checkpoint folder per query.
 
 from __future__ import annotations
 
+import json
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.spatial import points_near_links
-from ..scale import lagged, lookup
 from ..session import shared_dir
 
 C = F.col
@@ -57,49 +58,49 @@ def incidents_near_links(incidents: DataFrame, links: DataFrame, reach: float,
     return points_near_links(incidents, links, reach, size)
 
 
-def _changes_of_batch(batch: DataFrame, last: DataFrame | None, key: str, value: str
-                      ) -> DataFrame:
-    out = lagged(batch.select(key, "ts", "event_id", value, F.lit(1).alias("_row")), [key],
-                 [C("ts"), C("event_id")], {"_prev": (value, 1), "_follows": ("_row", 1)})
-    if last is not None:  # only a first row looks back; a NULL reading before it stays NULL
-        out = lookup(out, last.select(key, "_last"), key)
-        out = out.withColumn("_prev", F.when(C("_follows").isNull(), C("_last")).otherwise(C("_prev")))
-    return out.select(key, "event_id", (C(value) - C("_prev")).alias("change"))
+def changes(stream: DataFrame, key: str = "station_id", value: str = "flow_total", late: str = "15 minutes"
+            ) -> DataFrame:
+    """Change of each reading (key, event_id, ts, value) against the one before it in its
+    station, in order of event time.
 
-
-def run_changes(stream: DataFrame, key: str = "station_id", value: str = "flow_total"
-                ) -> DataFrame:
-    """Change of each reading against the previous one of its station, over all batches.
-
-    A batch is one skew-safe lag; its first rows find their predecessor in a table with
-    the last value per station, written per batch. Outputs are folders named by batch
-    and replaced on retry, so a restarted batch leaves one result.
+    The state of a station is its last final reading and the readings the watermark has not
+    passed yet. A timer at the first of these releases them in order once it is passed, so
+    rows that come late but inside ``late`` stand where they belong; later ones are dropped. A
+    NULL reading gives NULL, and so does the one after it. The open readings of a station are
+    those of ``late``, whatever the length of the stream.
     """
-    spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    columns = stream.select(key).schema[0].dataType.simpleString()
-    last_schema = f"{key} {columns}, _last double, _at timestamp, _id bigint"
-
-    def each(batch: DataFrame, n: int) -> None:
-        session = batch.sparkSession
-        batch = batch.persist()
-        last = (session.read.schema(last_schema).parquet(f"{base}/last/batch={n - 1}")
-                if n > 0 else None)
-        _changes_of_batch(batch, last, key, value).write.mode("overwrite").parquet(
-            f"{base}/out/batch={n}")
-        now = batch.select(key, C(value).cast("double").alias("_last"), C("ts").alias("_at"),
-                           C("event_id").cast("long").alias("_id"))
-        both = now if last is None else now.unionByName(last)
-        both.groupBy(key).agg(F.max_by(F.struct("_last", "_at", "_id"),
-                                       F.struct("_at", "_id")).alias("_m")).select(
-            key, "_m.*").write.mode("overwrite").parquet(f"{base}/last/batch={n}")
-        batch.unpersist()
-
-    query = (stream.writeStream.foreachBatch(each)
-             .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
-    query.awaitTermination()
-    return spark.read.schema(f"{key} {columns}, event_id bigint, change double").parquet(
-        f"{base}/out").drop("batch")
+    kind = stream.schema[key].dataType.simpleString()
+    rows = (stream.where(C(key).isNotNull() & C("ts").isNotNull()).withWatermark("ts", late)
+            .select(key, "ts", C("event_id").cast("long").alias("event_id"), C(value).cast("double").alias("value"),
+                    F.unix_micros("ts").alias("at")))
+
+    def step(name, frames, state):
+        last, open_ = (json.loads(x) for x in state.get) if state.exists else (None, [])
+        passed = state.getCurrentWatermarkMs() * 1000
+        for frame in frames:
+            for at, event, v in zip(frame["at"], frame["event_id"], frame["value"]):
+                one = [int(at), int(event), None if pd.isna(v) else float(v)]
+                if last is None or one[:2] > last[:2]:
+                    open_.append(one)
+        open_.sort(key=lambda x: x[:2])
+        ready = [x for x in open_ if x[0] < passed]
+        open_ = open_[len(ready):]
+        out = []
+        for one in ready:
+            before = last[2] if last else None
+            out.append((name[0], one[1], None if before is None or one[2] is None else one[2] - before))
+            last = one
+        state.update((json.dumps(last), json.dumps(open_)))
+        if open_:
+            state.setTimeoutTimestamp(max(passed, open_[0][0]) // 1000 + 1)
+        if out:
+            yield pd.DataFrame({key: [r[0] for r in out], "event_id": [r[1] for r in out],
+                                "change": pd.Series([r[2] for r in out], dtype="float64")})
+
+    # a missing change arrives as NaN, which no difference of readings is
+    changed = rows.groupBy(key).applyInPandasWithState(
+        step, f"{key} {kind}, event_id long, change double", "last string, open string", "append", "EventTimeTimeout")
+    return changed.withColumn("change", F.when(~F.isnan("change"), C("change")))
 
 
 def run_to_files(stream: DataFrame, mode: str = "append") -> DataFrame:

@@ -92,26 +92,32 @@ def test_replicates_accumulate(spark, tmp_path):
 
 
 def test_stream_changes_across_batches(spark, tmp_path):
-    """Three files, three batches: state carries the last value of each station."""
+    """Four files, four batches: readings that come late but inside the watermark, missing
+    readings and one that comes far too late."""
     src = tmp_path / "in"
     src.mkdir()
-    rows, n = [], 0
-    for batch in range(3):
-        part = []
-        for i in range(20):
-            part.append((n, i % 3, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=n), float(n * n % 17)))
-            n += 1
-        rows += part
+    start = dt.datetime(2024, 1, 1)
+    rows = [(n, n % 3, start + dt.timedelta(minutes=n), None if n % 11 == 5 else float(n * n % 17)) for n in range(120)]
+    batches = [rows[i:i + 30] for i in range(0, 120, 30)]
+    for i in (25, 28, 55):  # late by less than a quarter of an hour
+        late = rows[i]
+        batches[i // 30].remove(late)
+        batches[i // 30 + 1].insert(0, late)
+    lost = (500, 1, start + dt.timedelta(minutes=2, seconds=30), 99.0)
+    for i, part in enumerate(batches):
+        part = part + [lost] if i == 3 else part
         (spark.createDataFrame(part, "event_id long, station_id int, ts timestamp, flow_total double")
-         .coalesce(1).write.parquet(str(src / f"b{batch}")))
+         .coalesce(1).write.parquet(str(src / f"b{i}")))
     schema = spark.read.parquet(str(src / "b0")).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
-    got = {r["event_id"]: r["change"] for r in feeds.run_changes(stream).collect()}
-    last, want = {}, {}
-    for e, s, _, x in rows:
-        want[e] = x - last[s] if s in last else None
+    got = [(r["event_id"], r["change"]) for r in feeds.run_to_files(feeds.changes(stream)).collect()]
+    last, want = {}, []
+    for e, s, ts, x in rows:
+        before = last.get(s)
+        if ts < rows[-1][2] - dt.timedelta(minutes=15):
+            want.append((e, None if before is None or x is None else x - before))
         last[s] = x
-    assert got == want
+    assert sorted(got, key=str) == sorted(want, key=str)
 
 
 def test_stream_windows_equal_batch(spark, tmp_path):

@@ -27,7 +27,7 @@ def yang(spark):
 
 def test_toy_hand_numbers(spark):
     links, od = networks.toy(spark)
-    paths = nw.enumerate_paths(links, 3).join(od.select("o", "d"), ["o", "d"])
+    paths = nw.enumerate_paths(links, 3, od)
     flows = ch.path_flows(ch.path_utility(paths, links, {"tt": -1.0}), od)
     p = {r["path_id"]: r["p"] for r in flows.where("o = 3").collect()}
     assert sorted(round(v, 6) for v in p.values()) == [0.268941, 0.731059]
@@ -317,3 +317,14 @@ def test_loading_in_tasks_and_by_rounds_agree(spark):
     assert a[1].first()["sptt"] == pytest.approx(sum((1.0 + o) * yen(w, o, d, 1)[0][0] for o, d, _ in od.collect()))
     with pytest.raises(ValueError, match="1 OD pairs"):
         nw.all_or_nothing(links.where("v <> 24"), spark.createDataFrame([(0, 24, 1.0)], "o int, d int, q double"), rows=0)
+
+
+@pytest.mark.parametrize("cutoff", [1, 2, 3, 5, 8])
+def test_two_frontiers_find_all_paths_of_the_listed_pairs(spark, cutoff):
+    links, od = networks.yang(spark)
+    got = [(r["o"], r["d"], r["path_id"], [s.v for s in r["segs"]], round(r["cost"], 9)) for r in nw.enumerate_paths(
+        links.withColumn("weight", F.col("tf") + F.col("c")), cutoff, od, "weight").collect()]
+    w = {(r["u"], r["v"]): r["tf"] + r["c"] for r in links.collect()}
+    want = [(int(o), int(d), "/".join(map(str, p)), p[1:], round(sum(w[x] for x in zip(p, p[1:])), 9))
+            for o, d in networks.YANG_Q for p in networks.simple_paths(networks.YANG, o, d, cutoff)]
+    assert sorted(got) == sorted(want)

@@ -114,3 +114,21 @@ def test_last_polygon_wins_and_mean_fills(spark):
     got = {r["u"]: r["attr"] for r in sp.links_in_polygons(links, blocks, ["attr"], 4.0).collect()}
     assert got == {1: 30.0, 3: 20.0}
     assert links.where(F.col("u") > 0).count() == 2
+
+
+def test_cells_grow_with_the_length_of_a_segment(spark):
+    rows = [(i, n * math.cos(a), n * math.sin(a)) for i, (n, a) in enumerate(
+        (n, a) for n in (50.0, 100.0, 200.0) for a in (0.0, 0.7, math.pi / 4, 1.5, math.pi / 2, 2.5, -1.0))]
+    links = spark.createDataFrame([(i, i, 0.25, 0.25, 0.25 + x, 0.25 + y) for i, x, y in rows],
+                                  "u int, v int, x1 double, y1 double, x2 double, y2 double")
+    plain = sp.segment_cells(links, 1.0, 1.0)
+    got = {}
+    for r in plain.select("u", "_cx", "_cy").collect():
+        got.setdefault(r["u"], set()).add((r["_cx"], r["_cy"]))
+    assert plain.count() == sum(map(len, got.values()))
+    for i, x, y in rows:
+        length = math.hypot(x, y)
+        assert len(got[i]) <= 8 * length + 40
+        for t in range(201):
+            px, py = 0.25 + x * t / 200, 0.25 + y * t / 200
+            assert {(math.floor(px + dx), math.floor(py + dy)) for dx, dy in ((0, 0), (0.99, 0), (-0.7, 0.7))} <= got[i]
