@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scale import group_join, lagged, percentiles, same_keys, scalar_join
+from ..session import pin
 
 # Fixed value: keeps denominators away from zero.
 EPS = 1e-10
@@ -131,6 +132,9 @@ def evaluate(df: DataFrame, metrics: Sequence[str] = ("mse", "rmse", "nrmse", "m
         raise ValueError(f"unknown metrics: {unknown}")
     by = list(by)
     rows = df.where(_a().isNotNull())
+    if any(m not in SIMPLE for m in metrics):
+        # several passes follow (group sizes, lags, medians); the feed is read once for all
+        rows = pin(rows)
     needs_order = [m for m in metrics if m in ORDERED or m == "mdrae"]
     if needs_order:
         lags = {"_step_a": ("actual", 1), "_step_p": ("predicted", 1),
