@@ -24,7 +24,7 @@ one row for each key on the other side, which adaptive execution splits where a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, release, store, text_of, texts
@@ -98,10 +98,10 @@ def _paths_of(raw: list[bytes], window: int, anchor: int) -> _Paths | None:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc, mark, text): the id with null last, a checksum of the text, and the text."""
+    """(doc, mark, text): the id with null last, a hash of the text, and the text."""
     text = text_of(F.col("text"))
     return docs.select(F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("doc"),
-                       F.crc32(text.cast("binary")).cast("long").alias("mark"), text.alias("text"))
+                       F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
 def _anchors(docs: DataFrame, window: int, anchor: int, places: bool) -> DataFrame:
@@ -166,20 +166,28 @@ def _edges(docs: DataFrame, wanted: DataFrame, window: int, anchor: int) -> Data
 _SEGMENTS = "array<struct<n:int,size:int,source_doc:bigint,source_pos:bigint>>"
 
 
-def _segments(edges) -> object:
-    """Runs of edges (n, source_doc, source_pos), in order, that move on with their source."""
-    def step(acc, e):
-        last = F.element_at(acc, -1)
-        ahead = e["n"] - last["n"]
-        same = (F.size(acc) > 0) & (last["size"] == ahead) & (last["source_doc"] == e["source_doc"]) & (
-            e["source_pos"] - last["source_pos"] == ahead)
-        longer = F.struct(last["n"].alias("n"), (last["size"] + 1).alias("size"), last["source_doc"].alias("source_doc"),
-                          last["source_pos"].alias("source_pos"))
-        one = F.struct(e["n"].alias("n"), F.lit(1).alias("size"), e["source_doc"].alias("source_doc"),
-                       e["source_pos"].alias("source_pos"))
-        return F.when(same, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(
-            F.concat(acc, F.array(one)))
-    return F.aggregate(edges, F.array().cast(_SEGMENTS), step)
+def _runs(segments: str, made: Callable[[Column, Column], Column]) -> Column:
+    """``made(first, last)`` of each run of an array of segments (n, size, source_doc,
+    source_pos) in order; a run goes on where the next segment begins at the end of the one
+    before, in the text and in its source. Both ends of all runs are found by looking at
+    neighbours, so the work is linear in the segments."""
+    s, n = F.col(segments), F.size(segments)
+
+    def goes_on(i: Column) -> Column:
+        one, after = F.get(s, i), F.get(s, i + 1)
+        return (after["n"] - one["n"] == one["size"]) & (after["source_doc"] == one["source_doc"]) & (
+            after["source_pos"] - one["source_pos"] == one["size"])
+
+    places = F.sequence(F.lit(0), n - 1)
+    firsts = F.filter(places, lambda i: (i == 0) | ~goes_on(i - 1))
+    lasts = F.filter(places, lambda i: (i == n - 1) | ~goes_on(i))
+    return F.zip_with(firsts, lasts, lambda i, j: made(F.get(s, i), F.get(s, j)))
+
+
+def _whole(first: Column, last: Column) -> Column:
+    """One segment for a run of segments."""
+    return F.struct(first["n"].alias("n"), (last["n"] + last["size"] - first["n"]).alias("size"),
+                    first["source_doc"].alias("source_doc"), first["source_pos"].alias("source_pos"))
 
 
 def _opened(docs: DataFrame, compact: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -195,9 +203,11 @@ def _opened(docs: DataFrame, compact: DataFrame, window: int, anchor: int) -> Da
                           F.col("pos").cast("int").alias("pos"), "n"))
     least = edges.groupBy("anchor", "edge").agg(F.min(F.struct("doc", (F.col("pos") + F.col("n")).alias("pos"))).alias(
         "least"))
+    one = F.struct("n", F.lit(1).alias("size"), F.col("least.doc").alias("source_doc"),
+                   F.col("least.pos").cast("long").alias("source_pos"))
     opened = store(edges.join(least, ["anchor", "edge"]).groupBy("doc", "mark", "pos").agg(
-        _segments(F.array_sort(F.collect_list(F.struct("n", F.col("least.doc").alias("source_doc"), F.col(
-            "least.pos").cast("long").alias("source_pos"))))).alias("segments")))
+        F.array_sort(F.collect_list(one)).alias("s")).select(
+            "doc", "mark", "pos", _runs("s", _whole).cast(_SEGMENTS).alias("segments")))
     release(wanted, edges)
     return opened
 
@@ -232,20 +242,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 _SPANS = "array<struct<start:bigint,length:bigint,source_doc:bigint,source_start:bigint>>"
 
 
-def _joined(segments: str, window: int) -> object:
+def _joined(segments: str, window: int) -> Column:
     """Spans in words of segments in order, neighbours in step with one source as one."""
-    def step(acc, s):
-        last = F.element_at(acc, -1)
-        ahead = s["n"] - last["start"]
-        same = (F.size(acc) > 0) & (last["length"] - window + 1 == ahead) & (last["source_doc"] == s["source_doc"]) & (
-            s["source_pos"] - last["source_start"] == ahead)
-        longer = F.struct(last["start"].alias("start"), (last["length"] + s["size"]).alias("length"),
-                          last["source_doc"].alias("source_doc"), last["source_start"].alias("source_start"))
-        one = F.struct(s["n"].cast("long").alias("start"), (s["size"] + window - 1).cast("long").alias("length"),
-                       s["source_doc"].alias("source_doc"), s["source_pos"].alias("source_start"))
-        return F.when(same, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(
-            F.concat(acc, F.array(one)))
-    return F.aggregate(segments, F.array().cast(_SPANS), step)
+    def span(first: Column, last: Column) -> Column:
+        words = last["n"] + last["size"] - first["n"] + (window - 1)
+        return F.struct(first["n"].alias("start"), words.alias("length"), first["source_doc"].alias("source_doc"),
+                        first["source_pos"].alias("source_start"))
+    return _runs(segments, span).cast(_SPANS)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -260,7 +263,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = text_of(F.col("text"))
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("doc"),
-                        F.crc32(text.cast("binary")).cast("long").alias("mark"), text.alias("text"))
+                        F.xxhash64(text).alias("mark"), text.alias("text"))
     joined = keyed.join(spans, ["doc", "mark"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
