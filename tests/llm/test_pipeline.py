@@ -70,3 +70,11 @@ def test_one_row_of_each_group_stays(spark):
     assert got.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [
         (0, "only one of these"), (5, "alpha beta gamma"), (5, "other words entirely here")]
+
+
+def test_personal_data_without_lengths(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.co now"), (2, None), (None, "")], "doc_id long, text string")
+    got = corpus_pipeline.hide_personal_data(spark, docs, SF)
+    assert got.columns == docs.columns
+    found = {r.doc_id: r.text for r in got.collect()}
+    assert "a@b.co" not in found[1] and found[2] is None and found[None] == ""
