@@ -36,8 +36,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame:
-    """One document of each group of near copies (five-word similarity of 0.8 or more): that of
-    the least doc_id, null last. Texts without words are one group, repeated rows one row. An
+    """One document of each group of near copies (five-word similarity of 0.8 or more, found by
+    SimHash fingerprints in tiles and decided exactly): that of the least doc_id, null last. Texts without words are one group, repeated rows one row. An
     empty table stays empty.
     """
     return one_of_each_group(docs)

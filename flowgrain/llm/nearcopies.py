@@ -1,18 +1,19 @@
 """Near copies by the Jaccard similarity of their five-word shingles.
 
 Method. A document is the set of hashes of its shingles of ``WORDS`` lowercased words.
-``BANDS`` hashes of ``ROWS`` least values of the set name its buckets; a pair of similarity s
-shares none of them with chance (1 - s^ROWS)^BANDS, 3e-5 at 0.8. Members of a bucket are first
-compared with its pivot. What then still stands in different groups is laid into tiles that
+SimHash fingerprints of the sets are compared exactly, tile against tile (``simhash``), in a
+radius that holds a pair of similarity 0.8 but for a chance of 1e-5. This gives groups of
+candidates; an exact check follows. A few candidate links of each document are decided by the
+sets. What then still stands in different groups of near copies is laid into tiles that
 carry the sets, and tile is compared with tile in numpy: pairs of one group, of too different
-sizes or of far too few equal least values (a chance of 1e-8 at 0.8) are skipped, all others
-decided by the exact similarity of the sets. So two documents that share a bucket are in one
-group or were compared.
-
-Size. Texts with equal words meet once, as one 128-bit hash of their words. Buckets with the
-same members are one bucket. A tile holds a bounded number of documents and of shingles, and
-only a spanning forest of its links leaves the task, so no list of pairs is made; the numpy
-work grows with the square of a bucket only where its members are similar but no near copies.
+sizes or of too many differing bits are skipped, all others decided by the exact similarity of
+the sets. So two documents within the radius are in one group or were compared.
+
+Size. Texts with equal words meet once, as one 128-bit hash of their words. Compared
+fingerprints grow with the square of the documents of similar size. A tile holds a bounded
+number of documents and of shingles, and only a spanning forest of its links leaves the task,
+so no list of pairs is made; the work on sets grows with the square of a group of candidates
+only where its members are similar but no near copies.
 """
 
 from __future__ import annotations
@@ -29,31 +30,20 @@ from flowgrain.scale import salted_join
 
 from .common import batches_of, parts, release, rows_of, shielded, store, text_of
 from .graph import components
+from .simhash import NEAR, NEAR_SHORT, SHORT, mixed, set_fingerprint, set_links
 
 #: Words of a shingle; near copies share EQUAL[0] of EQUAL[1] parts of both sets together.
 WORDS, EQUAL = 5, (4, 5)
-#: Buckets of a document and least values that name one.
-BANDS, ROWS = 20, 4
-#: Share of equal least values below which a pair is not near.
-HOPELESS = 0.55
+#: Candidate links of a document that are decided before tiles are made.
+LINKS = 3
 #: Documents and shingles of a tile.
 TILE, TILE_SHINGLES = 512, 1 << 20
-#: Shingles whose values are made at once.
-CHUNK = 4096
-_DRAWN = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
-_TIMES, _PLUS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
 
 
 def words_of(text: bytes) -> list[str]:
     return text.decode("utf-8", "replace").lower().split()
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    for by in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(by)
-    return x ^ (x >> np.uint64(33))
-
-
 def shingles(found: list[str]) -> np.ndarray:
     """Sorted distinct hashes of the shingles; fewer words than a shingle has are one."""
     if not found:
@@ -64,27 +54,10 @@ def shingles(found: list[str]) -> np.ndarray:
     n = len(found) - k + 1
     total = np.zeros(n, np.uint64)
     for i in range(k):
-        total = _mixed(total + hashes[i:i + n] + np.uint64(i + 1))
+        total = mixed(total + hashes[i:i + n] + np.uint64(i + 1))
     return np.unique(total)
 
 
-def least_values(held: np.ndarray) -> np.ndarray:
-    """The least of each of the hash values of a set."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for low in range(0, len(held), CHUNK):
-        values = _mixed(held[low:low + CHUNK] * _TIMES[:, None] + _PLUS[:, None])
-        np.minimum(least, values.min(axis=1), out=least)
-    return least
-
-
-def buckets(least: np.ndarray) -> np.ndarray:
-    """Bucket hashes of the least values."""
-    named = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        named = _mixed(named * np.uint64(0x9E3779B97F4A7C15) + column)
-    return named
-
-
 def near(both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether sets of sizes ``a`` and ``b`` with ``both`` members in common are near copies;
     two empty sets are."""
@@ -92,42 +65,45 @@ def near(both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """(copy, node, bands) of every row of ``docs`` (copy, text); node is a hash of the words."""
+    """(copy, node, n, bits) of every row of ``docs`` (copy, text): a hash of the words, number
+    and fingerprint of the shingles."""
     batches_of(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, bands = [], []
+            nodes, sizes, bits = [], [], []
             for _, text in rows_of([batch], "copy", "text"):
                 found = words_of(text)
+                held = shingles(found)
                 nodes.append(xxhash.xxh3_128_digest(" ".join(found)))
-                bands.append(buckets(least_values(shingles(found))).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["copy", "node", "bands"])
+                sizes.append(len(held))
+                bits.append(set_fingerprint(held).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()),
+                                              pa.array(bits, pa.binary())], ["copy", "node", "n", "bits"])
 
-    return docs.mapInArrow(run, "copy binary, node binary, bands array<long>")
+    return docs.mapInArrow(run, "copy binary, node binary, n long, bits binary")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(node, n, least, held): size, half of each least value and shingles of ``docs`` (node, text)."""
+    """(node, n, bits, held): size, fingerprint and shingles of ``docs`` (node, n, bits, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, least, held = [], [], []
-            for _, text in rows_of([batch], "node", "text"):
-                one = shingles(words_of(text))
-                sizes.append(len(one))
-                least.append(least_values(one).astype("<u4").tobytes())
-                held.append(one.astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(least, pa.binary()),
-                                              pa.array(held, pa.binary())], ["node", "n", "least", "held"])
+            held = [shingles(words_of(text)).astype("<u8").tobytes() for _, text in rows_of([batch], "node", "text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(held, pa.binary())], ["node", "n", "bits", "held"])
+
+    return docs.select("node", "n", "bits", "text").mapInArrow(run, "node binary, n long, bits binary, held binary")
+
 
-    return docs.mapInArrow(run, "node binary, n long, least binary, held binary")
+def _some_of(candidates: DataFrame) -> DataFrame:
+    """At most ``LINKS`` links (u, v) of each document, drawn by hash, however many it has."""
+    both = candidates.union(candidates.select("v", "u"))
+    drawn = [F.min(F.struct(F.xxhash64("u", "v", F.lit(seed)).alias("at"), "v")).alias(f"x{seed}") for seed in range(LINKS)]
+    each = both.groupBy("u").agg(*drawn).select("u", F.explode(F.array(*[F.col(f"x{seed}.v") for seed in range(LINKS)])).alias("v"))
+    return each.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _with_pivots(filled: DataFrame, held: DataFrame) -> DataFrame:
-    """Links (u, v) of members and pivots that are near copies."""
-    pairs = filled.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
+def _decided(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The links (u, v) of ``pairs`` that are near copies."""
     sides = [held.select(F.col("node").alias(name), F.col("held").alias(side)) for name, side in (("u", "a"), ("v", "b"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +120,7 @@ def _with_pivots(filled: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def _forest(a: tuple, b: tuple) -> tuple[list[int], list[int]]:
-    """Links of a spanning forest of the near pairs of two tiles (roots, least values, sets)
+    """Links of a spanning forest of the near pairs of two tiles (roots, fingerprints, sets)
     that are not yet of one group."""
     sizes = [np.array([len(s) for s in t[2]], np.int64) for t in (a, b)]
     flat, starts = np.concatenate([*b[2], np.zeros(1, "<u8")]), np.cumsum([0, *sizes[1][:-1]])
@@ -158,7 +134,8 @@ def _forest(a: tuple, b: tuple) -> tuple[list[int], list[int]]:
         if not wanted.any():
             continue
         at = np.flatnonzero(wanted)
-        at = at[(b[1][at] == a[1][i]).mean(axis=1) >= HOPELESS]
+        most = np.where(np.minimum(n, m[at]) <= SHORT, NEAR_SHORT[1], NEAR[1])
+        at = at[np.bitwise_count(b[1][at] ^ a[1][i]).sum(axis=1) <= most]
         if not len(at):
             continue
         hit = np.concatenate(([0], np.cumsum(np.isin(flat, held))))
@@ -180,7 +157,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for side in ("a", "b"):
                 members = row[side]
                 sides.append(([m["root"] for m in members],
-                              np.array([np.frombuffer(m["least"], "<u4") for m in members]),
+                              np.array([np.frombuffer(m["bits"], "<u8") for m in members]),
                               [np.frombuffer(m["held"], "<u8") for m in members]))
             left, right = _forest(*sides)
             us += [row["a"][i]["node"] for i in left]
@@ -189,20 +166,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _in_tiles(placed: DataFrame, held: DataFrame) -> DataFrame:
-    """Links of near copies within the buckets of ``placed`` (band, node, root) whose members
-    stand in more than one group."""
+    """Links of near copies within the groups of candidates of ``placed`` (band, node, root)
+    whose members stand in more than one group of near copies."""
     spark = placed.sparkSession
     rows = placed.join(held.select("node", "n"), "node")
-    marks = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
     cuts = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
-    mixed = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"),
-                                     F.count("*").alias("members"), cuts.alias("cuts"), *marks).where("low <> high")
-    # buckets with the same members need one comparison
-    mixed = store(mixed.groupBy("members", "x1", "x2", "cuts").agg(F.min("band").alias("band")).select("band", "cuts"))
+    open_bands = store(rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), cuts.alias("cuts"))
+                       .where("low <> high").select("band", "cuts"))
     cut = F.pmod(F.xxhash64("node", F.lit("tile")), F.col("cuts")).cast("int")
-    open_ = salted_join(placed, mixed, ["band"], "inner").withColumn("cut", cut)
-    each = F.collect_list(F.struct("node", "root", "least", "held"))
-    tiles = store(open_.join(held.select("node", "least", "held"), "node").groupBy("band", "cut").agg(
+    open_ = salted_join(placed, open_bands, ["band"], "inner").withColumn("cut", cut)
+    each = F.collect_list(F.struct("node", "root", "bits", "held"))
+    tiles = store(open_.join(held.select("node", "bits", "held"), "node").groupBy("band", "cut").agg(
         each.alias("rows"), F.max("cuts").alias("cuts")))
     out = tiles.select("band", "cut", F.col("rows").alias("a"),
                        F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other")).where("cut <= other")
@@ -212,7 +186,7 @@ def _in_tiles(placed: DataFrame, held: DataFrame) -> DataFrame:
     batches_of(spark, 1)
     links = store(pairs.mapInArrow(_compare, "u binary, v binary"))
     batches_of(spark)
-    release(mixed, tiles)
+    release(open_bands, tiles)
     return links
 
 
@@ -237,22 +211,18 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     keyed = inner.withColumn("copy", copy_of("doc_id", text_of(F.col("text"))))
     plain = keyed.select("copy", text_of(F.col("text")).alias("text"))
     signed = store(_signed(plain))
-    known = store(signed.groupBy("node").agg(F.min("copy").alias("copy"), F.first("bands").alias("bands")))
-    each = known.select("node", F.explode("bands").alias("band"))
-    order = F.struct(F.xxhash64("node", F.lit("pivot")).alias("at"), "node")
-    full = store(each.groupBy("band").agg(F.count("*").alias("n"), F.min(order).alias("first"))
-                 .where("n > 1").select("band", F.col("first.node").alias("pivot")))
-    filled = store(salted_join(each, full, ["band"], "inner"))
-    wanted = known.join(filled.select("node").distinct(), "node", "left_semi").select("node", "copy")
-    held = store(_sets(plain.join(wanted, "copy").dropDuplicates(["node"]).select("node", "text")))
-    links = _with_pivots(filled, held)
-    # a pivot has been compared with all of its bucket
-    placed = store(_rooted(filled.where("node <> pivot").select("band", "node"), links))
+    known = store(signed.groupBy("node").agg(F.min("copy").alias("copy"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    candidates = set_links(known.select("node", "n", "bits"), EQUAL)
+    grouped = store(components(candidates).select(F.col("root").alias("band"), "node"))
+    wanted = known.join(grouped.select("node"), "node", "left_semi")
+    held = store(_sets(plain.join(wanted, "copy").dropDuplicates(["node"])))
+    links = _decided(_some_of(candidates), held)
+    placed = store(_rooted(grouped, links))
     more = _in_tiles(placed, held)
     label = _rooted(known.select("node"), links.union(more))
     ids = keyed.select("copy", "doc_id").distinct().join(signed.select("copy", "node").distinct(), "copy")
     stay = store(ids.join(label, "node").groupBy("root").agg(
         F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "copy")).alias("first")).select("first.copy"))
-    release(signed, known, full, filled, held, placed, links, more)
+    release(signed, known, candidates, grouped, held, placed, links, more)
     kept = keyed.join(stay, "copy", "left_semi").dropDuplicates(["copy"])
     return kept.select(*inner.columns).toDF(*docs.columns)

@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from flowgrain.llm import nearcopies
+from flowgrain.llm import nearcopies, simhash
 from flowgrain.llm.common import table
+from flowgrain.llm.graph import components
 from flowgrain.llm.nearcopies import one_of_each_group
 
 from .cases import AWKWARD, frame
@@ -80,3 +83,32 @@ def test_common_passage_below_the_threshold(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert one_of_each_group(frame(spark, [])).count() == 0
+
+
+def test_candidates_come_from_fingerprints_of_simhash(spark):
+    """Every pair of sets of similarity 0.8 is joined by the tiled comparison, whatever the tile."""
+    draw = np.random.default_rng(11)
+    sets = []
+    for size in (4, 5, 9, 30, 200, 1500) * 4:
+        held = draw.integers(0, 1 << 64, size, np.uint64)
+        sets += [held, held[:-(size // 5)] if size >= 5 else held[:-1], np.append(held, draw.integers(0, 1 << 64, size // 4, np.uint64))]
+    rows = [(i.to_bytes(2, "big"), len(s), simhash.set_fingerprint(s).tobytes()) for i, s in enumerate(sets)]
+    prints = spark.createDataFrame(rows, "node binary, n long, bits binary")
+    plain = [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in simhash.mixed(s * simhash._TIMES[0] + simhash._PLUS[0])) > len(s))
+             for s in sets[:6]]
+    assert plain == [int(simhash.set_fingerprint(s)[0]) for s in sets[:6]]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if nearcopies.near(
+        len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))]
+    assert len(near) > 24
+    for tile in (4, 4096):
+        root = {bytes(r.node): bytes(r.root) for r in components(simhash.set_links(prints, nearcopies.EQUAL, tile)).collect()}
+        assert all(root[rows[i][0]] == root[rows[j][0]] for i, j in near)
+        assert len(set(root.values())) >= 24
+
+
+def test_stage_takes_its_candidates_from_simhash(spark, monkeypatch):
+    asked = []
+    made = simhash.set_links
+    monkeypatch.setattr(nearcopies, "set_links", lambda *a: asked.append(1) or made(*a))
+    docs = frame(spark, ["one two three four five six", "one two  three four five SIX", "other words here"])
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [0, 2] and asked
