@@ -31,6 +31,8 @@ SAMPLE, RANK, NEIGHBOURS = 6000, 32, 15
 WORDS, STEPS = 1 << 14, 8
 FORMS = ("symbols", "capitals", "digits", "repeats", "variety", "length", "lines", "marks", "size", "bars")
 TERMS = WORDS + STEPS * len(FORMS)
+#: Documents projected at once.
+BLOCK = 128
 #: Weight of a form term beside a word term; power of the cosine in a vote.
 FORM_WEIGHT, SHARPNESS = 3.0, 8
 _CAPITALS, _DIGITS, _MARKS = bytes(range(65, 91)), bytes(range(48, 58)), b"!?"
@@ -73,12 +75,16 @@ class Space:
     labels: np.ndarray
 
     def project(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Vectors of length 1; a document without weight in the space is all zero."""
-        sizes = np.array([len(t) for t, _ in docs])
-        terms = np.concatenate([t for t, _ in docs])
-        weight = (np.concatenate([w for _, w in docs]) * self.idf[terms]).astype(np.float32)
-        rows = self.basis[terms] * weight[:, None]
-        out = np.add.reduceat(rows, np.cumsum(sizes) - sizes, axis=0)
+        """Vectors of length 1; a document without weight in the space is all zero. The rows of
+        the terms, many times the documents, are held for ``BLOCK`` documents at once."""
+        out = np.empty((len(docs), self.basis.shape[1]), np.float32)
+        for low in range(0, len(docs), BLOCK):
+            block = docs[low:low + BLOCK]
+            sizes = np.array([len(t) for t, _ in block])
+            terms = np.concatenate([t for t, _ in block])
+            rows = self.basis[terms]
+            rows *= (np.concatenate([w for _, w in block]) * self.idf[terms]).astype(np.float32)[:, None]
+            np.add.reduceat(rows, np.cumsum(sizes) - sizes, axis=0, out=out[low:low + BLOCK])
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(length > 0, length, 1)
 

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -83,3 +84,17 @@ def test_unknown_labels_null_ids_and_empty_tables(spark, tmp_path):
     assert [r.score for r in score(docs, none).collect()] == [0.5] * 4
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert op1(spark, folder(tmp_path, spark, documents=frame(spark, []), labels=labels)).count() == 0
+
+
+def test_projection_holds_few_rows_of_terms():
+    rng = np.random.default_rng(4)
+    space = Space(np.ones(TERMS), rng.standard_normal((TERMS, 32)).astype(np.float32), np.zeros((0, 32), np.float32), np.zeros(0))
+    docs = [(rng.integers(0, TERMS, 200), rng.random(200)) for _ in range(1500)]
+    tracemalloc.start()
+    got = space.project(docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1500 * 200 * 32 * 4 / 3  # the rows of all terms would be three times this
+    for (terms, weights), row in list(zip(docs, got, strict=True))[::250]:
+        plain = (space.basis[terms].astype(float) * weights[:, None]).sum(axis=0)
+        assert np.allclose(row, plain / np.linalg.norm(plain), atol=1e-5)
