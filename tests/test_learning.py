@@ -1,10 +1,12 @@
 import json
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import networks
+from flowgrain.catalog import model
 from flowgrain.functions import scalars as fn
 from flowgrain.operators import network as nw
 from flowgrain.plans import choice as ch
@@ -171,3 +173,26 @@ def test_links_no_iteration_moves_are_not_informative(yang, tmp_path):
             if abs(max((b - a for (_, a), (_, b) in zip(sorted(x), sorted(x)[1:])), key=lambda s: s)) > 1e-10}
     kept = {(r["u"], r["v"]) for r in ln.only_informative(links, log).where("count is not null").collect()}
     assert kept == want and done.folder == folder
+
+
+def _no_salts(*args, **kwargs):
+    raise AssertionError("paths are moved for a small table")
+
+
+def test_line_search_ends_move_no_paths_for_a_small_demand_table(yang, monkeypatch):
+    links, od, paths = yang
+    net = SimpleNamespace(links=links.withColumn("s", F.lit(0.1)), od=od, paths=paths.withColumn("trips", F.lit(2.0)))
+    want = {r["path_id"]: r["f"] for r in ch.path_flows(ch.path_utility(paths, net.links, model.THETA), od).collect()}
+    monkeypatch.setattr(ch, "salted_join", _no_salts)
+    got = {r["path_id"]: r for r in model._two(net).collect()}
+    assert set(got) == set(want) and all(r["f2"] == 2.0 and r["f1"] == pytest.approx(want[p], rel=1e-9) for p, r in got.items())
+
+
+def test_batched_equilibria_move_no_paths_for_a_small_demand_table(yang, monkeypatch):
+    links, od, paths = yang
+    grid = sr.candidates([THETA], [1.0, 1.3])
+    want = [es.loss(ch.equilibrium(paths, links, nw.scale_demand(od, s), t, iters=1, method="msa", accuracy=0.0).links).first()["sse"]
+            for t, s in grid]
+    monkeypatch.setattr(ch, "salted_join", _no_salts)
+    got = sorted(sr.equilibria(paths, links, od, grid, iters=1, accuracy=0.0).collect(), key=lambda r: r["candidate"])
+    assert [r["sse"] for r in got] == pytest.approx(want, rel=1e-9)
